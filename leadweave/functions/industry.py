@@ -5,26 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..fixed_values import INDUSTRY_KEYWORDS
+from .text import bind
 
 
-def _hits(low: Column, word: str) -> Column:
-    """Non-overlapping occurrences, from the bytes that removing the word saves."""
-    saved = F.octet_length(low) - F.octet_length(F.replace(low, F.lit(word), F.lit("")))
-    return (saved / len(word.encode())).cast("int")
+def _score(low: Column, words: Column) -> Column:
+    """Non-overlapping occurrences of all words, from the bytes that removing each one saves.
+
+    The cheap contains() test spares the replacement for the many absent words.
+    """
+    size = F.octet_length(low)
+
+    def hits(w: Column) -> Column:
+        saved = size - F.octet_length(F.replace(low, w, F.lit("")))
+        return F.when(F.contains(low, w), saved / F.octet_length(w)).otherwise(0.0)
+
+    return F.aggregate(words, F.lit(0.0), lambda total, w: total + hits(w))
 
 
 def guess_industry(text: Column) -> Column:
     """Industry with the most keyword hits (earlier one on a tie), '' without any hit.
 
-    One projection: no join with the keyword list, no shuffle of the text. The score and the
-    rank of the industry share one integer, so the best one is a plain ``greatest``.
+    Row-local: the keyword lists are one constant array, so there is no join with them and the
+    text is not shuffled.
     """
-    low = F.lower(F.coalesce(text, F.lit("")))
-    size = len(INDUSTRY_KEYWORDS)
-    codes = []
-    for i, words in enumerate(INDUSTRY_KEYWORDS.values()):
-        score = sum((_hits(low, w) for w in words[1:]), _hits(low, words[0]))
-        codes.append(score * size + (size - 1 - i))
-    best = F.greatest(*codes)
-    names = F.array(F.lit(""), *[F.lit(n) for n in reversed(INDUSTRY_KEYWORDS)])
-    return F.element_at(names, F.when(best < size, 1).otherwise(best % size + 2).cast("int"))
+    table = F.array(*[F.struct(F.lit(name).alias("name"),
+                               F.array(*[F.lit(w) for w in words]).alias("words"))
+                      for name, words in INDUSTRY_KEYWORDS.items()])
+
+    def best(low: Column) -> Column:
+        scored = F.transform(table, lambda e, i: F.struct(
+            _score(low, e["words"]).alias("score"), (-i).alias("rank"), e["name"].alias("name")))
+        return F.array_max(F.filter(scored, lambda s: s["score"] > 0))["name"]
+
+    return F.coalesce(bind(F.lower(F.coalesce(text, F.lit(""))), best), F.lit(""))

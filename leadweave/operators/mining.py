@@ -16,22 +16,22 @@ from ..functions.urls import domain, social_platform, with_canonical_url
 from .topk import top_per_group
 
 
-def extract_emails(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.posexplode(E.extract_emails(F.col(text))).alias("pos", "email"))
+def extract_emails(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    return df.select(*keys, F.posexplode(E.extract_emails(F.col(text))).alias("pos", "email"))
 
 
-def extract_phones(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.posexplode(N.phone_candidates(F.col(text))).alias("pos", "phone"))
+def extract_phones(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    return df.select(*keys, F.posexplode(N.phone_candidates(F.col(text))).alias("pos", "phone"))
 
 
-def best_emails(df: DataFrame, key: str, text: str) -> DataFrame:
-    best = df.select(key, E.best_email(E.extract_emails(F.col(text))).alias("email"))
+def best_emails(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    best = df.select(*keys, E.best_email(E.extract_emails(F.col(text))).alias("email"))
     return best.filter(F.col("email").isNotNull())
 
 
-def best_phones(df: DataFrame, key: str, text: str, most: int = 5) -> DataFrame:
+def best_phones(df: DataFrame, keys: list[str], text: str, most: int = 5) -> DataFrame:
     numbers = N.best_phones(N.phone_candidates(F.col(text)), most=most)
-    return df.select(key, F.posexplode(numbers).alias("pos", "e164"))
+    return df.select(*keys, F.posexplode(numbers).alias("pos", "e164"))
 
 
 def with_email_lookups(df: DataFrame, email: str = "email") -> DataFrame:
@@ -68,13 +68,13 @@ def valid_emails(df: DataFrame, email: str = "email") -> DataFrame:
     return df.filter(E.is_valid_email(F.col(email)))
 
 
-def extract_social_links(df: DataFrame, key: str, html: str) -> DataFrame:
-    """Distinct (key, platform, url) with the position of the first occurrence in the page."""
+def extract_social_links(df: DataFrame, keys: list[str], html: str) -> DataFrame:
+    """Distinct (keys, platform, url) with the position of the first occurrence in the page."""
     links = F.regexp_extract_all(F.col(html), F.lit(HTTP_LINK_PATTERN), F.lit(0))
-    found = df.select(key, F.posexplode(links).alias("pos", "_link"))
+    found = df.select(*keys, F.posexplode(links).alias("pos", "_link"))
     found = with_canonical_url(found, "_link", "url").filter(F.col("url") != "")
-    found = join_social_hosts(found.withColumn("host", domain(F.col("url"))))
-    return found.groupBy(key, "platform", "url").agg(F.min("pos").alias("pos"))
+    found = join_social_hosts(found.withColumn("_link_host", domain(F.col("url"))), "_link_host")
+    return found.groupBy(*keys, "platform", "url").agg(F.min("pos").alias("pos"))
 
 
 def join_social_hosts(df: DataFrame, host: str = "host") -> DataFrame:
@@ -91,14 +91,14 @@ def first_social(links: DataFrame, site: str, order: list[str]) -> DataFrame:
         for p in ("linkedin", "facebook", "instagram")])
 
 
-def contact_pages(df: DataFrame, key: str, html: str, base: str) -> DataFrame:
+def contact_pages(df: DataFrame, keys: list[str], html: str, base: str) -> DataFrame:
     """Links of a page that look like contact or about pages: distinct URLs in order."""
-    hrefs = df.select(key, base, F.posexplode(P.anchor_hrefs(F.col(html))).alias("pos", "_href"))
+    hrefs = df.select(*keys, base, F.posexplode(P.anchor_hrefs(F.col(html))).alias("pos", "_href"))
     hrefs = hrefs.filter(
         (F.col("_href") != "") & ~F.col("_href").rlike(rf"^(?:{any_of(NON_PAGE_HREFS)})")
         & F.lower("_href").rlike(any_of(CONTACT_STEMS + ABOUT_STEMS)))
     urls = with_canonical_url(hrefs, "_href", "url", F.col(base)).filter(F.col("url") != "")
-    return urls.groupBy(key, base, "url").agg(F.min("pos").alias("pos"))
+    return urls.groupBy(*keys, base, "url").agg(F.min("pos").alias("pos"))
 
 
 def cap_pages_per_site(links: DataFrame, site: str, order: list[str], base: str,
@@ -106,8 +106,3 @@ def cap_pages_per_site(links: DataFrame, site: str, order: list[str], base: str,
     """First ``extra`` contact pages of each site; the site's own URL is skipped after the cut."""
     kept = top_per_group(links, [site], order, max(extra, 1), rank="rank")
     return kept.filter(F.col("url") != F.col(base))
-
-
-def page_fields(df: DataFrame, key: str) -> DataFrame:
-    """Name of a page's site, from its HTML and URL."""
-    return df.select(key, P.company_name(F.col("html"), F.col("base")).alias("company_name"))

@@ -193,8 +193,41 @@ def listing_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_history(spark: SparkSession, sf: str) -> DataFrame:
-    """One run summary per day of events."""
-    ev = table(spark, sf, "events").select("ts", F.date_format("ts", "yyyy-MM-dd").alias("label"))
+    """One run summary per hour of events."""
+    ev = table(spark, sf, "events").select(
+        "ts", F.date_format("ts", "yyyy-MM-dd HH").alias("label"))
     return ev.groupBy("label").agg(
         F.date_format(F.min("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("started_at"),
         F.count(F.lit(1)).alias("discovered"))
+
+
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Everything that may hold e-mails and phones: documents, page HTML, lead contacts."""
+    docs = table(spark, sf, "documents").select(
+        F.lit("document").alias("src"), F.col("doc_id").alias("id"), "text")
+    pages = site_pages(spark, sf).select(F.lit("page").alias("src"), F.col("page_id").alias("id"),
+                                         F.col("html").alias("text"))
+    contacts = raw_leads(spark, sf).select(F.lit("lead").alias("src"), F.col("ord").alias("id"),
+                                           F.concat_ws(" ", "email", "phone").alias("text"))
+    return docs.unionByName(pages).unionByName(contacts)
+
+
+def saved_search_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """One saved search per customer as JSON objects; optional members are often absent."""
+    return raw_leads(spark, sf).select(F.expr("""to_json(struct(
+        ord as search_id, category as query, city, governorate,
+        if(ord % 2 = 0, country, null) as country, if(ord % 5 = 0, 3, null) as radius_km,
+        if(ord % 3 = 0, cast(ord % 100 as int), null) as limit,
+        if(ord % 4 = 0, array('search', 'directories'), null) as sources))""").alias("value"))
+
+
+def element_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored map responses of up to 300 elements each; every seventh element has no name."""
+    el = elements(spark, sf).withColumn(
+        "tags", F.expr("if(ord % 7 = 0, map_filter(tags, (k, v) -> k <> 'name'), tags)"))
+    rows = F.array_sort(F.collect_list(F.struct(
+        "ord", "lat", "lon", F.map_entries("tags").alias("t"))))
+    grouped = el.groupBy(F.expr("ord div 300").alias("response_id")).agg(rows.alias("r"))
+    return grouped.select(F.to_json(F.struct("response_id", F.transform("r", lambda x: F.struct(
+        x["lat"].alias("lat"), x["lon"].alias("lon"),
+        F.map_from_entries(x["t"]).alias("tags"))).alias("elements"))).alias("value"))

@@ -23,6 +23,7 @@ def local_session(cpus: str | int = "*", app: str = "leadweave", partitions: int
     """A single-machine session for tests and the benchmark."""
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
                .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", memory)
                .config("spark.sql.shuffle.partitions", str(partitions)))
     for key, value in ENGINE_CONF.items():

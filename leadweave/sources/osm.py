@@ -41,8 +41,9 @@ def osm_name_dedup(df: DataFrame, scope: list[str] = (), order: str = "ord",
                    limit: int | Column | None = None) -> DataFrame:
     """First element per lower-case name; then the first ``limit`` of each scope."""
     scope = list(scope)
-    kept = F.struct(*[c for c in df.columns if c not in scope])
-    first = (named_elements(df).withColumn("_low", F.lower("name"))
+    named = named_elements(df)
+    kept = F.struct(*[c for c in named.columns if c not in scope])
+    first = (named.withColumn("_low", F.lower("name"))
              .groupBy(*scope, "_low").agg(F.min_by(kept, order).alias("e"))
              .select(*scope, "e.*"))
     if limit is None:
