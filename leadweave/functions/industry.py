@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, functions as F
 
 from ..fixed_values import INDUSTRY_KEYWORDS
 from .text import bind
 
+_TABLE = json.dumps([{"name": n, "words": w} for n, w in INDUSTRY_KEYWORDS.items()])
+
 
 def _score(low: Column, words: Column) -> Column:
     """Non-overlapping occurrences of all words, from the bytes that removing each one saves.
@@ -28,9 +32,7 @@ def guess_industry(text: Column) -> Column:
     Row-local: the keyword lists are one constant array, so there is no join with them and the
     text is not shuffled.
     """
-    table = F.array(*[F.struct(F.lit(name).alias("name"),
-                               F.array(*[F.lit(w) for w in words]).alias("words"))
-                      for name, words in INDUSTRY_KEYWORDS.items()])
+    table = F.from_json(F.lit(_TABLE), "array<struct<name:string,words:array<string>>>")
 
     def best(low: Column) -> Column:
         scored = F.transform(table, lambda e, i: F.struct(

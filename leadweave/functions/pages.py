@@ -10,7 +10,7 @@ from ..fixed_values import (ADDRESS_WORDS, BOILERPLATE_STARTS, EMPLOYEES_OVER_PA
                             WHATSAPP_PATTERN)
 from .phones import normalize_phone
 from .text import (any_of, bind, clean_text, collapse, decode_entities, first_filled, strip,
-                   strip_tags)
+                   strip_tags, title_case)
 from .urls import canonical_url, domain, netloc, social_platform
 
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
@@ -53,7 +53,6 @@ def company_name(home: Column, base: Column) -> Column:
     for sep in TITLE_SEPARATORS:
         title = F.trim(F.substring_index(title, sep, 1))
     heading = element_text(F.regexp_extract(home, r"(?is)<h1\b[^>]*>(.*?)</h1", 1))
-    from .text import title_case
     label = title_case(F.substring_index(F.replace(netloc(base), F.lit("www."), F.lit("")), ".", 1))
     return (F.when(site_name != "", clean_text(site_name))
             .otherwise(F.coalesce(
@@ -87,11 +86,12 @@ _ADDRESS_NODES = [
 
 def address(html: Column, text: Column) -> Column:
     """Text of the first address node, else a text line with an address word."""
-    nodes = [element_text(F.regexp_extract(html, p, 2), " ") for p in _ADDRESS_NODES]
-    nodes = [F.when(n.rlike(r"(?s)^.{1,299}$"), n) for n in nodes]
+    found = F.array(*[F.regexp_extract(html, p, 2) for p in _ADDRESS_NODES])
+    nodes = F.filter(F.transform(F.filter(found, lambda n: n != ""), lambda n: element_text(n, " ")),
+                     lambda n: F.length(n).between(1, 299))
     lines = F.filter(F.split(text, "\n"), lambda s: F.length(s).between(15, 200) & F.lower(
         s).rlike(any_of(ADDRESS_WORDS)))
-    return F.coalesce(*nodes, F.get(lines, F.lit(0)), F.lit(""))
+    return F.coalesce(F.get(nodes, F.lit(0)), F.get(lines, F.lit(0)), F.lit(""))
 
 
 def whatsapp(html: Column) -> Column:
@@ -129,8 +129,15 @@ def http_links(html: Column) -> Column:
     return F.filter(links, lambda u: u.rlike(_SOCIAL_TOKEN))
 
 
-def first_social(html: Column, platform: str) -> Column:
-    """First canonical link of a platform in one document, '' if none."""
+def social_links(html: Column) -> Column:
+    """Canonical links to social platforms as (platform, url), in order."""
     urls = F.transform(http_links(html), lambda u: canonical_url(u))
-    ours = F.filter(urls, lambda u: social_platform(domain(u)) == platform)
-    return F.coalesce(F.get(ours, F.lit(0)), F.lit(""))
+    marked = F.transform(urls, lambda u: F.struct(
+        social_platform(domain(u)).alias("platform"), u.alias("url")))
+    return F.filter(marked, lambda m: m["platform"].isNotNull())
+
+
+def first_social(links: Column, platform: str) -> Column:
+    """First link of a platform among (platform, url) links, '' if none."""
+    ours = F.filter(links, lambda m: m["platform"] == platform)
+    return F.coalesce(F.get(ours, F.lit(0))["url"], F.lit(""))

@@ -49,41 +49,38 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*[filled(c) for c in cols], F.lit(""))
 
 
-def _entity_map() -> Column:
-    names = html.entities.name2codepoint
-    return F.map_from_arrays(
-        F.array(*[F.lit(n) for n in (*names, "apos")]),
-        F.array(*[F.lit(chr(p)) for p in (*names.values(), 39)]))
+def apply(c: Column, body: str) -> Column:
+    """Evaluate ``c`` once and run a SQL expression over it as ``x``.
 
+    One parsed string instead of dozens of Column objects, which keeps plan building fast.
+    """
+    return F.get(F.call_function("transform", F.array(c), F.expr(f"x -> {body}")), F.lit(0))
 
-def _code_point(number: Column) -> Column:
-    valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
-    raw = F.unhex(F.lpad(F.hex(number), 8, "0"))
-    return F.when(valid, F.decode(raw, "UTF-32")).otherwise(F.lit("\ufffd"))
 
+def constant_map(pairs: dict[str, str]) -> Column:
+    """A fixed string map as one foldable expression (a literal per entry would be slow to build)."""
+    return F.str_to_map(F.lit(_joined(pairs)), F.lit("\x02"), F.lit("\x01"))
 
-def _decode_segment(segment: Column, names: Column) -> Column:
-    body = F.regexp_extract(segment, r"^(#?[0-9a-zA-Z]+);", 1)
 
-    def decoded(ref: Column) -> Column:
-        number = (F.when(ref.rlike(r"^#[0-9]{1,7}$"), F.substring(ref, 2, 8).try_cast("bigint"))
-                  .when(ref.rlike(r"^#[xX][0-9a-fA-F]{1,6}$"),
-                        F.conv(F.substring(ref, 3, 8), 16, 10).try_cast("bigint")))
-        char = F.coalesce(F.when(number.isNotNull(), _code_point(number)),
-                          F.try_element_at(names, ref))
-        rest = segment.substr(F.length(ref) + 2, F.length(segment))
-        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), segment))
+def _joined(pairs: dict[str, str]) -> str:
+    return "\x02".join(f"{k}\x01{v}" for k, v in pairs.items())
 
-    return bind(body, decoded)
+
+_NAMES = _joined({n: chr(p) for n, p in html.entities.name2codepoint.items()} | {"apos": "'"})
+_NUMBER = r"""case when ref rlike r'^#[0-9]{1,7}$' then try_cast(substr(ref, 2) as bigint)
+    when ref rlike r'^#[xX][0-9a-fA-F]{1,6}$' then try_cast(conv(substr(ref, 3), 16, 10) as bigint) end"""
+_CHARACTER = f"""transform(array({_NUMBER}), n -> case when n is null then null
+    when n > 0 and n < 1114112 and not n between 55296 and 57343
+    then decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') else '\ufffd' end)[0]"""
+_NAMED = "try_element_at(str_to_map('" + _NAMES.replace("'", "\\'") + "', '\x02', '\x01'), ref)"
+_DECODE = f"""if(contains(x, '&'), array_join(transform(split(x, '&'), (s, i) -> if(i = 0, s,
+    transform(array(regexp_extract(s, r'^(#?[0-9a-zA-Z]+);', 1)), ref -> coalesce(
+        concat(coalesce({_CHARACTER}, {_NAMED}), substr(s, length(ref) + 2)), concat('&', s)))[0])), ''), x)"""
 
 
 def decode_entities(c: Column) -> Column:
     """Named and numeric character references, each decoded once."""
-    names = _entity_map()
-    parts = F.transform(
-        F.split(c, "&"),
-        lambda s, i: F.when(i == 0, s).otherwise(_decode_segment(s, names)))
-    return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)
+    return apply(c, _DECODE)
 
 
 def strip_tags(c: Column, by: str = " ") -> Column:

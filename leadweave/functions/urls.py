@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import JUNK_HOST_FRAGMENTS, SOCIAL_HOSTS, TRACKING_PARAMS
-from .text import any_of, bind, clean_text
+from .text import any_of, apply, clean_text
 
 SCHEME = r"[a-zA-Z][a-zA-Z0-9+.\-]*://"
 DEFAULT_BASE = "https://example.com"
@@ -13,65 +13,50 @@ DEFAULT_BASE = "https://example.com"
 WELL_FORMED = r"^[^:/?#]+://[^/?#\[\]]*\.[^/?#\[\]]*(?:[/?#]|$)"
 
 
-def _resolve_dots(path: Column) -> Column:
-    """Apply '.' and '..' segments of a rooted path."""
-    parts = F.split(path, "/")
-    walked = F.aggregate(
-        parts, F.lit(None).cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc)
-        .otherwise(F.concat(F.coalesce(acc, F.array().cast("array<string>")), F.array(s))))
-    joined = F.array_join(F.coalesce(walked, F.array().cast("array<string>")), "/")
-    tail = F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
-    return F.concat(joined, tail)
-
-
-def _absolute(u: Column, base: Column) -> Column:
-    """Clean text to an absolute URL, or '' where it cannot be one."""
-    origin = F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*)", 1)
-    ref = F.regexp_extract(u, r"^[^?#]*", 0)
-    rest = F.regexp_extract(u, r"^[^?#]*(.*)$", 1)
-    rooted = F.when(ref.rlike(r"/\.{1,2}(?:/|$)"), F.concat(_resolve_dots(ref), rest)).otherwise(u)
-    return (F.when(u == "", F.lit(""))
-            .when(u.startswith("//"), F.concat(F.lit("https:"), u))
-            .when(u.startswith("/"), F.concat(origin, rooted))
-            .when(u.rlike("^" + SCHEME), u)
-            .when(u.rlike(r"^[^/]*@| "), F.lit(""))
-            .otherwise(F.concat(F.lit("https://"), u)))
-
-
-def _assemble(a: Column) -> Column:
-    head = F.regexp_replace(
-        F.lower(F.regexp_extract(a, r"^[^:/?#]+://[^/?#]*", 0)), r"^([^:]+://)www\.", "$1")
-    path = F.regexp_extract(a, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
-    path = F.regexp_replace(F.regexp_replace(path, r";[^/]*$", ""), r"/+$", "")
-    query = F.regexp_extract(a, r"^[^?#]*\?([^#]*)", 1)
-    kept = F.regexp_replace(
-        F.concat(F.lit("&"), query),
-        rf"(?i)&(?:{any_of(TRACKING_PARAMS)})(?:=[^&]*)?(?=&|$)", "")
-    tail = F.regexp_replace(kept, r"^&", "?")
-    tail = F.when(tail == "?", F.lit("")).otherwise(tail)
-    return F.when(a.rlike(WELL_FORMED), F.concat(head, path, tail)).otherwise(F.lit(""))
-
-
-def _base(base: Column | str | None) -> Column:
-    if base is None:
-        return F.lit(DEFAULT_BASE)
-    return F.lit(base) if isinstance(base, str) else base
-
-
-def canonical_url(url: Column, base: Column | str | None = None) -> Column:
+# SQL templates: ?u stands for cleaned text, ?base for the URL rooted references belong to
+_PATH_OF_REFERENCE = r"regexp_extract(?u, r'^[^?#]*', 0)"
+_DOTS_RESOLVED = r"""concat(
+    array_join(aggregate(split(?path, '/'), cast(array() as array<string>),
+        (kept, s) -> case when s = '..' then slice(kept, 1, greatest(size(kept) - 1, 0))
+                          when s = '.' then kept else array_append(kept, s) end), '/'),
+    if(?path rlike r'/\.{1,2}$', '/', ''), regexp_extract(?u, r'^[^?#]*(.*)$', 1))"""
+_ABSOLUTE = r"""case when ?u = '' then '' when startswith(?u, '//') then concat('https:', ?u)
+    when startswith(?u, '/') then concat(regexp_extract(?base, r'^([^:/?#]+://[^/?#]*)', 1),
+        if(?path rlike r'/\.{1,2}(?:/|$)', ?resolved, ?u))
+    when ?u rlike r'^?scheme' then ?u when ?u rlike r'^[^/]*@| ' then ''
+    else concat('https://', ?u) end"""
+# ?a stands for an absolute URL or ''
+_ASSEMBLED = r"""if(?a rlike r'?form', concat(
+    regexp_replace(lower(regexp_extract(?a, r'^[^:/?#]+://[^/?#]*', 0)), r'^([^:]+://)www\.', '$1'),
+    regexp_replace(regexp_replace(regexp_extract(?a, r'^[^:/?#]+://[^/?#]*([^?#]*)', 1), r';[^/]*$', ''), r'/+$', ''),
+    regexp_replace(regexp_replace(regexp_replace(
+        concat('&', regexp_extract(?a, r'^[^?#]*\?([^#]*)', 1)),
+        r'(?i)&(?:?tracking)(?:=[^&]*)?(?=&|$)', ''), r'^&', '?'), r'^\?$', '')), '')"""
+
+
+def _absolute(u: str, base: str) -> str:
+    text = _ABSOLUTE.replace("?resolved", _DOTS_RESOLVED).replace("?path", _PATH_OF_REFERENCE)
+    return text.replace("?scheme", SCHEME).replace("?base", base).replace("?u", u)
+
+
+def _assembled(a: str) -> str:
+    text = _ASSEMBLED.replace("?form", WELL_FORMED).replace("?tracking", any_of(TRACKING_PARAMS))
+    return text.replace("?a", a)
+
+
+def canonical_url(url: Column, base: str = DEFAULT_BASE) -> Column:
     """Canonical form as one expression; use ``with_canonical_url`` on whole tables."""
-    return bind(clean_text(url), lambda u: bind(_absolute(u, _base(base)), _assemble))
+    return apply(apply(clean_text(url), _absolute("x", f"'{base}'")), _assembled("x"))
 
 
 def with_canonical_url(df: DataFrame, source: str, target: str,
-                       base: Column | str | None = None) -> DataFrame:
-    """Canonical form in three projections, so that each step runs once and stays in codegen."""
-    return (df.withColumn("_u", clean_text(F.col(source)))
-            .withColumn("_u", _absolute(F.col("_u"), _base(base)))
-            .withColumn(target, _assemble(F.col("_u")))
-            .drop("_u"))
+                       base: Column | str = DEFAULT_BASE) -> DataFrame:
+    """Canonical form in steps, so that each one runs once and stays in generated code."""
+    base = F.lit(base) if isinstance(base, str) else base
+    return (df.withColumns({"_u": clean_text(F.col(source)), "_base": base})
+            .withColumn("_u", F.expr(_absolute("_u", "_base")))
+            .withColumn(target, F.expr(_assembled("_u")))
+            .drop("_u", "_base"))
 
 
 def netloc(url: Column) -> Column:

@@ -50,13 +50,13 @@ def site_fields(docs: DataFrame) -> DataFrame:
     html, text, home = F.col("html"), F.col("text"), F.col("home")
     base = F.concat(F.lit("https://"), F.col("site"))
     phone_text = F.when(text != "", text).otherwise(html)
-    return docs.select(
+    return docs.withColumn("_social", P.social_links(html)).select(
         "site", "pages",
         F.coalesce(E.best_email(E.extract_emails(html)), F.lit("")).alias("s_email"),
         F.coalesce(F.get(N.best_phones(N.phone_candidates(phone_text)), F.lit(0)),
                    F.lit("")).alias("s_phone"),
         P.whatsapp(html).alias("s_whatsapp"),
-        *[P.first_social(html, p).alias(f"s_{p}_url") for p in ("linkedin", "facebook", "instagram")],
+        *[P.first_social(F.col("_social"), p).alias(f"s_{p}_url") for p in ("linkedin", "facebook", "instagram")],
         P.company_name(home, base).alias("s_company_name"),
         P.description(home, text).alias("s_description"),
         P.address(html, text).alias("s_address"),
@@ -92,20 +92,16 @@ def enrich_sites(leads: DataFrame, pages: DataFrame, extra: int = EXTRA_PAGES) -
                      F.concat(F.lit(" "), F.xxhash64(*cols).cast("string")))
     joined = sited.withColumn("site", key).join(fields, "site", "left")
     hit = F.col("pages").isNotNull()
-    out = joined
-    for c in _FILLED:
-        out = out.withColumn(c, F.coalesce(filled(F.col(c)), F.col(f"s_{c}"), F.lit("")))
+    out = joined.withColumns({
+        **{c: F.coalesce(filled(F.col(c)), F.col(f"s_{c}"), F.lit("")) for c in _FILLED},
+        "source_url": F.when(hit, F.coalesce(filled(F.col("source_url")), F.col("_site_url")))
+        .otherwise(F.col("source_url")),
+        "_old_score": F.col("confidence_score"), "_old_tier": F.col("confidence_tier")})
     blob = F.concat_ws(" ", *[filled(F.col(c)) for c in
                               ("company_name", "description", "category", "address")])
-    out = out.withColumn("industry", F.when(hit & (F.col("industry") == ""), guess_industry(blob))
-                         .otherwise(F.col("industry")))
-    out = out.withColumn("source_url", F.when(hit, F.coalesce(
-        filled(F.col("source_url")), F.col("_site_url"))).otherwise(F.col("source_url")))
-    out = out.withColumn("_old_score", F.col("confidence_score")).withColumn(
-        "_old_tier", F.col("confidence_tier"))
-    out = grade_leads(out)
-    out = (out.withColumn("confidence_score", F.when(hit, F.col("confidence_score"))
-                          .otherwise(F.col("_old_score")))
-           .withColumn("confidence_tier", F.when(hit, F.col("confidence_tier"))
-                       .otherwise(F.col("_old_tier"))))
+    out = grade_leads(out.withColumn("industry", F.when(
+        hit & (F.col("industry") == ""), guess_industry(blob)).otherwise(F.col("industry"))))
+    out = out.withColumns({
+        "confidence_score": F.when(hit, F.col("confidence_score")).otherwise(F.col("_old_score")),
+        "confidence_tier": F.when(hit, F.col("confidence_tier")).otherwise(F.col("_old_tier"))})
     return out.select(*cols, hit.alias("enriched"))

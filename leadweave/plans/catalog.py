@@ -13,7 +13,7 @@ from ..functions.urls import domain, with_canonical_url
 from ..operators import enrich, mining as M, query as Q, resolve as R, scoring as S
 from ..operators.topk import top_per_group
 from ..schema import EXPORT_COLUMNS, LEAD_COLUMNS
-from ..session import scratch_dir
+from ..session import materialize, scratch_dir
 from ..sources import directories, osm, sinks, web
 from ..sources.registry import union_sources
 from ..sources.searches import load_searches
@@ -378,11 +378,8 @@ def upsert_action_counts(spark, sf):
 @query
 def scan_totals(spark, sf):
     store, _ = X.store_and_batch(spark, sf)
-    found = scan.scan(X.searches(spark, sf), X.scan_inputs(spark, sf))
-    # used twice (actions and totals): written once to the shared folder instead of computed twice
-    path = scratch_dir(spark, "found")
-    found.write.parquet(path)
-    return scan.scan_totals(store, spark.read.schema(found.schema).parquet(path))
+    found = materialize(scan.scan(X.searches(spark, sf), X.scan_inputs(spark, sf)), "found")
+    return scan.scan_totals(store, found)
 
 
 @query

@@ -13,6 +13,7 @@ from ..operators.enrich import enrich_sites
 from ..operators.resolve import dedup_candidates, upsert_actions, upsert_leads
 from ..operators.scoring import grade_leads
 from ..operators.topk import top_per_group
+from ..session import materialize
 from ..sources.registry import union_sources
 
 
@@ -44,7 +45,9 @@ def finalize_leads(df: DataFrame, searches: DataFrame) -> DataFrame:
 def scan(searches: DataFrame, inputs: Mapping[str, DataFrame], cap: int = SITES_PER_RUN,
          extra: int = EXTRA_PAGES) -> DataFrame:
     """Final candidates of all searches: union, de-dup, cap, enrich, finalise."""
-    found = cap_candidates(dedup_candidates(union_sources(searches, inputs), ["search_id"]), cap)
+    # de-duplication reads its input several times: the sources are mined once, into a table
+    candidates = materialize(union_sources(searches, inputs), "candidates")
+    found = cap_candidates(dedup_candidates(candidates, ["search_id"]), cap)
     if "pages" in inputs:
         found = enrich_sites(found, inputs["pages"], extra)
     else:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: settings the engine relies on at any scale; sizes are left to the cluster and to AQE
 ENGINE_CONF = {
@@ -43,3 +43,13 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         shared = tempfile.mkdtemp(prefix="leadweave-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return os.path.join(shared, f"{label}-{uuid.uuid4().hex}")
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame that is used several times to the shared folder and read it back.
+
+    The written table survives the loss of executors and cuts the lineage.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

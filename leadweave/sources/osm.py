@@ -12,7 +12,7 @@ from ..fixed_values import (DEFAULT_COUNTRY, MAPS_LINK_PREFIX, OSM_ADDRESS_TAGS,
                             OSM_MAX_ELEMENTS, OSM_SOURCE_URL, OSM_VALUE_INDUSTRY)
 from ..functions.industry import guess_industry
 from ..functions.phones import normalize_phone
-from ..functions.text import any_of, clean_text, filled, first_filled, strip
+from ..functions.text import clean_text, constant_map, filled, first_filled, strip
 from ..functions.urls import canonical_url
 from ..operators.scoring import grade_leads
 from ..operators.topk import top_per_group
@@ -55,8 +55,8 @@ def osm_name_dedup(df: DataFrame, scope: list[str] = (), order: str = "ord",
 
 def keyword_tags(keyword: Column) -> Column:
     """Pattern of the tag keys that a search keyword asks for (exact keyword, else defaults)."""
-    pairs = [x for k, v in OSM_KEYWORD_TAGS.items() for x in (F.lit(k), F.lit("|".join(v)))]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(strip(keyword))),
+    table = constant_map({k: "|".join(v) for k, v in OSM_KEYWORD_TAGS.items()})
+    return F.coalesce(F.try_element_at(table, F.lower(strip(keyword))),
                       F.lit("|".join(OSM_DEFAULT_TAGS)))
 
 
@@ -149,8 +149,7 @@ def near_places(elements: DataFrame, places: DataFrame, degrees: float = 0.25,
 
 def industry_of_tags(name: Column) -> Column:
     """Industry of the first known tag value, else a guess from description and name."""
-    pairs = [F.lit(x) for kv in OSM_VALUE_INDUSTRY.items() for x in kv]
-    table = F.create_map(*pairs)
+    table = constant_map(OSM_VALUE_INDUSTRY)
     known = [F.try_element_at(table, F.lower(tag(k))) for k in OSM_INDUSTRY_TAGS]
     guess = guess_industry(F.concat_ws(" ", tag("description"), name))
     return F.coalesce(*known, F.nullif(guess, F.lit("")), F.lit("Other"))
