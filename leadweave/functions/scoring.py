@@ -1,4 +1,4 @@
-"""Confidence score, tier and identity key of a lead."""
+"""Confidence score, tier and identity key of a lead (over the lead columns, by name)."""
 
 from __future__ import annotations
 
@@ -6,26 +6,25 @@ from pyspark.sql import Column, functions as F
 
 from ..fixed_values import LOWEST_TIER, MIN_DESCRIPTION, PERSON_BONUS, TIERS, WEIGHTS
 from ..schema import TEXT_COLUMNS
-from .text import strip
-from .urls import domain
+from .urls import domain_sql
 
+_BLANKS = r"r'(?U)^\s+|\s+$'"
 
-def _present(c: str) -> Column:
-    return F.col(c).rlike(r"(?U)\S")
+
+def _stripped(c: str) -> str:
+    return f"regexp_replace({c}, {_BLANKS}, '')"
 
 
 def confidence_score(weights: dict[str, int] | None = None) -> Column:
+    """Sum of the weights of what is known about a lead, clamped to 0..100."""
     w = {**WEIGHTS, **(weights or {})}
-    social = (F.col("linkedin_url") != "") | (F.col("facebook_url") != "") | (
-        F.col("instagram_url") != "")
-    described = F.length(strip(F.col("description"))) >= MIN_DESCRIPTION
-    parts = [(_present("website"), w["website"]), (_present("email"), w["email"]),
-             (_present("phone"), w["phone"]), (social, w["social"]),
-             (described, w["description"])]
-    total = sum((F.when(cond, v).otherwise(0) for cond, v in parts), F.lit(0))
-    total = F.when(_present("contact_person"),
-                   F.least(total + PERSON_BONUS, F.lit(100))).otherwise(total)
-    return F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("int")
+    rules = {c: f"{c} rlike r'(?U)\\S'" for c in ("website", "email", "phone")}
+    rules["social"] = "linkedin_url <> '' or facebook_url <> '' or instagram_url <> ''"
+    rules["description"] = f"length({_stripped('description')}) >= {MIN_DESCRIPTION}"
+    total = " + ".join(f"if({rule}, {w[name]}, 0)" for name, rule in rules.items())
+    person = r"contact_person rlike r'(?U)\S'"
+    return F.expr(f"cast(greatest(0, least(100, if({person}, least(100, {total} + {PERSON_BONUS}), "
+                  f"{total}))) as int)")
 
 
 def confidence_tier(score: Column) -> Column:
@@ -38,14 +37,11 @@ def confidence_tier(score: Column) -> Column:
 
 def dedup_key() -> Column:
     """'dom:' + domain, else 'name:' + name|city|country|phone, else 'anon:' + row hash."""
-    dom = domain(F.col("website"))
-    low = [F.lower(strip(F.col(c))) for c in ("company_name", "city", "country")]
-    parts = F.array(*low, F.replace(F.col("phone"), F.lit(" "), F.lit("")))
-    named = F.array_join(F.filter(parts, lambda p: p != ""), "|")
-    row = F.md5(F.concat_ws("\x1f", *TEXT_COLUMNS))
-    return (F.when(dom != "", F.concat(F.lit("dom:"), dom))
-            .when(named != "", F.concat(F.lit("name:"), named))
-            .otherwise(F.concat(F.lit("anon:"), row)))
+    low = ", ".join(f"lower({_stripped(c)})" for c in ("company_name", "city", "country"))
+    named = f"array_join(filter(array({low}, replace(phone, ' ', '')), p -> p <> ''), '|')"
+    return F.expr(f"""case when {domain_sql('website')} <> '' then concat('dom:', {domain_sql('website')})
+        when {named} <> '' then concat('name:', {named})
+        else concat('anon:', md5(concat_ws('\x1f', {', '.join(TEXT_COLUMNS)}))) end""")
 
 
 def lead_id(key: Column) -> Column:

@@ -8,6 +8,8 @@ from ..fixed_values import JUNK_HOST_FRAGMENTS, SOCIAL_HOSTS, TRACKING_PARAMS
 from .text import any_of, apply, clean_text
 
 SCHEME = r"[a-zA-Z][a-zA-Z0-9+.\-]*://"
+SCHEMELESS = r"(?s)^(?!.*://)(?=.)"
+NETLOC = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)"
 DEFAULT_BASE = "https://example.com"
 # scheme, a host with a dot and without brackets
 WELL_FORMED = r"^[^:/?#]+://[^/?#\[\]]*\.[^/?#\[\]]*(?:[/?#]|$)"
@@ -61,13 +63,18 @@ def with_canonical_url(df: DataFrame, source: str, target: str,
 
 def netloc(url: Column) -> Column:
     """Lower-case network location; '' where the text has no '//' part."""
-    return F.lower(F.regexp_extract(url, r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)", 1))
+    return F.lower(F.regexp_extract(url, NETLOC, 1))
+
+
+def domain_sql(column: str) -> str:
+    """SQL text of ``domain`` for a column given by name."""
+    return (rf"regexp_replace(lower(regexp_extract(regexp_replace(coalesce({column}, ''), "
+            rf"r'{SCHEMELESS}', 'https://'), r'{NETLOC}', 1)), r'^www\.', '')")
 
 
 def domain(url: Column) -> Column:
     """Host (port and user info kept) without 'www.'; NULL and '' give ''."""
-    with_scheme = F.regexp_replace(
-        F.coalesce(url, F.lit("")), r"(?s)^(?!.*://)(?=.)", "https://")
+    with_scheme = F.regexp_replace(F.coalesce(url, F.lit("")), SCHEMELESS, "https://")
     return F.regexp_replace(netloc(with_scheme), r"^www\.", "")
 
 

@@ -17,13 +17,13 @@ from ..schema import BOOKKEEPING, EXPORT_COLUMNS, TEXT_COLUMNS
 from .scoring import grade_leads, key_leads
 
 
-def _is_missing(c: str) -> Column:
-    return F.col(c) == (0 if c == "confidence_score" else "")
+def _missing(c: str) -> str:
+    return "0" if c == "confidence_score" else "''"
 
 
-def _first_fill(c: str, order: Sequence[str]) -> Column:
+def _first_fill(c: str, order: Sequence[str]) -> str:
     """(order, value) of the first row that has a value in ``c``; NULL if none has."""
-    return F.min(F.when(~_is_missing(c), F.struct(*order, F.col(c).alias("value"))))
+    return (f"min(case when {c} <> {_missing(c)} then struct({', '.join(order)}, {c} as value) end)")
 
 
 def merge_leads(df: DataFrame, keys: Sequence[str], order: str = "ord") -> DataFrame:
@@ -31,12 +31,11 @@ def merge_leads(df: DataFrame, keys: Sequence[str], order: str = "ord") -> DataF
     carried = [c for c in df.columns if c not in {*keys, *EXPORT_COLUMNS, order}]
     grouped = df.groupBy(*keys).agg(
         F.min(F.struct(order, *carried)).alias("_head"),
-        *[_first_fill(c, [order]).alias(c) for c in EXPORT_COLUMNS])
-    return grouped.select(
-        *keys, F.col(f"_head.{order}").alias(order),
-        *[F.coalesce(F.col(c)["value"], F.lit(0 if c == "confidence_score" else "")).alias(c)
-          for c in EXPORT_COLUMNS],
-        *[F.col(f"_head.{c}").alias(c) for c in carried])
+        *[F.expr(f"{_first_fill(c, [order])} as {c}") for c in EXPORT_COLUMNS])
+    return grouped.selectExpr(
+        *keys, f"_head.{order}",
+        *[f"coalesce({c}.value, {_missing(c)}) as {c}" for c in EXPORT_COLUMNS],
+        *[f"_head.{c}" for c in carried])
 
 
 def dedup_candidates(df: DataFrame, scope: Sequence[str] = (), order: str = "ord") -> DataFrame:
@@ -76,28 +75,28 @@ def _incoming(batch: DataFrame, order: Sequence[str]) -> DataFrame:
     head = [*order, "confidence_score", "confidence_tier", "discovered_at"]
     return key_leads(batch).groupBy("dedup_key").agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.struct(*head)).alias("_head"),
-        *[_first_fill(c, order).alias(f"_in_{c}") for c in TEXT_COLUMNS])
+        *[F.expr(f"{_first_fill(c, order)} as _in_{c}") for c in TEXT_COLUMNS])
 
 
 def _matched(store: DataFrame, batch: DataFrame, order: Sequence[str], how: str) -> DataFrame:
-    """Store and batch side by side; both are unique on the key, so no key can be hot here."""
-    kept = store.select(
-        "dedup_key", F.lit(True).alias("_stored"),
-        *[F.col(c).alias(f"_st_{c}") for c in
-          (*TEXT_COLUMNS, "confidence_score", "confidence_tier", "discovered_at", "updated_at")])
-    both = _incoming(batch, order).join(kept, "dedup_key", how)
-    # rows of the batch that bring a value nobody before them had: at most one per column
-    fills = F.array_compact(F.array(*[
-        F.when(F.coalesce(F.col(f"_st_{c}"), F.lit("")) == "",
-               F.struct(*[F.col(f"_in_{c}")[o].alias(o) for o in order]))
-        for c in TEXT_COLUMNS]))
-    fills = F.filter(fills, lambda s: s[order[0]].isNotNull())
-    head = F.struct(*[F.col("_head")[o].alias(o) for o in order])
-    changing = F.array_distinct(F.filter(
-        fills, lambda s: F.coalesce(F.col("_stored"), F.lit(False)) | (s != head)))
-    return (both.withColumn("_stored", F.coalesce("_stored", F.lit(False)))
-            .withColumn("_changing", F.coalesce(changing, F.array()))
-            .withColumn("_first", head))
+    """Store and batch side by side; both are unique on the key, so no key can be hot here.
+
+    ``_changing`` holds the order of the batch rows that bring a value nobody before them had:
+    at most one per column, the row that creates the lead not among them.
+    """
+    kept = store.selectExpr("dedup_key", "true as _has", *[f"{c} as _st_{c}" for c in (
+        *TEXT_COLUMNS, "confidence_score", "confidence_tier", "discovered_at", "updated_at")])
+
+    def place(of: str) -> str:
+        return "struct(" + ", ".join(f"{of}.{o} as {o}" for o in order) + ")"
+
+    fills = ", ".join(f"if(coalesce(_st_{c}, '') = '' and _in_{c} is not null, {place('_in_' + c)}, null)"
+                      for c in TEXT_COLUMNS)
+    return (_incoming(batch, order).join(kept, "dedup_key", how)
+            .selectExpr("*", "coalesce(_has, false) as _stored", f"{place('_head')} as _first",
+                        f"array_compact(array({fills})) as _fills")
+            .selectExpr("* except (_has, _fills)",
+                        "array_distinct(filter(_fills, p -> _stored or p <> _first)) as _changing"))
 
 
 def upsert_leads(store: DataFrame, batch: DataFrame, now: Column, order: Sequence[str] = ("ord",),
@@ -107,17 +106,13 @@ def upsert_leads(store: DataFrame, batch: DataFrame, now: Column, order: Sequenc
     Score and tier stay those of the record that created the lead; ``rescore`` grades them anew.
     ``updated_at`` moves to ``now`` for new and filled leads only.
     """
-    both = _matched(store, batch, order, "full_outer")
-    touched = ~F.col("_stored") | (F.size("_changing") > 0)
-    out = both.select(
-        *[F.coalesce(F.nullif(F.col(f"_st_{c}"), F.lit("")), F.col(f"_in_{c}")["value"],
-                     F.lit("")).alias(c) for c in TEXT_COLUMNS],
-        *[F.coalesce(F.col(f"_st_{c}"), F.col("_head")[c]).alias(c)
-          for c in ("confidence_score", "confidence_tier")],
-        "dedup_key",
-        F.coalesce("_st_discovered_at", F.col("_head")["discovered_at"], now).alias("discovered_at"),
-        F.when(touched, now).otherwise(F.col("_st_updated_at")).alias("updated_at"),
-        F.md5("dedup_key").alias("lead_id"))
+    both = _matched(store, batch, order, "full_outer").withColumn("_now", now)
+    out = both.selectExpr(
+        *[f"coalesce(nullif(_st_{c}, ''), _in_{c}.value, '') as {c}" for c in TEXT_COLUMNS],
+        *[f"coalesce(_st_{c}, _head.{c}) as {c}" for c in ("confidence_score", "confidence_tier")],
+        "dedup_key", "coalesce(_st_discovered_at, _head.discovered_at, _now) as discovered_at",
+        "if(not _stored or size(_changing) > 0, _now, _st_updated_at) as updated_at",
+        "md5(dedup_key) as lead_id")
     return grade_leads(out) if rescore else out
 
 
@@ -128,14 +123,10 @@ def upsert_actions(store: DataFrame, batch: DataFrame, order: Sequence[str] = ("
     joined to them on its unique order columns, so a hot key spreads over all tasks.
     """
     order = list(order)
-    keyed = _matched(store, batch, order, "left")
-    events = F.concat(
-        F.when(~F.col("_stored"), F.array(F.struct(
-            *[F.col("_first")[o].alias(o) for o in order], F.lit("inserted").alias("action"))))
-        .otherwise(F.array()),
-        F.transform("_changing", lambda s: F.struct(
-            *[s[o].alias(o) for o in order], F.lit("updated").alias("action"))))
-    acting = keyed.select(F.explode(events).alias("e")).select("e.*")
+    acts = ", ".join(f"p.{o} as {o}" for o in order)
+    acting = _matched(store, batch, order, "left").selectExpr(f"""inline(concat(
+        if(_stored, array(), transform(array(_first), p -> struct({acts}, 'inserted' as action))),
+        transform(_changing, p -> struct({acts}, 'updated' as action))))""")
     return (key_leads(batch).select(*order, "dedup_key")
             .join(acting, order, "left")
             .fillna({"action": "unchanged"}))
@@ -144,18 +135,14 @@ def upsert_actions(store: DataFrame, batch: DataFrame, order: Sequence[str] = ("
 def upsert_counts(store: DataFrame, batch: DataFrame, order: Sequence[str] = ("ord",)) -> DataFrame:
     """One row of counters, from the key-level aggregate alone (no join back to the rows)."""
     keyed = _matched(store, batch, order, "left")
-    new = F.when(F.col("_stored"), 0).otherwise(1)
-    return keyed.select(
-        F.col("_n"), new.alias("_new"), F.size("_changing").alias("_chg")).agg(
-        F.coalesce(F.sum("_new"), F.lit(0)).alias("inserted"),
-        F.coalesce(F.sum("_chg"), F.lit(0)).alias("updated"),
-        F.coalesce(F.sum(F.col("_n") - F.col("_new") - F.col("_chg")), F.lit(0)).alias("unchanged"),
-        F.lit(0).cast("bigint").alias("failed"))
+    return keyed.selectExpr("_n", "if(_stored, 0, 1) as _new", "size(_changing) as _chg").selectExpr(
+        "coalesce(sum(_new), 0) as inserted", "coalesce(sum(_chg), 0) as updated",
+        "coalesce(sum(_n - _new - _chg), 0) as unchanged", "cast(0 as bigint) as failed")
 
 
 def empty_store(batch: DataFrame) -> DataFrame:
     """A store with the batch's columns and no rows."""
-    return batch.select(*[F.col(c) for c in (*EXPORT_COLUMNS, *BOOKKEEPING)]).filter(F.lit(False))
+    return batch.select(*EXPORT_COLUMNS, *BOOKKEEPING).filter(F.lit(False))
 
 
 def delete_leads(store: DataFrame, ids: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def raw_leads(spark: SparkSession, sf: str) -> DataFrame:
         "updated_at": "timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, "
                       "cast(k % 40 + k % 9 as int))",
     }
-    leads = rows.select(*[F.expr(e).alias(a) for a, e in exprs.items()])
+    leads = rows.selectExpr(*[f"{e} as {a}" for a, e in exprs.items()])
     return conform(leads.withColumn("source_url", F.col("website")))
 
 

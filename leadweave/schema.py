@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from .fixed_values import LEAD_COLUMNS
 
@@ -53,15 +53,9 @@ def blank_missing(df: DataFrame) -> DataFrame:
 
 def conform(df: DataFrame) -> DataFrame:
     """Give a frame every lead column, in canonical order; other columns stay behind them."""
-    types = {f.name: f.dataType for f in LEAD_SCHEMA.fields}
-    cols = []
-    for c in LEAD_COLUMNS:
-        if c in df.columns:
-            cols.append(F.col(c))
-        elif c == "confidence_score":
-            cols.append(F.lit(0).alias(c))
-        elif isinstance(types[c], T.TimestampType):
-            cols.append(F.lit(None).cast(types[c]).alias(c))
-        else:
-            cols.append(F.lit("").alias(c))
-    return df.select(*cols, *[F.col(c) for c in df.columns if c not in LEAD_COLUMNS])
+    types = {f.name: f.dataType.simpleString() for f in LEAD_SCHEMA.fields}
+    blank = {"string": "''", "int": "0"}
+    return df.selectExpr(
+        *[c if c in df.columns else f"cast({blank.get(types[c], 'null')} as {types[c]}) as {c}"
+          for c in LEAD_COLUMNS],
+        *[f"`{c}`" for c in df.columns if c not in LEAD_COLUMNS])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.pages import anchors, attribute
 from ..functions.text import first_filled
@@ -15,6 +15,11 @@ from ..schema import conform
 ENGINE_STRIDE = 10 ** 10
 
 
+_RESULT_CLASS = r"""(?is)^<a\b[^>]*\sclass\s*=\s*["'](?:[^"']*\s)?result__a(?:\s[^"']*)?["']"""
+_RESULT_TITLE = (r"""(?is)(<li\b[^>]*\sclass\s*=\s*["'](?:[^"']*\s)?b_algo(?:\s[^"']*)?["'][^>]*>"""
+                 r"""(?:[^<]++|<(?!/li\b|h2\b))*+<h2\b[^>]*>\s*)<a\b""")
+
+
 def _query_value(href: Column, name: str) -> Column:
     """Decoded value of a query parameter ('' if absent or undecodable)."""
     raw = F.regexp_extract(href, rf"[?&]{name}=([^&#]*)", 1)
@@ -40,47 +45,30 @@ def unwrap_result_links(pages: DataFrame, limit: int = 50) -> DataFrame:
     Links with the engine's own result mark-up win; a page without any falls back to all its
     external links.
     """
-    html = F.col("html")
-    block = F.regexp_extract_all(
-        html, F.lit(r"""(?is)<li\b[^>]*\sclass\s*=\s*["'][^"']*\bb_algo\b.*?</li\s*>"""), F.lit(0))
-    heads = F.flatten(F.transform(block, lambda b: F.regexp_extract_all(
-        b, F.lit(r"(?is)<h2\b[^>]*>.*?</h2\s*>"), F.lit(0))))
-    marked = F.filter(anchors(html), lambda a: F.regexp_like(a, F.lit(
-        r"""(?is)^<a\b[^>]*\sclass\s*=\s*["'](?:[^"']*\s)?result__a(?:\s[^"']*)?["']""")))
-    primary = (F.when(F.col("engine") == "duckduckgo", marked)
-               .when(F.col("engine") == "bing",
-                     F.flatten(F.transform(heads, lambda h: anchors(h))))
-               .otherwise(anchors(html)))
-    links = pages.select(
-        "page", "engine",
-        F.posexplode(F.concat(
-            F.transform(primary, lambda a: F.struct(a.alias("a"), F.lit(True).alias("main"))),
-            F.transform(F.when(F.col("engine") == "google", F.array().cast("array<string>"))
-                        .otherwise(anchors(html)),
-                        lambda a: F.struct(a.alias("a"), F.lit(False).alias("main")))))
-        .alias("pos", "x"))
-    links = links.select("page", "engine", "pos", "x.main",
-                         attribute(F.col("x.a"), "href").alias("_href"))
+    bing, google = F.col("engine") == "bing", F.col("engine") == "google"
+    # the title link of each result block gets a mark, so that one pass over the anchors is enough
+    html = F.when(bing, F.regexp_replace("html", _RESULT_TITLE, "$1<a data-title")).otherwise(F.col("html"))
+    links = pages.select("page", "engine", F.posexplode(anchors(html)).alias("pos", "_a"))
+    main = F.when(bing, F.col("_a").startswith("<a data-title")).when(google, True).otherwise(
+        F.col("_a").rlike(_RESULT_CLASS))
+    links = links.select("page", "engine", "pos", main.alias("main"),
+                         attribute(F.col("_a"), "href").alias("_href"))
     links = links.withColumn("_real", unwrap_link(F.col("engine"), F.col("_href")))
-    external = F.col("_real").startswith("http")
-    own = (F.when(F.col("engine") == "google", F.contains("_real", F.lit("google.")))
-           .when((F.col("engine") == "bing") & ~F.col("main"),
-                 F.contains("_real", F.lit("bing.")) | F.contains("_real", F.lit("microsoft.")))
-           .otherwise(F.lit(False)))
-    keep = F.when((F.col("engine") == "duckduckgo") & F.col("main"),
-                  F.col("_real") != "").otherwise(external & ~own)
-    urls = with_canonical_url(links.filter(keep), "_real", "url").filter(F.col("url") != "")
+    real = F.col("_real")
+    own = F.when(google, F.contains(real, F.lit("google."))).otherwise(
+        bing & ~F.col("main") & real.rlike(r"bing\.|microsoft\."))
+    plain = F.col("main") & (F.col("engine") == "duckduckgo")
+    kept = links.filter(F.when(plain, real != "").otherwise(real.startswith("http") & ~own))
+    urls = with_canonical_url(kept, "_real", "url").filter(F.col("url") != "")
     first = urls.groupBy("page", "engine", "url").agg(
-        F.min(F.when(F.col("main"), F.col("pos"))).alias("main_pos"),
-        F.min(F.when(~F.col("main"), F.col("pos"))).alias("any_pos"))
-    # a page's fallback links count only if it has no main link: they sort behind, then drop out
-    ranked = top_per_group(first, ["page"], [F.asc_nulls_last("main_pos"), F.asc("any_pos")],
-                           limit, rank="rank")
-    mains = (first.groupBy("page").agg(F.count("main_pos").alias("mains"))
-             .withColumnRenamed("page", "_page"))
-    return (ranked.join(mains, F.col("page") == F.col("_page"))
-            .filter((F.col("mains") == 0) | F.col("main_pos").isNotNull())
-            .select("page", "engine", "url", "rank"))
+        F.min(F.when(F.col("main"), F.col("pos"))).alias("_main"), F.min("pos").alias("_any"))
+    # a group is one stored page here, so its size is that of a document
+    page = Window.partitionBy("page")
+    used = first.withColumn("_mains", F.count("_main").over(page)).filter(
+        (F.col("_mains") == 0) | F.col("_main").isNotNull())
+    order = page.orderBy(F.coalesce("_main", "_any"))
+    return used.select("page", "engine", "url", F.row_number().over(order).alias("rank")).filter(
+        F.col("rank") <= limit)
 
 
 def business_hosts(df: DataFrame, url: str = "url") -> DataFrame:
