@@ -78,8 +78,8 @@ def elements(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("ord"))
     return c.select(
         "ord",
-        F.expr("round(30.0444 + ((37 * ord) % 200 - 100) * 0.002, 4)").alias("lat"),
-        F.expr("round(31.2357 + ((53 * ord) % 200 - 100) * 0.002, 4)").alias("lon"),
+        F.expr("round(30.0444D + ((37 * ord) % 200 - 100) * 0.002D, 4)").alias("lat"),
+        F.expr("round(31.2357D + ((53 * ord) % 200 - 100) * 0.002D, 4)").alias("lon"),
         F.expr("""map('name', concat('Shop ', ord % 900),
             case ord % 6 when 1 then 'amenity' when 2 then 'office' when 3 then 'healthcare'
                          when 4 then 'craft' else 'shop' end,

@@ -189,8 +189,8 @@ cte("fx_graded", graded2("fx_raw"))
 cte("fx_leads", f"""
   SELECT *, md5(dedup_key) AS lead_id FROM (SELECT * EXCLUDE (dedup_key, lead_id), {KEY} AS dedup_key FROM fx_graded)""")
 cte("fx_osm", """
-  SELECT c_custkey AS ord, round(30.0444 + ((37 * c_custkey) % 200 - 100) * 0.002::DOUBLE, 4) AS lat,
-    round(31.2357 + ((53 * c_custkey) % 200 - 100) * 0.002::DOUBLE, 4) AS lon, 'Shop ' || (c_custkey % 900) AS name,
+  SELECT c_custkey AS ord, round(30.0444::DOUBLE + ((37 * c_custkey) % 200 - 100) * 0.002::DOUBLE, 4) AS lat,
+    round(31.2357::DOUBLE + ((53 * c_custkey) % 200 - 100) * 0.002::DOUBLE, 4) AS lon, 'Shop ' || (c_custkey % 900) AS name,
     ['shop', 'amenity', 'office', 'healthcare', 'craft', 'shop'][c_custkey % 6 + 1] AS k,
     ['car', 'dentist', 'it', 'clinic', 'carpenter', 'unknown_thing'][c_custkey % 6 + 1] AS v FROM customer""")
 cte("osm_values", "SELECT * FROM (VALUES " + ", ".join(

@@ -8,7 +8,8 @@ from ..fixed_values import HISTORY_SIZE
 from ..operators.query import export_projection
 from ..schema import EXPORT_COLUMNS, LEAD_SCHEMA, blank_missing
 
-_CSV = {"header": "true", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""}
+_CSV = {"header": "true", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "",
+        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def export_leads_csv(df: DataFrame, path: str) -> None:
@@ -18,8 +19,7 @@ def export_leads_csv(df: DataFrame, path: str) -> None:
 
 def read_leads_csv(spark: SparkSession, path: str) -> DataFrame:
     types = ", ".join(f"{c} {'int' if c == 'confidence_score' else 'string'}" for c in EXPORT_COLUMNS)
-    return blank_missing(spark.read.schema(types).options(**_CSV, multiLine="true",
-        ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path))
+    return blank_missing(spark.read.schema(types).options(**_CSV, multiLine="true").csv(path))
 
 
 def append_scan_history(history: DataFrame | None, runs: DataFrame,

@@ -11,8 +11,8 @@ from ..operators.resolve import upsert_leads
 from ..sources.sinks import read_snapshot, write_snapshot
 
 
-def upsert_batch(spark: SparkSession, root: str, now: Column,
-                 order: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def upsert_batch(spark: SparkSession, root: str, now: Column, order: Sequence[str],
+                 written: list[int] | None = None) -> Callable[[DataFrame, int], None]:
     """Micro-batch n turns version n into version n + 1.
 
     The version comes from the batch id, so a batch that is run again after a failure reads the
@@ -21,6 +21,8 @@ def upsert_batch(spark: SparkSession, root: str, now: Column,
     def apply(batch: DataFrame, batch_id: int) -> None:
         store = read_snapshot(spark, root, batch_id)
         write_snapshot(upsert_leads(store, batch, now, order), root, batch_id + 1)
+        if written is not None:
+            written.append(batch_id + 1)
 
     return apply
 
@@ -31,10 +33,13 @@ def stream_upsert(spark: SparkSession, source: str, schema: StructType, root: st
 
     Version 0 (the store before the first tick) must exist. Call it once per tick.
     """
+    written: list[int] = []
     files = spark.readStream.schema(schema).parquet(source)
-    query = (files.writeStream.foreachBatch(upsert_batch(spark, root, now, order))
+    query = (files.writeStream.foreachBatch(upsert_batch(spark, root, now, order, written))
              .option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    done = query.lastProgress
-    return (done["batchId"] if isinstance(done, dict) else done.batchId) + 1 if done else 0
+    if written:
+        return written[-1]
+    # nothing new: the batch that would come next starts from the newest version
+    return query.lastProgress["batchId"] if query.lastProgress else 0
