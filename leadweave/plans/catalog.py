@@ -493,7 +493,7 @@ def source_cascade(spark, sf):
 # --- text mining -----------------------------------------------------------------------------
 @query
 def clean_text_table(spark, sf):
-    return X.table(spark, sf, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
+    return X.text_table(spark, sf, "documents", "doc_id").select("doc_id", clean_text(F.col("text")).alias("text"))
 
 
 def _raw_urls(spark, sf):
@@ -552,7 +552,7 @@ def extract_social_links(spark, sf):
 
 @query
 def classify_industry(spark, sf):
-    return X.table(spark, sf, "documents").select("doc_id", guess_industry(F.col("text")).alias("industry"))
+    return X.text_table(spark, sf, "documents", "doc_id").select("doc_id", guess_industry(F.col("text")).alias("industry"))
 
 
 @query

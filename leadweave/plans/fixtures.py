@@ -8,6 +8,7 @@ from ..functions.urls import domain, with_canonical_url
 from ..operators.resolve import empty_store, upsert_leads
 from ..operators.scoring import grade_leads, key_leads
 from ..schema import EXPORT_COLUMNS, conform
+from ..session import spread_scan
 from ..sources.searches import default_searches, with_defaults
 
 AS_OF = "2024-02-10 00:00:00"
@@ -24,6 +25,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """A table with long texts, spread over all cores if its file is too small for that."""
+    return spread_scan(table(spark, sf, name), key)
+
+
 def raw_leads(spark: SparkSession, sf: str) -> DataFrame:
     """customer x nation x region as ungraded lead candidates; ord is the customer key."""
     c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
@@ -131,7 +137,7 @@ def scan_inputs(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 def site_pages(spark: SparkSession, sf: str) -> DataFrame:
     """pages with contact facts appended to the HTML, and the site's host."""
-    p = with_canonical_url(table(spark, sf, "pages").select("page_id", "url", "html"), "url", "_c")
+    p = with_canonical_url(text_table(spark, sf, "pages", "page_id").select("page_id", "url", "html"), "url", "_c")
     p = p.withColumn("host", domain(F.col("_c"))).drop("_c").withColumn("p", F.col("page_id"))
     tail = F.expr("""concat(
         if(p % 3 = 0, concat('<a href="mailto:info@', host, '">Mail us</a> owner', p, '@', host, ' '), ''),
@@ -203,7 +209,7 @@ def scan_history(spark: SparkSession, sf: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """Everything that may hold e-mails and phones: documents, page HTML, lead contacts."""
-    docs = table(spark, sf, "documents").select(
+    docs = text_table(spark, sf, "documents", "doc_id").select(
         F.lit("document").alias("src"), F.col("doc_id").alias("id"), "text")
     pages = site_pages(spark, sf).select(F.lit("page").alias("src"), F.col("page_id").alias("id"),
                                          F.col("html").alias("text"))
