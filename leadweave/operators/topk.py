@@ -9,24 +9,38 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 SALTS = 32
 
 
-def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, n: int | Column,
+def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int | Column,
                   rank: str | None = None) -> DataFrame:
     """Keep the first ``n`` rows of every group, in two exact rounds.
 
     Round one ranks inside (group, salt), so a group that holds a large share of all rows is cut
     down by many tasks; round two ranks what is left, at most ``n * SALTS`` rows of a group. With
     a constant ``n`` the salt is the input partition and Spark also limits each group before the
-    first shuffle (WindowGroupLimit); with a column the salt is a hash of the order columns.
+    first shuffle (WindowGroupLimit). With a column there is no such limit: the salt is a hash of
+    the order columns, and the explicit exchange keeps Spark from reusing an earlier partitioning
+    by the group alone, which would undo the salt.
     """
+    rn = F.row_number()
     if isinstance(n, int):
-        salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
+        salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     else:
-        salt = F.pmod(F.xxhash64(*[c for c in order if isinstance(c, str)]), F.lit(SALTS))
-    rn = F.row_number()
-    part = (df.withColumn("_salt", salt)
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS))).repartition(*keys, "_salt")
+    part = (salted
             .withColumn("_rn", rn.over(Window.partitionBy(*keys, "_salt").orderBy(*order)))
             .filter(F.col("_rn") <= n).drop("_rn", "_salt"))
     name = rank or "_rn"
     out = (part.withColumn(name, rn.over(Window.partitionBy(*keys).orderBy(*order)))
            .filter(F.col(name) <= n))
     return out if rank else out.drop(name)
+
+
+def capped(df: DataFrame, limit: int | DataFrame, scope: str, order: str) -> DataFrame:
+    """First rows of each ``scope`` value, by one limit or by a (scope, limit) table.
+
+    The table is joined here, behind the caller's aggregation: joined before it, the aggregate
+    would inherit the join's partitioning by scope alone and a hot scope would stay in one task.
+    """
+    if isinstance(limit, int):
+        return top_per_group(df, [scope], [order], limit)
+    rows = df.join(limit.select(scope, F.col("limit").alias("_limit")), scope)
+    return top_per_group(rows, [scope], [order], F.col("_limit")).drop("_limit")

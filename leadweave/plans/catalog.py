@@ -473,21 +473,21 @@ def union_of_sources(spark, sf):
 QUERIES["union_sources"] = QUERIES.pop("union_of_sources")
 
 
-def _limited_hits(spark, sf):
-    hits = with_canonical_url(X.hits(spark, sf), "url", "url")
-    return hits.join(X.searches(spark, sf).select("search_id", "limit"), "search_id").select(
-        "search_id", "engine", "ord", "url", "limit")
+def _engine_hits(spark, sf):
+    return with_canonical_url(X.hits(spark, sf), "url", "url").select("search_id", "engine", "ord", "url")
 
 
 @query
 def ordered_distinct_urls(spark, sf):
-    return web.ordered_distinct_urls(_limited_hits(spark, sf), F.col("limit")).select("search_id", "ord", "url")
+    return web.ordered_distinct_urls(_engine_hits(spark, sf), X.searches(spark, sf)).select(
+        "search_id", "ord", "url")
 
 
 @query
 def source_cascade(spark, sf):
-    used = web.source_cascade(_limited_hits(spark, sf))
-    return web.ordered_distinct_urls(used, F.col("limit")).select("search_id", "ord", "url")
+    limits = X.searches(spark, sf)
+    used = web.source_cascade(_engine_hits(spark, sf), limits)
+    return web.ordered_distinct_urls(used, limits).select("search_id", "ord", "url")
 
 
 # --- text mining -----------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..fixed_values import DIRECTORY_OFFSITE_FRAGMENTS
 from ..functions.industry import guess_industry
@@ -10,7 +10,7 @@ from ..functions.pages import anchors, attribute, element_text
 from ..functions.text import any_of, clean_text, first_filled
 from ..functions.urls import with_canonical_url
 from ..operators.scoring import grade_leads
-from ..operators.topk import top_per_group
+from ..operators.topk import capped
 from ..schema import conform
 
 
@@ -49,14 +49,14 @@ def directory_outlinks(pages: DataFrame, base: str) -> DataFrame:
     return urls.filter(~away.rlike(any_of([host, *DIRECTORY_OFFSITE_FRAGMENTS]))).drop("_href")
 
 
-def directory_dedup(hits: DataFrame, limit: int | Column, scope: str = "search_id",
+def directory_dedup(hits: DataFrame, limit: int | DataFrame, scope: str = "search_id",
                     order: str = "ord") -> DataFrame:
     """First hit per (lower name, lower url) of each search, then the first ``limit``."""
     keep = [c for c in hits.columns if c not in {scope, order}]
     first = (hits.filter(F.col("name") != "")
              .groupBy(scope, F.lower("name").alias("_n"), F.lower("url").alias("_u"))
              .agg(F.min(F.struct(order, *keep)).alias("h")).select(scope, "h.*"))
-    return top_per_group(first, [scope], [order], limit)
+    return capped(first, limit, scope, order)
 
 
 def directory_hits_to_leads(hits: DataFrame, searches: DataFrame) -> DataFrame:
@@ -78,6 +78,5 @@ def directory_hits_to_leads(hits: DataFrame, searches: DataFrame) -> DataFrame:
 
 def directory_candidates(searches: DataFrame, hits: DataFrame) -> DataFrame:
     """Directory source for all searches at once."""
-    asked = hits.join(searches.select("search_id", "limit"), "search_id")
-    rows = with_canonical_url(asked, "url", "url").filter(F.col("url") != "")
-    return directory_hits_to_leads(directory_dedup(rows, F.col("limit")), searches)
+    rows = with_canonical_url(hits, "url", "url").filter(F.col("url") != "")
+    return directory_hits_to_leads(directory_dedup(rows, searches), searches)

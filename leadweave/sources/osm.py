@@ -15,7 +15,7 @@ from ..functions.phones import normalize_phone
 from ..functions.text import clean_text, constant_map, filled, first_filled, strip
 from ..functions.urls import canonical_url
 from ..operators.scoring import grade_leads
-from ..operators.topk import top_per_group
+from ..operators.topk import capped, top_per_group
 from ..schema import ELEMENTS_DOCUMENT_SCHEMA, conform
 
 EARTH_RADIUS_M = 6371000.0
@@ -38,8 +38,11 @@ def named_elements(df: DataFrame) -> DataFrame:
 
 
 def osm_name_dedup(df: DataFrame, scope: list[str] = (), order: str = "ord",
-                   limit: int | Column | None = None) -> DataFrame:
-    """First element per lower-case name; then the first ``limit`` of each scope."""
+                   limit: int | DataFrame | None = None) -> DataFrame:
+    """First element per lower-case name; then the first ``limit`` of each scope.
+
+    ``limit`` is a number or, with one scope column, a (scope, limit) table.
+    """
     scope = list(scope)
     named = named_elements(df)
     kept = F.struct(*[c for c in named.columns if c not in scope])
@@ -50,7 +53,7 @@ def osm_name_dedup(df: DataFrame, scope: list[str] = (), order: str = "ord",
         return first
     if not scope:
         return first.orderBy(order).limit(limit)
-    return top_per_group(first, scope, [order], limit)
+    return capped(first, limit, *scope, order)
 
 
 def keyword_tags(keyword: Column) -> Column:
@@ -207,12 +210,12 @@ def osm_to_leads(df: DataFrame) -> DataFrame:
 def osm_candidates(searches: DataFrame, elements: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """What the map source finds for every search: near its place, matching its keyword."""
     asked = geocode_places(searches.filter(F.col("place") != ""), gazetteer, "place").select(
-        "search_id", "place", "country", "limit",
+        "search_id", "place", "country",
         first_filled(F.col("query"), F.col("industry"), F.col("category")).alias("keyword"),
         F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"),
         F.coalesce(F.nullif(F.col("radius_km") * 1000, F.lit(0)),
                    F.lit(OSM_DEFAULT_RADIUS_M)).cast("double").alias("p_radius_m"))
     near = osm_tag_filter(near_places(located(elements), asked), F.col("keyword"))
     near = top_per_group(near, ["search_id"], ["ord"], OSM_MAX_ELEMENTS)
-    near = near.select("search_id", "ord", "lat", "lon", "tags", "place", "country", "limit")
-    return osm_to_leads(osm_name_dedup(near, ["search_id"], "ord", F.col("limit")))
+    near = near.select("search_id", "ord", "lat", "lon", "tags", "place", "country")
+    return osm_to_leads(osm_name_dedup(near, ["search_id"], "ord", searches))

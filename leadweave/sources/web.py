@@ -8,7 +8,7 @@ from ..functions.pages import anchors, attribute
 from ..functions.text import first_filled
 from ..functions.urls import is_business_host, with_canonical_url
 from ..operators.scoring import grade_leads
-from ..operators.topk import top_per_group
+from ..operators.topk import capped, top_per_group
 from ..schema import conform
 
 #: room for the positions of one engine in the shared order of a search
@@ -76,36 +76,38 @@ def business_hosts(df: DataFrame, url: str = "url") -> DataFrame:
     return df.filter(is_business_host(F.col(url)))
 
 
-def ordered_distinct_urls(df: DataFrame, limit: int | Column, scope: str = "search_id",
+def ordered_distinct_urls(df: DataFrame, limit: int | DataFrame, scope: str = "search_id",
                           order: str = "ord", url: str = "url") -> DataFrame:
-    """Distinct business URLs of each search at their first position, then the first ``limit``."""
-    kept = [c for c in ("limit",) if c in df.columns]
-    first = business_hosts(df.filter(F.col(url) != ""), url).groupBy(scope, url, *kept).agg(
+    """Distinct business URLs of each search at their first position, then the first ``limit``.
+
+    ``limit`` is a number or a (scope, limit) table.
+    """
+    first = business_hosts(df.filter(F.col(url) != ""), url).groupBy(scope, url).agg(
         F.min(order).alias(order))
-    return top_per_group(first, [scope], [order], limit)
+    return capped(first, limit, scope, order)
 
 
-def source_cascade(df: DataFrame) -> DataFrame:
-    """URLs that count, of rows (search_id, engine 0/1/2, ord, url, limit); no host filter or cap yet.
+def source_cascade(df: DataFrame, limits: DataFrame) -> DataFrame:
+    """URLs that count, of rows (search_id, engine 0/1/2, ord, url); no host filter or cap yet.
 
     The second engine is asked only if the first gave fewer than limit/2 URLs, the third only if
     the running distinct list is shorter than limit/4. Each engine itself returns at most
     ``limit`` distinct URLs.
     """
-    given = df.groupBy("search_id", "engine", "url", "limit").agg(F.min("ord").alias("ord"))
+    given = df.groupBy("search_id", "engine", "url").agg(F.min("ord").alias("ord"))
+    given = given.join(limits.select("search_id", "limit"), "search_id")
     given = top_per_group(given, ["search_id", "engine"], ["ord"], F.col("limit"))
     urls = given.groupBy("search_id", "limit", "url").agg(
         F.min(F.struct("engine", "ord")).alias("h")).select("search_id", "limit", "url", "h.*")
     sizes = urls.groupBy("search_id").agg(
         F.count_if(F.col("engine") == 0).alias("n1"),
         F.count_if(F.col("engine") <= 1).alias("n12"))
-    # the summary has one row per search; the adaptive join splits a hot search on the other side
+    # by now a search has at most 3 * limit rows
     gated = urls.join(sizes, "search_id")
     second = F.col("n1") < F.floor(F.col("limit") / 2)
     third = second & (F.col("n12") < F.floor(F.col("limit") / 4))
     return gated.filter((F.col("engine") == 0) | ((F.col("engine") == 1) & second) | third).select(
-        "search_id", "limit", "engine", (F.col("engine") * ENGINE_STRIDE + F.col("ord")).alias("ord"),
-        "url")
+        "search_id", "engine", (F.col("engine") * ENGINE_STRIDE + F.col("ord")).alias("ord"), "url")
 
 
 def search_hits_to_leads(hits: DataFrame, searches: DataFrame) -> DataFrame:
@@ -123,6 +125,5 @@ def search_hits_to_leads(hits: DataFrame, searches: DataFrame) -> DataFrame:
 
 def search_candidates(searches: DataFrame, hits: DataFrame) -> DataFrame:
     """Search source for all searches at once: canonical, distinct, capped by the search."""
-    asked = hits.join(searches.select("search_id", "limit"), "search_id")
-    urls = ordered_distinct_urls(with_canonical_url(asked, "url", "url"), F.col("limit"))
+    urls = ordered_distinct_urls(with_canonical_url(hits, "url", "url"), searches)
     return search_hits_to_leads(urls, searches)

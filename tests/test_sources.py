@@ -80,7 +80,7 @@ def test_geocode_falls_back_to_query(spark):
 
 def hits(spark, rows, limit):
     df = spark.createDataFrame(rows, "search_id long, engine int, ord long, url string")
-    return df.withColumn("limit", F.lit(limit))
+    return df, df.select("search_id").distinct().withColumn("limit", F.lit(limit))
 
 
 def test_cascade(spark):
@@ -88,16 +88,16 @@ def test_cascade(spark):
     rows = [(0, 0, 0, u(0)), (0, 1, 1, u(1)), (0, 2, 2, u(2)),                      # 1 < 4 // 2 ; 2 >= 4 // 4
             (1, 0, 0, u(0)), (1, 0, 1, u(1)), (1, 1, 2, u(2)), (1, 2, 3, u(3)),     # 2 >= 2: first engine only
             (2, 1, 0, u(1)), (2, 2, 1, u(1)), (2, 2, 2, u(2)), (3, 2, 0, u(9))]     # nothing from the first
-    got = bag(web.source_cascade(hits(spark, rows, 4)), "search_id", "engine", "url")
+    got = bag(web.source_cascade(*hits(spark, rows, 4)), "search_id", "engine", "url")
     assert got == [(0, 0, u(0)), (0, 1, u(1)), (1, 0, u(0)), (1, 0, u(1)), (2, 1, u(1)), (3, 2, u(9))]
-    wide = bag(web.source_cascade(hits(spark, rows, 12)), "search_id", "engine", "url")
+    wide = bag(web.source_cascade(*hits(spark, rows, 12)), "search_id", "engine", "url")
     assert (0, 2, u(2)) in wide and (2, 2, u(2)) in wide and (2, 1, u(1)) in wide and len(wide) == 9
 
 
 def test_ordered_distinct_urls(spark):
     rows = [(0, 0, 3, "https://a.com"), (0, 0, 1, "https://a.com"), (0, 0, 2, "https://fedex.com"), (0, 0, 5, "https://c.com"),
             (0, 0, 4, "https://d.com"), (0, 0, 0, "")]
-    assert bag(web.ordered_distinct_urls(hits(spark, rows, 2), F.col("limit")), "ord", "url") == [
+    assert bag(web.ordered_distinct_urls(*hits(spark, rows, 2)), "ord", "url") == [
         (1, "https://a.com"), (4, "https://d.com")]
 
 
