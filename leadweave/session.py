@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import functools
 import tempfile
 import uuid
 
@@ -33,16 +33,18 @@ def local_session(cpus: str | int = "*", app: str = "leadweave", partitions: int
     return spark
 
 
+@functools.cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="leadweave-")
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared folder named by ``spark.checkpoint.dir``.
 
     Only where the session names none (a laptop, a test) is a local temporary folder used.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="leadweave-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return os.path.join(shared, f"{label}-{uuid.uuid4().hex}")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or _local_scratch()
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
