@@ -80,7 +80,8 @@ def scan_site_pages(spark, sf):
 def scan_saved_searches(spark, sf):
     path = scratch_dir(spark, "searches")
     X.saved_search_documents(spark, sf).write.text(path)
-    return load_searches(spark, path).withColumn("sources", F.concat_ws(",", "sources"))
+    found = load_searches(spark, path).fillna({"radius_km": 0})
+    return found.withColumn("sources", F.concat_ws(",", "sources"))
 
 
 @query
@@ -292,8 +293,9 @@ def join_criteria_backfill(spark, sf):
 @query
 def join_site_pages(spark, sf):
     selected = enrich.site_pages(X.site_pages(spark, sf))
-    return enrich.join_site_pages(X.site_leads(spark, sf), selected).select(
-        "ord", "website", "site", "page_rank", "page_id")
+    joined = enrich.join_site_pages(X.site_leads(spark, sf), selected)
+    return joined.select("ord", "website", "site", "page_rank", "page_id").fillna(
+        {"site": "", "page_rank": 0, "page_id": -1})
 
 
 @query
@@ -379,7 +381,7 @@ def upsert_action_counts(spark, sf):
 def scan_totals(spark, sf):
     store, _ = X.store_and_batch(spark, sf)
     found = materialize(scan.scan(X.searches(spark, sf), X.scan_inputs(spark, sf)), "found")
-    return scan.scan_totals(store, found)
+    return scan.scan_totals(store, found).fillna({"search_id": -1})   # -1: all searches
 
 
 @query

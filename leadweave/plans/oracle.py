@@ -670,7 +670,7 @@ def sql() -> dict[str, str]:
         array_to_string(list_sort(['name', k]), ',') AS tag_keys FROM fx_osm WHERE ord % 7 <> 0"""
     q["scan_site_pages"] = "SELECT site, pages, length(html) AS html_chars, md5(text) AS text_md5 FROM site_docs"
     q["scan_saved_searches"] = """SELECT ord AS search_id, category AS query, '' AS industry, '' AS category, city, governorate,
-        CASE WHEN ord % 2 = 0 THEN country ELSE 'Egypt' END AS country, CASE WHEN ord % 5 = 0 THEN 3 END AS radius_km,
+        CASE WHEN ord % 2 = 0 THEN country ELSE 'Egypt' END AS country, CASE WHEN ord % 5 = 0 THEN 3 ELSE 0 END AS radius_km,
         CASE WHEN ord % 3 = 0 THEN ord % 100 ELSE 50 END AS "limit",
         CASE WHEN ord % 4 = 0 THEN 'search,directories' ELSE 'openstreetmap,search,directories' END AS sources,
         CASE WHEN governorate = '' THEN city ELSE governorate || ', ' || city END AS place FROM fx_raw"""
@@ -729,7 +729,8 @@ def sql() -> dict[str, str]:
         CASE WHEN l.governorate <> '' THEN l.governorate ELSE s.governorate END AS governorate, l.country,
         CASE WHEN l.industry <> '' THEN l.industry ELSE s.industry END AS industry,
         CASE WHEN l.category <> '' THEN l.category ELSE s.query END AS category FROM fx_raw l JOIN fx_searches s USING (search_id)"""
-    q["join_site_pages"] = f"""SELECT l.ord, l.website, nullif({sql_domain('l.site_url')}, '') AS site, r.page_rank, r.page_id
+    q["join_site_pages"] = f"""SELECT l.ord, l.website, {sql_domain('l.site_url')} AS site, coalesce(r.page_rank, 0) AS page_rank,
+        coalesce(r.page_id, -1) AS page_id
         FROM site_leads_c l LEFT JOIN site_ranked r ON r.site = {sql_domain('l.site_url')}"""
     q["geocode_places"] = """SELECT l.ord, lower(l.city) AS place_name, g.lat, g.lon FROM fx_raw l
         JOIN fx_gazetteer g ON lower(g.place) = lower(l.city)"""
@@ -758,7 +759,7 @@ def sql() -> dict[str, str]:
     q["upsert_action_counts"] = """SELECT count(*) FILTER (WHERE action = 'inserted') AS inserted,
         count(*) FILTER (WHERE action = 'updated') AS updated, count(*) FILTER (WHERE action = 'unchanged') AS unchanged,
         CAST(0 AS BIGINT) AS failed FROM up_rows WHERE side = 0"""
-    q["scan_totals"] = """SELECT ord_.s AS search_id, count(*) AS discovered, CAST(0 AS BIGINT) AS enriched,
+    q["scan_totals"] = """SELECT coalesce(ord_.s, -1) AS search_id, count(*) AS discovered, CAST(0 AS BIGINT) AS enriched,
         count(*) FILTER (WHERE action = 'inserted') AS inserted, count(*) FILTER (WHERE action = 'updated') AS updated,
         count(*) FILTER (WHERE action = 'unchanged') AS unchanged FROM sc_rows WHERE side = 0 GROUP BY ROLLUP (ord_.s)"""
     q["period_report"] = _report(30)
