@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import tempfile
 import uuid
 
@@ -33,17 +32,18 @@ def local_session(cpus: str | int = "*", app: str = "leadweave", partitions: int
     return spark
 
 
-@functools.cache
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="leadweave-")
-
-
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (a laptop, a test) is a local temporary folder used.
+    A session on one machine that names none gets a folder of its own; on a cluster that is an error,
+    because the executors would each write to their own disk.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or _local_scratch()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="leadweave-")
+        spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
