@@ -2,21 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadweave.llm.minhash import near_duplicates
-from leadweave.llm.tables import documents, table
+from leadweave.llm import decontam, langid, line_dedup, minhash, packing
+from leadweave.llm.queries import TOKENIZER
+from leadweave.llm.tables import documents, held_out, table
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, and those that none of the learned languages explains, go."""
+    model = langid.fit(docs.where(~held_out(F.col("doc_id"))))
+    found = langid.identify(docs, model, carry=[c for c in docs.columns if c != "text"])
+    known = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("bits") <= langid.MOST_BITS))
+    return known.select(*[F.col("text") if c == "text" else F.col(f"carried.{c}").alias(c) for c in docs.columns])
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go; a document of nothing else goes with them. ``n_chars`` follows the text."""
+    cut = line_dedup.remove_boilerplate(docs, carry=[c for c in docs.columns if c != "text"]).where("n_removed = 0 or trim(kept_text) <> ''")
+    new = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("carried.n_chars"))}
+    return cut.select(*[(new[c] if c in new else F.col(f"carried.{c}")).cast(t).alias(c) for c, t in docs.dtypes])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of near duplicates stays; documents without an id are in no group."""
+    copies = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, also one with other values, go."""
+    hit = decontam.benchmark_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, TOKENIZER)
 
 
-STAGES = [("near_duplicates", near_duplicate_stage)]
+STAGES = [("language", language_stage), ("lines", line_stage), ("near_duplicates", near_duplicate_stage),
+          ("benchmark", benchmark_stage), ("packing", packing_stage)]
 
-#: the stages learn models, hash and tokenise: SQL expresses none of them
+#: the stages learn models, hash and tokenise: SQL does not express them
 ORACLE_SQL = None
 
 

@@ -25,6 +25,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return stars.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v"), least
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour, which has none itself."""
+    ends = edges.select(F.col("u").alias("n"), F.col("v").alias("p"), F.lit(0).alias("is_parent")).unionByName(
+        edges.select(F.col("v").alias("n"), F.lit(None).cast("long").alias("p"), F.lit(1).alias("is_parent")))
+    node = ends.groupBy("n").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.max("is_parent").alias("is_parent"))
+    return node.where("lo <> hi or (lo is not null and is_parent = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): each node of an edge with the smallest node that it reaches.
 
@@ -34,14 +42,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     now = table(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
                 .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen:
-            break
-        seen = tuple(mark)
+    while not _stars(now):
         large, least = _large_star(now)
-        mid = table(large.distinct(), "stars")
+        mid = table(large, "stars")
         delete_tables(least, now)
         small, least = _small_star(mid)
         now = table(small.distinct(), "stars")

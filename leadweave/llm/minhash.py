@@ -5,7 +5,8 @@
 2. Bands of minima deal classes into buckets. Every class is compared with the smallest of each
    bucket it is in, by signature, then on full sets. Star rounds join what is linked.
 3. Buckets that still hold several components are compared across components, block by block inside
-   tasks, by signature; only pairs that may be links leave a task and are confirmed on full sets.
+   tasks: by signature, then on full sets. What a task links is one component for it from then on, so it
+   gives fewer links than it has texts.
 
 Pairs inside one component can't change the result and are never made, so a group of n copies costs
 about n rows. A pair of similarity 0.85 shares no band with probability (1 - 0.85 ** 5) ** 24 < 1e-6,
@@ -17,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -29,6 +29,8 @@ BANDS, ROWS = 24, 5
 SHINGLE = 5
 #: classes in a block of step 3, members compared with one leader in a task of step 2
 BLOCK = 512
+#: shingles in a block of step 3, about
+BLOCK_SHINGLES = 500_000
 _RANDOM = np.random.default_rng(20_071)
 _A = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
 _B = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -115,29 +117,47 @@ def _likely(threshold: float):
     return run
 
 
-def _block_pairs(threshold: float):
-    """Pairs of different components within one bucket or pair of blocks, found in their first common band only."""
-    least = least_agreement(threshold)
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * same >= percent * (len(a) + len(b) - same)
+
+
+def _block_links(percent: int):
+    """Links across components within one bucket or pair of its blocks, looked for in a pair's first common band only."""
+    least = least_agreement(percent / 100)
 
-    def run(key, pdf):
-        band, _, i, j = (int(k) for k in key)
-        rep, comp, block = (pdf[c].to_numpy(np.int64) for c in ("rep", "comp", "block"))
-        sign = np.frombuffer(b"".join(pdf["sign"]), np.uint32).reshape(len(pdf), -1)
-        bands = sign.reshape(len(pdf), BANDS, ROWS)
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        band, _, i, j = (int(k.as_py()) for k in key)
+        rep, block = (rows.column(c).to_numpy() for c in ("rep", "block"))
+        _, comp = np.unique(rows.column("comp").to_numpy(), return_inverse=True)
+        sign = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint32).reshape(len(rep), -1)
+        bands, sets = sign.reshape(len(rep), BANDS, ROWS), [np.frombuffer(s, U) for s in rows.column("set").to_pylist()]
+        size = np.array([len(s) for s in sets])
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [], []
         for x in left:
-            y = right[(comp[right] != comp[x])]
+            y = right[comp[right] != comp[x]]
             if i == j:
                 y = y[rep[y] > rep[x]]
-            y = y[_agree(sign[y], sign[x]) >= least] if len(y) else y
-            y = y[(bands[y] == bands[x]).all(-1).argmax(-1) == band] if len(y) else y
-            a.append(np.full(len(y), rep[x]))
-            b.append(rep[y])
-        return pd.DataFrame({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+            y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
+            agree = _agree(sign[y], sign[x])
+            y, agree = y[agree >= least], agree[agree >= least]
+            first = (bands[y] == bands[x]).all(-1).argmax(-1) == band
+            y = y[first][np.argsort(-agree[first], kind="stable")]
+            for k in y:
+                if comp[k] != comp[x] and _linked(sets[x], sets[k], percent):
+                    comp[comp == comp[k]] = comp[x]
+                    a.append(rep[x])
+                    b.append(rep[k])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
     return run
 
 
+def _sets(batches):
+    for batch in slices(batches, "text"):
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], names=["rep", "set"])
+
+
 def _set_rows(batches):
     """(leader, part, role, member, set) from (leader, part, role, member, text)."""
     for batch in slices(batches, "text"):
@@ -155,11 +175,9 @@ def _confirm(percent: int):
                 s = np.frombuffer(data, U)
                 if role == 0:
                     now, own = (leader, part), s
-                elif now == (leader, part):
-                    same = len(np.intersect1d(own, s, assume_unique=True))
-                    if 100 * same >= percent * (len(own) + len(s) - same):
-                        a.append(leader)
-                        b.append(member)
+                elif now == (leader, part) and _linked(own, s, percent):
+                    a.append(leader)
+                    b.append(member)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
     return run
 
@@ -197,9 +215,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where("id is not null")
     signs = table(docs.mapInArrow(_signatures("id", "text"), "id long, n_shingles long, set1 long, set2 long, sign binary"), "signatures")
     filled = signs.where("sign is not null")
-    first = filled.groupBy("set1", "set2").agg(F.min("id").alias("rep"), F.min("sign").alias("sign"))
+    first = filled.groupBy("set1", "set2").agg(F.min("id").alias("rep"), F.min("sign").alias("sign"), F.min("n_shingles").alias("n_shingles"))
     classes = table(first, "classes")
-    links = _class_links(docs, classes.select("rep", "sign"), percent)
+    links = _class_links(docs, classes.select("rep", "sign", "n_shingles"), percent)
     whole = connected_components(links, "a", "b")
     of = classes.select("set1", "set2", "rep").join(whole.withColumnRenamed("node", "rep"), "rep", "left") \
         .select("set1", "set2", F.coalesce("component", "rep").alias("component"))
@@ -223,19 +241,18 @@ def _class_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     links = table(_links(docs, likely, percent), "links")
     part = table(connected_components(links, "a", "b"), "parts")
     # buckets that hold several components
-    of = (banded.join(leaders.select("band", "key", "n"), ["band", "key"])
-          .join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")))
-    of = table(of.select("band", "key", "n", "rep", "comp"), "members")
-    mixed = table(of.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                  .where("lo <> hi").select("band", "key"), "mixed")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = (of.join(mixed, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-            .join(classes, "rep")
-            .select("band", "key", "rep", "comp", "block", "sign",
-                    F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-            .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
-    more = (left.groupBy("band", "key", "i", "j").applyInPandas(_block_pairs(threshold), "a long, b long"))
-    # a pair that an earlier round refused is refused again
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = table(more.distinct().join(likely, ["a", "b"], "left_anti"), "pairs")
-    return links.unionByName(table(_links(docs, more, percent), "links"))
+    of = (banded.join(leaders.select("band", "key"), ["band", "key"])
+          .join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+          .join(classes.select("rep", "n_shingles"), "rep"))
+    of = table(of.select("band", "key", "rep", "comp", "n_shingles"), "members")
+    mixed = (of.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.greatest(
+        F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("lo <> hi"))
+    mixed = table(mixed.select("band", "key", "blocks"), "mixed")
+    members = table(of.join(mixed, ["band", "key"]).select("band", "key", "rep", "comp", "blocks"), "members")
+    sets = docs.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(_sets, "rep long, set binary")
+    sets = table(sets.groupBy("rep").agg(F.first("set").alias("set")).join(classes.select("rep", "sign"), "rep"), "sets")
+    grid = (members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("band", "key", "rep", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    found = grid.join(sets, "rep").groupBy("band", "key", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+    return links.unionByName(table(found, "links"))

@@ -18,8 +18,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table(df: DataFrame, label: str) -> DataFrame:
-    """The frame, written once to the folder in ``spark.checkpoint.dir`` and read back."""
-    return materialize(df, f"llm-{label}")
+    """The frame, written once to the folder in ``spark.checkpoint.dir`` and read back.
+
+    The shuffle files of the write go with it: the table holds all that later steps read.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return materialize(df, f"llm-{label}")
+    finally:
+        conf.set(key, before)
 
 
 def delete_tables(*frames: DataFrame) -> None:

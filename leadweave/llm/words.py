@@ -85,6 +85,10 @@ class Words:
         return self.data[self.start[k]:self.end[k]].tobytes()
 
 
+def _times(a: np.uint64, b: np.uint64) -> np.uint64:
+    return U(int(a) * int(b) & 0xFFFFFFFFFFFFFFFF)
+
+
 def windows(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """Hash of the n words from each place on, by doubling: places n, 2n, ... of one length from the one before."""
     out, length, done = np.zeros(0, U), 0, h + U(salt)
@@ -99,13 +103,13 @@ def windows(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
                 acc, acc_len, acc_pow = done, width, factor
             else:
                 k = len(h) - acc_len - width + 1
-                acc, acc_len, acc_pow = acc[:k] + acc_pow * done[acc_len:acc_len + k], acc_len + width, acc_pow * factor
+                acc, acc_len, acc_pow = acc[:k] + acc_pow * done[acc_len:acc_len + k], acc_len + width, _times(acc_pow, factor)
         width *= 2
         if width > n:
             break
         k = len(h) - width + 1
         done = done[:k] + factor * done[width // 2:width // 2 + k]
-        factor = factor * factor
+        factor = _times(factor, factor)
     return mix(acc[:m])
 
 

@@ -32,3 +32,14 @@ def near_duplicates(rows, percent=85):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {d: (len(sets[d]), find(d), find(d) == d) for d in ids}
+
+
+def remove_repeats(texts, n):
+    import collections
+    words = [blank_words(t) for t in texts]
+    count = collections.Counter(tuple(w[i:i + n]) for w in words for i in range(len(w) - n + 1))
+    out = []
+    for w in words:
+        gone = {i + j for i in range(len(w) - n + 1) if count[tuple(w[i:i + n])] > 1 for j in range(n)}
+        out.append((len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return out
