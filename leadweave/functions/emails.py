@@ -20,8 +20,8 @@ def extract_emails(text: Column) -> Column:
 
 def is_valid_email(email: Column) -> Column:
     e = F.regexp_replace(F.lower(strip(F.coalesce(email, F.lit("")))), r"\.+$", "")
-    return (e.rlike(VALID_EMAIL_PATTERN) & (F.length(e) <= 254)
-            & ~e.rlike(r"^\.|\.@|\.\.[^@]*@"))
+    # the pattern repeats a group, which costs stack for each label: only text of a possible length meets it
+    return F.when(F.length(e) <= 254, e.rlike(VALID_EMAIL_PATTERN) & ~e.rlike(r"^\.|\.@|\.\.[^@]*@")).otherwise(False)
 
 
 def classify_email(email: Column) -> Column:
@@ -51,7 +51,12 @@ def email_mailbox(email: Column) -> Column:
 
 def best_email(emails: Column) -> Column:
     """First valid address of the best rank in an ordered array; NULL if there is none."""
+    return best_ranked_email(emails)["email"]
+
+
+def best_ranked_email(emails: Column) -> Column:
+    """The best address as (rank, pos, email), so that the best of several arrays is their minimum."""
     valid = F.filter(emails, lambda e: is_valid_email(e))
     ranked = F.transform(valid, lambda e, i: F.struct(
         email_rank(e).alias("rank"), i.alias("pos"), e.alias("email")))
-    return F.array_min(ranked)["email"]
+    return F.array_min(ranked)

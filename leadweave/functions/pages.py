@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..fixed_values import (ADDRESS_WORDS, BOILERPLATE_STARTS, EMPLOYEES_OVER_PATTERN,
-                            EMPLOYEES_PATTERN, HTTP_LINK_PATTERN, PERSON_LABELS,
+from ..fixed_values import (ABOUT_STEMS, ADDRESS_WORDS, BOILERPLATE_STARTS, CONTACT_STEMS,
+                            EMPLOYEES_OVER_PATTERN, EMPLOYEES_PATTERN, HTTP_LINK_PATTERN,
+                            NON_PAGE_HREFS, PERSON_LABELS,
                             PERSON_NAME_PATTERN, SOCIAL_HOSTS, TITLE_SEPARATORS,
                             WHATSAPP_PATTERN)
 from .phones import normalize_phone
@@ -61,18 +62,27 @@ def company_name(home: Column, base: Column) -> Column:
                 label)))
 
 
-def description(home: Column, text: Column) -> Column:
-    """Meta description of 30+ characters, else the first long sentence; at most 500."""
+def meta_description(html: Column) -> Column:
+    """Meta description of 30+ characters, at most 500; '' if there is none."""
     def long_enough(c: Column) -> Column:
         return F.when(F.length(c) >= 30, F.substring(c, 1, 500))
 
+    return F.coalesce(
+        long_enough(clean_text(meta_content(html, "name", "description"))),
+        long_enough(clean_text(meta_content(html, "property", "og:description"))), F.lit(""))
+
+
+def first_sentence(text: Column) -> Column:
+    """First long sentence that is no boilerplate, at most 500 characters; '' if there is none."""
     chunks = F.transform(F.split(text, r"\. "), lambda c: collapse(c))
     sentence = F.get(F.filter(chunks, lambda c: (F.length(c) >= 60) & ~c.rlike(
         rf"(?i)^(?:{any_of(BOILERPLATE_STARTS)})")), F.lit(0))
-    return F.coalesce(
-        long_enough(clean_text(meta_content(home, "name", "description"))),
-        long_enough(clean_text(meta_content(home, "property", "og:description"))),
-        F.substring(sentence, 1, 500), F.lit(""))
+    return F.coalesce(F.substring(sentence, 1, 500), F.lit(""))
+
+
+def description(home: Column, text: Column) -> Column:
+    """Meta description of 30+ characters, else the first long sentence; at most 500."""
+    return first_filled(meta_description(home), first_sentence(text))
 
 
 _ADDRESS_NODES = [
@@ -84,14 +94,24 @@ _ADDRESS_NODES = [
 ]
 
 
-def address(html: Column, text: Column) -> Column:
-    """Text of the first address node, else a text line with an address word."""
+def address_node(html: Column) -> Column:
+    """Text of the first address node, '' if there is none."""
     found = F.array(*[F.regexp_extract(html, p, 2) for p in _ADDRESS_NODES])
     nodes = F.filter(F.transform(F.filter(found, lambda n: n != ""), lambda n: element_text(n, " ")),
                      lambda n: F.length(n).between(1, 299))
+    return F.coalesce(F.get(nodes, F.lit(0)), F.lit(""))
+
+
+def address_line(text: Column) -> Column:
+    """First text line with an address word, '' if there is none."""
     lines = F.filter(F.split(text, "\n"), lambda s: F.length(s).between(15, 200) & F.lower(
         s).rlike(any_of(ADDRESS_WORDS)))
-    return F.coalesce(F.get(nodes, F.lit(0)), F.get(lines, F.lit(0)), F.lit(""))
+    return F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
+
+
+def address(html: Column, text: Column) -> Column:
+    """Text of the first address node, else a text line with an address word."""
+    return first_filled(address_node(html), address_line(text))
 
 
 def whatsapp(html: Column) -> Column:
@@ -113,11 +133,22 @@ def employees(text: Column) -> Column:
             .when(over != "", F.concat(over, F.lit("+ employees"))).otherwise(""))
 
 
+def ranked_contact_person(text: Column) -> Column:
+    """(rank, name): the first known label that a name stands behind, by label order; NULL if there is none."""
+    found = F.array(*[F.struct(F.lit(i).alias("rank"), F.trim(F.regexp_extract(
+        text, rf"{label}(?U:\s*[:\-]\s*){PERSON_NAME_PATTERN}", 1)).alias("name")) for i, label in enumerate(PERSON_LABELS)])
+    return F.get(F.filter(found, lambda x: x["name"] != ""), F.lit(0))
+
+
 def contact_person(text: Column) -> Column:
     """Name behind the first of the known labels (label order, not text order)."""
-    return first_filled(*[
-        F.trim(F.regexp_extract(text, rf"{label}(?U:\s*[:\-]\s*){PERSON_NAME_PATTERN}", 1))
-        for label in PERSON_LABELS])
+    return F.coalesce(ranked_contact_person(text)["name"], F.lit(""))
+
+
+def contact_hrefs(html: Column) -> Column:
+    """Link targets of a page that look like contact or about pages, in order."""
+    return F.filter(anchor_hrefs(html), lambda h: (h != "") & ~h.rlike(rf"^(?:{any_of(NON_PAGE_HREFS)})")
+                    & F.lower(h).rlike(any_of(CONTACT_STEMS + ABOUT_STEMS)))
 
 
 _SOCIAL_TOKEN = "(?i)" + any_of([h for hosts in SOCIAL_HOSTS.values() for h in hosts])

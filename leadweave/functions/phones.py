@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 from ..fixed_values import DEFAULT_REGION, PHONE_PATTERN, TEL_PATTERN
-from .text import strip
+from .text import bind, strip
 
 
 @dataclass(frozen=True)
@@ -102,9 +102,16 @@ def phone_candidates(text: Column) -> Column:
 
 
 def _first_per_key(keyed: Column) -> Column:
-    keys = F.transform(keyed, lambda m: m["key"])
-    first = F.transform(F.array_distinct(keys), lambda k: F.array_position(keys, k).cast("int"))
-    return F.transform(first, lambda i: F.get(keyed, i - 1)["raw"])
+    """First raw text of each key, in order: sorted by (key, place), equal keys stand together."""
+    placed = F.array_sort(F.transform(keyed, lambda m, i: F.struct(m["key"].alias("key"), i.alias("pos"), m["raw"].alias("raw"))))
+
+    def firsts(sorted_: Column) -> Column:
+        kept = F.filter(sorted_, lambda m, i: (i == 0) | (F.get(sorted_, i - 1)["key"] != m["key"]))
+        in_order = F.array_sort(F.transform(kept, lambda m: F.struct(m["pos"].alias("pos"), m["raw"].alias("raw"))))
+        return F.transform(in_order, lambda m: m["raw"])
+
+    # evaluated once, although the comparison with the one before looks into it for each element
+    return bind(placed, firsts)
 
 
 def best_phones(candidates: Column, region: str = DEFAULT_REGION, most: int = 5) -> Column:

@@ -46,9 +46,12 @@ def _assembled(a: str) -> str:
     return text.replace("?a", a)
 
 
-def canonical_url(url: Column, base: str = DEFAULT_BASE) -> Column:
-    """Canonical form as one expression; use ``with_canonical_url`` on whole tables."""
-    return apply(apply(clean_text(url), _absolute("x", f"'{base}'")), _assembled("x"))
+def canonical_url(url: Column, base: str = DEFAULT_BASE, base_column: str | None = None) -> Column:
+    """Canonical form as one expression; use ``with_canonical_url`` on whole tables.
+
+    Relative forms are completed from ``base``, or from a column of the row.
+    """
+    return apply(apply(clean_text(url), _absolute("x", base_column or f"'{base}'")), _assembled("x"))
 
 
 def with_canonical_url(df: DataFrame, source: str, target: str,

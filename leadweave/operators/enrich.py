@@ -1,96 +1,105 @@
-"""Site documents and the enrichment of leads from them."""
+"""Facts of crawled pages and the enrichment of leads from them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..fixed_values import ABOUT_STEMS, CONTACT_STEMS, EXTRA_PAGES
 from ..functions import emails as E, pages as P, phones as N
 from ..functions.industry import guess_industry
-from ..functions.text import any_of, filled, html_to_text
-from ..functions.urls import domain, with_canonical_url
+from ..functions.text import filled, first_filled, html_to_text
+from ..functions.urls import canonical_url, with_canonical_url
+from ..session import materialize
 from .scoring import grade_leads
-from .topk import top_per_group
 
 
-def _page_class() -> Column:
-    """0 for the site's front page, 1 for contact and about pages, 2 for others."""
-    path = F.regexp_extract("_url", r"^[^:/?#]+://[^/?#]*(.*)$", 1)
-    return (F.when(path == "", 0)
-            .when(F.lower(path).rlike(any_of(CONTACT_STEMS + ABOUT_STEMS)), 1).otherwise(2))
+def page_facts(pages: DataFrame) -> DataFrame:
+    """One small row per canonical page URL: what the extractors find, and the contact pages it links to.
 
-
-def site_pages(pages: DataFrame, extra: int = EXTRA_PAGES) -> DataFrame:
-    """The 1 + ``extra`` pages that stand for each site: front page, contact pages, others.
-
-    Groups are limited before the shuffle (WindowGroupLimit), so the HTML of the pages that are
-    not used never moves.
+    Extraction is row-local, so HTML is never shuffled. Of several pages with one URL the lowest id counts.
+    """
+    p = (with_canonical_url(pages, "url", "_url").filter(F.col("_url") != "")
+         .withColumn("_text", html_to_text(F.col("html"))).withColumn("_social", P.social_links(F.col("html"))))
+    html, text = F.col("html"), F.col("_text")
+    number = F.get(N.best_phones(N.phone_candidates(F.when(text != "", text).otherwise(html)), most=1), F.lit(0))
+    links = F.transform(P.contact_hrefs(html), lambda h: canonical_url(h, base_column="_url"))
+    facts = {
+        "email": E.best_ranked_email(E.extract_emails(html)), "phone": number, "whatsapp": P.whatsapp(html),
+        **{f"{x}_url": P.first_social(F.col("_social"), x) for x in ("linkedin", "facebook", "instagram")},
+        "company_name": P.company_name(html, F.col("_url")), "meta": P.meta_description(html),
+        "sentence": P.first_sentence(text), "node": P.address_node(html), "line": P.address_line(text),
+        "employees": P.employees(text), "contact_person": P.ranked_contact_person(text),
+        "html_chars": F.length(html), "text_md5": F.md5(text),
+        "links": F.array_distinct(F.filter(links, lambda u: (u != "") & (u != F.col("_url")))),
+    }
+    rows = p.select(F.col("_url").alias("page_url"), F.struct("page_id", *[c.alias(n) for n, c in facts.items()]).alias("f"))
+    return rows.groupBy("page_url").agg(F.min_by("f", "f.page_id").alias("f")).select("page_url", "f.*")
+
+
+def site_pages(sites: DataFrame, facts: DataFrame, extra: int | None = None) -> DataFrame:
+    """Pages that stand for each distinct ``site`` URL: the page of that URL, then those that it links to.
+
+    A site whose own page was not crawled has none. ``extra`` limits the linked URLs of a site; without it all are taken.
     """
-    ranked = (with_canonical_url(pages, "url", "_url")
-              .withColumn("site", domain(F.col("_url")))
-              .withColumn("_class", _page_class())
-              .filter(F.col("site") != ""))
-    return top_per_group(ranked, ["site"], ["_class", "page_id"], 1 + extra, rank="page_rank").select(
-        "site", "page_rank", "page_id", F.col("_url").alias("url"), "html")
-
-
-def site_documents(selected: DataFrame) -> DataFrame:
-    """One row per site: home page, all HTML and all text in page order (1 + ``extra`` pages)."""
-    parts = selected.select("site", F.struct(
-        "page_rank", "html", html_to_text(F.col("html")).alias("text")).alias("p"))
-    docs = parts.groupBy("site").agg(F.sort_array(F.collect_list("p")).alias("p"))
-    return docs.select(
-        "site", F.col("p")[0]["html"].alias("home"), F.size("p").alias("pages"),
-        F.array_join(F.transform("p", lambda x: x["html"]), "\n").alias("html"),
-        F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
-
-
-def site_fields(docs: DataFrame) -> DataFrame:
-    """Everything the extractors find for a site; small rows, no HTML."""
-    html, text, home = F.col("html"), F.col("text"), F.col("home")
-    base = F.concat(F.lit("https://"), F.col("site"))
-    phone_text = F.when(text != "", text).otherwise(html)
-    return docs.withColumn("_social", P.social_links(html)).select(
-        "site", "pages",
-        F.coalesce(E.best_email(E.extract_emails(html)), F.lit("")).alias("s_email"),
-        F.coalesce(F.get(N.best_phones(N.phone_candidates(phone_text)), F.lit(0)),
-                   F.lit("")).alias("s_phone"),
-        P.whatsapp(html).alias("s_whatsapp"),
-        *[P.first_social(F.col("_social"), p).alias(f"s_{p}_url") for p in ("linkedin", "facebook", "instagram")],
-        P.company_name(home, base).alias("s_company_name"),
-        P.description(home, text).alias("s_description"),
-        P.address(html, text).alias("s_address"),
-        P.employees(text).alias("s_employees"),
-        P.contact_person(text).alias("s_contact_person"))
+    home = sites.select("site").distinct().join(facts, F.col("site") == F.col("page_url"))
+    links = F.col("links") if extra is None else F.slice("links", 1, extra)
+    linked = (home.select("site", F.posexplode(links).alias("pos", "_linked"))
+              .join(facts, F.col("_linked") == F.col("page_url")).withColumn("page_rank", F.col("pos") + 2))
+    return home.withColumn("page_rank", F.lit(1)).unionByName(linked.drop("pos", "_linked"))
+
+
+def site_fields(selected: DataFrame) -> DataFrame:
+    """Per site the first value of each field in page order; minima of small structs, combined in the map tasks."""
+    def first(column: str, *rank: Column | str) -> Column:
+        c = F.col(column)
+        return F.coalesce(F.min(F.when(c != "", F.struct(*rank, "page_rank", c.alias("v"))))["v"], F.lit(""))
+
+    out = selected.groupBy("site").agg(
+        F.count(F.lit(1)).alias("pages"),
+        F.coalesce(F.min(F.when(F.col("email").isNotNull(), F.struct(
+            F.col("email.rank").alias("r"), "page_rank", F.col("email.email").alias("v"))))["v"], F.lit("")).alias("s_email"),
+        first("phone", (~N.is_mobile(F.col("phone"))).alias("r")).alias("s_phone"),
+        *[first(c).alias(f"s_{c}") for c in ("whatsapp", "linkedin_url", "facebook_url", "instagram_url")],
+        F.min(F.when(F.col("page_rank") == 1, F.col("company_name"))).alias("s_company_name"),
+        F.min(F.when(F.col("page_rank") == 1, F.col("meta"))).alias("_meta"), first("sentence").alias("_sentence"),
+        first("node").alias("_node"), first("line").alias("_line"),
+        first("employees", F.col("employees").endswith("+ employees").alias("r")).alias("s_employees"),
+        F.coalesce(F.min(F.when(F.col("contact_person").isNotNull(), F.struct(
+            F.col("contact_person.rank").alias("r"), "page_rank", F.col("contact_person.name").alias("v"))))["v"],
+            F.lit("")).alias("s_contact_person"))
+    return out.withColumn("s_description", first_filled(F.col("_meta"), F.col("_sentence"))).withColumn(
+        "s_address", first_filled(F.col("_node"), F.col("_line"))).drop("_meta", "_sentence", "_node", "_line")
+
+
+def with_site(leads: DataFrame) -> DataFrame:
+    """``site``: the canonical URL of the lead's website, NULL without one."""
+    return with_canonical_url(leads, "website", "_site").withColumn("site", filled(F.col("_site"))).drop("_site")
 
 
 def join_site_pages(leads: DataFrame, selected: DataFrame) -> DataFrame:
-    """Leads with the pages of their site; a lead without pages stays, with NULLs.
-
-    No hint: a hot site sits on the lead side only (a site has few pages), which is what the
-    adaptive skew join splits.
-    """
-    sited = with_canonical_url(leads, "website", "_site_url").withColumn(
-        "site", F.nullif(domain(F.col("_site_url")), F.lit("")))
-    return sited.join(selected.drop("url"), "site", "left")
+    """Leads with the pages of their site; a lead without pages stays, with NULLs."""
+    return with_site(leads).join(selected, "site", "left")
 
 
 _FILLED = ["email", "phone", "whatsapp", "linkedin_url", "facebook_url", "instagram_url",
            "company_name", "description", "address", "employees", "contact_person"]
 
 
-def enrich_sites(leads: DataFrame, pages: DataFrame, extra: int = EXTRA_PAGES) -> DataFrame:
+def enrich_sites(leads: DataFrame, pages: DataFrame, extra: int | None = None) -> DataFrame:
     """Fill the empty fields of leads from their sites and grade them again.
 
-    Leads without a website or without crawled pages pass through unchanged.
+    A site is the page at the lead's own canonical URL with the contact and about pages that it links to, so businesses
+    on one host stay apart. Leads without a website, or whose own page was not crawled, pass through unchanged. What was
+    found is written first: both sides of the join with the leads are then plain exchanges, and the adaptive join splits
+    a URL that very many leads share.
     """
     cols = leads.columns
-    fields = site_fields(site_documents(site_pages(pages, extra)))
-    sited = with_canonical_url(leads, "website", "_site_url")
+    sited = with_site(leads)
+    facts = materialize(page_facts(pages), "page-facts")
+    wanted = sited.filter(F.col("site").isNotNull()).select("site")
+    fields = materialize(site_fields(site_pages(wanted, facts, extra)), "site-fields")
     # rows without a site get a key of their own, so that they do not share one task
-    key = F.coalesce(filled(domain(F.col("_site_url"))),
-                     F.concat(F.lit(" "), F.xxhash64(*cols).cast("string")))
-    joined = sited.withColumn("site", key).join(fields, "site", "left")
+    key = F.coalesce(F.col("site"), F.concat(F.lit(" "), F.xxhash64(*cols).cast("string")))
+    joined = sited.withColumn("_site_url", F.col("site")).withColumn("site", key).join(fields, "site", "left")
     hit = F.col("pages").isNotNull()
     out = joined.withColumns({
         **{c: F.coalesce(filled(F.col(c)), F.col(f"s_{c}"), F.lit("")) for c in _FILLED},

@@ -71,9 +71,12 @@ def scan_osm_elements(spark, sf):
 
 @query
 def scan_site_pages(spark, sf):
-    docs = enrich.site_documents(enrich.site_pages(X.site_pages(spark, sf)))
-    return docs.select("site", "pages", F.length("html").alias("html_chars"),
-                       F.md5("text").alias("text_md5"))
+    return _selected_pages(spark, sf).select("site", "page_rank", "page_id", "html_chars", "text_md5")
+
+
+def _selected_pages(spark, sf):
+    sites = enrich.with_site(X.site_leads(spark, sf)).filter("site is not null")
+    return enrich.site_pages(sites, enrich.page_facts(X.crawled_pages(spark, sf)))
 
 
 @query
@@ -292,8 +295,7 @@ def join_criteria_backfill(spark, sf):
 
 @query
 def join_site_pages(spark, sf):
-    selected = enrich.site_pages(X.site_pages(spark, sf))
-    joined = enrich.join_site_pages(X.site_leads(spark, sf), selected)
+    joined = enrich.join_site_pages(X.site_leads(spark, sf), _selected_pages(spark, sf))
     return joined.select("ord", "website", "site", "page_rank", "page_id").fillna(
         {"site": "", "page_rank": 0, "page_id": -1})
 
@@ -495,7 +497,7 @@ def source_cascade(spark, sf):
 # --- text mining -----------------------------------------------------------------------------
 @query
 def clean_text_table(spark, sf):
-    return X.text_table(spark, sf, "documents", "doc_id").select("doc_id", clean_text(F.col("text")).alias("text"))
+    return X.table(spark, sf, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
 
 
 def _raw_urls(spark, sf):
@@ -554,7 +556,7 @@ def extract_social_links(spark, sf):
 
 @query
 def classify_industry(spark, sf):
-    return X.text_table(spark, sf, "documents", "doc_id").select("doc_id", guess_industry(F.col("text")).alias("industry"))
+    return X.table(spark, sf, "documents").select("doc_id", guess_industry(F.col("text")).alias("industry"))
 
 
 @query
@@ -611,7 +613,7 @@ def directory_cards(spark, sf):
 
 @query
 def enrich_sites(spark, sf):
-    return enrich.enrich_sites(X.site_leads(spark, sf), X.site_pages(spark, sf))
+    return enrich.enrich_sites(X.site_leads(spark, sf), X.crawled_pages(spark, sf))
 
 
 # --- incremental -----------------------------------------------------------------------------

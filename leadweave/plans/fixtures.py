@@ -8,13 +8,11 @@ from ..functions.urls import domain, with_canonical_url
 from ..operators.resolve import empty_store, upsert_leads
 from ..operators.scoring import grade_leads, key_leads
 from ..schema import EXPORT_COLUMNS, conform
-from ..session import spread_scan
 from ..sources.searches import default_searches, with_defaults
 
 AS_OF = "2024-02-10 00:00:00"
 STORE_NOW = "2024-03-01 00:00:00"
 BATCH_NOW = "2024-03-02 00:00:00"
-STORE_KEYS = 800
 
 
 def moment(text: str):
@@ -25,11 +23,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
-    """A table with long texts, spread over all cores if its file is too small for that."""
-    return spread_scan(table(spark, sf, name), key)
-
-
 def raw_leads(spark: SparkSession, sf: str) -> DataFrame:
     """customer x nation x region as ungraded lead candidates; ord is the customer key."""
     c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
@@ -75,7 +68,7 @@ def leads(spark: SparkSession, sf: str) -> DataFrame:
 
 def store_and_batch(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     graded = grade_leads(raw_leads(spark, sf))
-    first, rest = graded.filter(F.col("ord") < STORE_KEYS), graded.filter(F.col("ord") >= STORE_KEYS)
+    first, rest = graded.filter("ord % 2 = 0"), graded.filter("ord % 2 = 1")
     return upsert_leads(empty_store(first), first, moment(STORE_NOW)), rest
 
 
@@ -137,7 +130,7 @@ def scan_inputs(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 def site_pages(spark: SparkSession, sf: str) -> DataFrame:
     """pages with contact facts appended to the HTML, and the site's host."""
-    p = with_canonical_url(text_table(spark, sf, "pages", "page_id").select("page_id", "url", "html"), "url", "_c")
+    p = with_canonical_url(table(spark, sf, "pages").select("page_id", "url", "html"), "url", "_c")
     p = p.withColumn("host", domain(F.col("_c"))).drop("_c").withColumn("p", F.col("page_id"))
     tail = F.expr("""concat(
         if(p % 3 = 0, concat('<a href="mailto:info@', host, '">Mail us</a> owner', p, '@', host, ' '), ''),
@@ -155,12 +148,22 @@ def site_pages(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", "url", "host", F.concat(head, tail).alias("html"))
 
 
+def crawled_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The site pages and a contact page of each host that a seventh of them link to."""
+    pages = site_pages(spark, sf)
+    contact = pages.filter("page_id % 7 = 0 and host <> ''").selectExpr(
+        "page_id + 10000000 as page_id", "concat('https://', host, '/contact-us') as url", "host",
+        """concat('<html><body><a href="mailto:contact', page_id, '@', host, '">Write</a> Call +20 111 234 ',
+            lpad(page_id % 10000, 4, '0'), ' now. <p>Contact Person: Omar Said.</p></body></html>') as html""")
+    return pages.unionByName(contact)
+
+
 def site_leads(spark: SparkSession, sf: str) -> DataFrame:
-    """One nearly empty lead per crawled host, and all fixture leads (which have no pages)."""
+    """One nearly empty lead per crawled page, so that hosts are shared, and all fixture leads (which have no pages)."""
     p = with_canonical_url(table(spark, sf, "pages").select("page_id", "url"), "url", "_c")
-    own = (p.withColumn("host", domain(F.col("_c"))).groupBy("host").agg(F.min("page_id").alias("ord"))
-           .select("ord", F.concat(F.lit("https://"), "host").alias("website"),
-                   F.expr("if(ord % 3 = 0, concat('kept@', host), '')").alias("email")))
+    own = (p.withColumn("host", domain(F.col("_c")))
+           .select(F.col("page_id").alias("ord"), F.col("url").alias("website"),
+                   F.expr("if(page_id % 3 = 0, concat('kept@', host), '')").alias("email")))
     others = raw_leads(spark, sf).drop("search_id").withColumn("ord", F.col("ord") + 1000000)
     both = conform(own).unionByName(others)
     return grade_leads(both).select("ord", *EXPORT_COLUMNS)
@@ -209,7 +212,7 @@ def scan_history(spark: SparkSession, sf: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """Everything that may hold e-mails and phones: documents, page HTML, lead contacts."""
-    docs = text_table(spark, sf, "documents", "doc_id").select(
+    docs = table(spark, sf, "documents").select(
         F.lit("document").alias("src"), F.col("doc_id").alias("id"), "text")
     pages = site_pages(spark, sf).select(F.lit("page").alias("src"), F.col("page_id").alias("id"),
                                          F.col("html").alias("text"))

@@ -11,7 +11,7 @@ from ..fixed_values import (ABOUT_STEMS, ADDRESS_WORDS, CONTACT_STEMS, DEFAULT_S
                             VALID_EMAIL_PATTERN)
 from ..schema import EXPORT_COLUMNS, LEAD_COLUMNS, TEXT_COLUMNS
 from .catalog import DIRECTORY, LOOKUP_KEY
-from .fixtures import AS_OF, BATCH_NOW, STORE_KEYS, STORE_NOW
+from .fixtures import AS_OF, BATCH_NOW, STORE_NOW
 
 
 def lit(s: str) -> str:
@@ -261,23 +261,21 @@ def sql_text(x: str) -> str:
 
 
 cte("page_texts", f"SELECT *, {sql_text('html')} AS text FROM fx_site_pages")
-cte("site_ranked", f"""
-  SELECT * FROM (SELECT *, host AS site, row_number() OVER (PARTITION BY host ORDER BY
-      CASE WHEN regexp_replace(c_url, '^[^:]+://[^/?]*', '') = '' THEN 0
-           WHEN list_bool_or(list_transform({listed(CONTACT_STEMS + ABOUT_STEMS)}, lambda s:
-                contains(lower(regexp_replace(c_url, '^[^:]+://[^/?]*', '')), s))) THEN 1 ELSE 2 END,
-      page_id) AS page_rank FROM page_texts WHERE host <> '') WHERE page_rank <= 5""")
-cte("site_docs", """
-  SELECT site, count(*) AS pages, arg_min(html, page_rank) AS home,
-    string_agg(html, chr(10) ORDER BY page_rank) AS html, string_agg(text, chr(10) ORDER BY page_rank) AS text
-  FROM site_ranked GROUP BY site""")
 cte("fx_site_leads", f"""
-  WITH own AS (SELECT host, min(page_id) AS ord FROM fx_site_pages GROUP BY host)
+  WITH own AS (SELECT page_id AS ord, url AS website, CASE WHEN page_id % 3 = 0 THEN 'kept@' || host ELSE '' END AS email FROM fx_site_pages)
   {graded2('''(SELECT ord, ''' + ", ".join(
-    {"website": "'https://' || host", "email": "CASE WHEN ord % 3 = 0 THEN 'kept@' || host ELSE '' END",
-     "confidence_score": "0"}.get(c, "''") + f" AS {c}" for c in EXPORT_COLUMNS)
+    {"website": "website", "email": "email", "confidence_score": "0"}.get(c, "''") + f" AS {c}" for c in EXPORT_COLUMNS)
     + ''' FROM own UNION ALL BY NAME SELECT ord + 1000000 AS ord, ''' + ", ".join(EXPORT_COLUMNS)
     + ''' FROM fx_raw)''')}""")
+cte("fx_crawled", """
+  SELECT page_id, c_url, host, html FROM fx_site_pages
+  UNION ALL SELECT page_id + 10000000, 'https://' || host || '/contact-us', host,
+    '<html><body><a href="mailto:contact' || page_id || '@' || host || '">Write</a> Call +20 111 234 '
+    || lpad(CAST(page_id % 10000 AS VARCHAR), 4, '0') || ' now. <p>Contact Person: Omar Said.</p></body></html>'
+  FROM fx_site_pages WHERE page_id % 7 = 0 AND host <> ''""")
+cte("crawled_first", f"""
+  SELECT *, {sql_text('html')} AS text FROM fx_crawled WHERE c_url <> ''
+  QUALIFY row_number() OVER (PARTITION BY c_url ORDER BY page_id) = 1""")
 cte("fx_texts", """
   SELECT 'document' AS src, doc_id AS id, text FROM documents
   UNION ALL SELECT 'page', page_id, html FROM fx_site_pages
@@ -305,6 +303,22 @@ cte("contact_hrefs", f"""
 cte("contact_urls_raw", canon("contact_hrefs", "href", "url", "base"))
 cte("contact_urls", """
   SELECT host, page_id, base, url, min(p) AS pos FROM contact_urls_raw WHERE url <> '' GROUP BY ALL""")
+cte("crawled_hrefs", f"""
+  SELECT c_url AS base, {sql_decode('href')} AS href, p FROM (
+    SELECT c_url, unnest(h) AS href, generate_subscripts(h, 1) AS p
+    FROM (SELECT c_url, {_HREFS.format(t='html')} AS h FROM crawled_first))
+  WHERE href <> '' AND NOT regexp_matches(href, '^(#|mailto:|tel:|javascript:)')
+    AND list_bool_or(list_transform({listed(CONTACT_STEMS + ABOUT_STEMS)}, lambda s: contains(lower(href), s)))""")
+cte("crawled_links_raw", canon("crawled_hrefs", "href", "url", "base"))
+cte("crawled_links", """
+  SELECT base, url, row_number() OVER (PARTITION BY base ORDER BY min(p)) AS nth
+  FROM crawled_links_raw WHERE url <> '' AND url <> base GROUP BY base, url""")
+cte("site_leads_c", canon("fx_site_leads", "website", "site_url"))
+cte("site_ranked", """
+  WITH sites AS (SELECT DISTINCT site_url AS site FROM site_leads_c WHERE site_url <> '')
+  SELECT s.site, 1 AS page_rank, f.* FROM sites s JOIN crawled_first f ON f.c_url = s.site
+  UNION ALL SELECT s.site, l.nth + 1, f.* FROM sites s JOIN crawled_first h ON h.c_url = s.site
+    JOIN crawled_links l ON l.base = s.site JOIN crawled_first f ON f.c_url = l.url""")
 cte("http_links", """
   SELECT host, page_id, unnest(l) AS link, generate_subscripts(l, 1) - 1 AS p FROM (
     SELECT host, page_id, regexp_extract_all(html, '(?i)https?://[a-zA-Z0-9_.\\-:/?#\\[\\]@!$&''()*+,;=%~]+') AS l
@@ -351,8 +365,8 @@ def upsert_ctes(prefix: str, store: str | None, batch: str, now: str, order: str
       FROM {prefix}_rows GROUP BY dedup_key""")
 
 
-cte("fx_first", f"SELECT * FROM fx_graded WHERE ord < {STORE_KEYS}")
-cte("fx_batch", f"SELECT * FROM fx_graded WHERE ord >= {STORE_KEYS}")
+cte("fx_first", "SELECT * FROM fx_graded WHERE ord % 2 = 0")
+cte("fx_batch", "SELECT * FROM fx_graded WHERE ord % 2 = 1")
 upsert_ctes("st", None, "fx_first", STORE_NOW)
 upsert_ctes("up", "st_snap", "fx_batch", BATCH_NOW)
 upsert_ctes("tk", "st_snap", "fx_batch", BATCH_NOW, "(ord % 5) * 1000000000 + ord")
@@ -529,28 +543,41 @@ def sql_person(text: str) -> str:
 
 
 cte("doc_emails", f"""
-  SELECT site, arg_min(email, (rank, p)) AS s_email FROM (
-    SELECT site, email, p, CASE {sql_email_kind('email')} WHEN 'business' THEN 0 WHEN 'role' THEN 1 ELSE 2 END AS rank FROM (
-      SELECT site, unnest(e) AS email, generate_subscripts(e, 1) AS p FROM (SELECT site, {EMAILS.format(t='html')} AS e FROM site_docs))
+  SELECT site, arg_min(email, (rank, page_rank, p)) AS s_email FROM (
+    SELECT site, email, page_rank, p, CASE {sql_email_kind('email')} WHEN 'business' THEN 0 WHEN 'role' THEN 1 ELSE 2 END AS rank FROM (
+      SELECT site, page_rank, unnest(e) AS email, generate_subscripts(e, 1) AS p
+      FROM (SELECT site, page_rank, {EMAILS.format(t='html')} AS e FROM site_ranked))
     WHERE {sql_valid_email('email')}) GROUP BY site""")
 cte("doc_phones", f"""
-  SELECT site, arg_min(e164, (CASE WHEN {MOBILE} THEN 0 ELSE 1 END, p)) AS s_phone FROM (
-    SELECT site, {sql_e164('c')} AS e164, p FROM (
-      SELECT site, unnest(f) AS c, generate_subscripts(f, 1) AS p FROM (SELECT site, {PHONES.format(t='text')} AS f FROM site_docs)))
+  SELECT site, arg_min(e164, (CASE WHEN {MOBILE} THEN 0 ELSE 1 END, page_rank, p)) AS s_phone FROM (
+    SELECT site, {sql_e164('c')} AS e164, page_rank, p FROM (
+      SELECT site, page_rank, unnest(f) AS c, generate_subscripts(f, 1) AS p
+      FROM (SELECT site, page_rank, {PHONES.format(t='text')} AS f FROM site_ranked)))
   WHERE e164 <> '' GROUP BY site""")
 cte("doc_social", """
   SELECT r.site, """ + ", ".join(
     f"coalesce(first(l.url ORDER BY r.page_rank, l.pos) FILTER (WHERE l.platform = '{p}'), '') AS s_{p}_url"
     for p in ("linkedin", "facebook", "instagram")) + """
   FROM site_ranked r JOIN social_links l USING (page_id) GROUP BY r.site""")
+cte("doc_values", f"""
+  SELECT site, page_rank, {sql_name('html', 'host')} AS company_name, {sql_description('html', 'text')} AS described,
+    {sql_description("''", 'text')} AS sentence, {sql_address('html', "''")} AS node, {sql_address("''", 'text')} AS line,
+    {sql_whatsapp('html')} AS whatsapp, {sql_employees('text')} AS employees, {sql_person('text')} AS person FROM site_ranked""")
+
+
+def _first(c: str, order: str = "page_rank") -> str:
+    return f"coalesce(first({c} ORDER BY {order}) FILTER (WHERE {c} <> ''), '')"
+
+
 cte("doc_fields", f"""
-  SELECT d.site, {sql_name('d.home', 'd.site')} AS s_company_name, {sql_description('d.home', 'd.text')} AS s_description,
-    {sql_address('d.html', 'd.text')} AS s_address, {sql_whatsapp('d.html')} AS s_whatsapp,
-    {sql_employees('d.text')} AS s_employees, {sql_person('d.text')} AS s_contact_person,
-    coalesce(e.s_email, '') AS s_email, coalesce(p.s_phone, '') AS s_phone, coalesce(s.s_linkedin_url, '') AS s_linkedin_url,
+  SELECT d.*, coalesce(e.s_email, '') AS s_email, coalesce(p.s_phone, '') AS s_phone, coalesce(s.s_linkedin_url, '') AS s_linkedin_url,
     coalesce(s.s_facebook_url, '') AS s_facebook_url, coalesce(s.s_instagram_url, '') AS s_instagram_url
-  FROM site_docs d LEFT JOIN doc_emails e USING (site) LEFT JOIN doc_phones p USING (site) LEFT JOIN doc_social s USING (site)""")
-cte("site_leads_c", canon("fx_site_leads", "website", "site_url"))
+  FROM (SELECT site, first(company_name ORDER BY page_rank) AS s_company_name,
+      {_first("CASE WHEN page_rank = 1 THEN described ELSE sentence END")} AS s_description,
+      CASE WHEN {_first('node')} <> '' THEN {_first('node')} ELSE {_first('line')} END AS s_address, {_first('whatsapp')} AS s_whatsapp,
+      {_first('employees', "ends_with(employees, '+ employees'), page_rank")} AS s_employees, {_first('person')} AS s_contact_person
+    FROM doc_values GROUP BY site) d
+  LEFT JOIN doc_emails e USING (site) LEFT JOIN doc_phones p USING (site) LEFT JOIN doc_social s USING (site)""")
 _FILL = ["email", "phone", "whatsapp", "linkedin_url", "facebook_url", "instagram_url", "company_name",
          "description", "address", "employees", "contact_person"]
 cte("enr_filled", f"""
@@ -559,7 +586,7 @@ cte("enr_filled", f"""
     f"CASE WHEN l.{c} <> '' THEN l.{c} ELSE coalesce(f.s_{c}, '') END AS {c}" if c in _FILL else
     ("CASE WHEN l.source_url = '' AND f.site IS NOT NULL THEN l.site_url ELSE l.source_url END AS source_url"
      if c == 'source_url' else f"l.{c}") for c in EXPORT_COLUMNS if c != "industry")}
-  FROM site_leads_c l LEFT JOIN doc_fields f ON f.site = {sql_domain('l.site_url')} AND f.site <> ''""")
+  FROM site_leads_c l LEFT JOIN doc_fields f ON f.site = l.site_url""")
 cte("enr_blobs", """
   SELECT ord, array_to_string(list_filter([company_name, description, category, address], lambda x: x <> ''), ' ') AS t
   FROM enr_filled WHERE enriched AND old_industry = ''""")
@@ -668,7 +695,7 @@ def sql() -> dict[str, str]:
     q["lookup_lead"] = f"{leads} WHERE lead_id = md5({lit(LOOKUP_KEY)})"
     q["scan_osm_elements"] = """SELECT ord // 300 AS response_id, ord % 300 AS pos, name, lat, lon,
         array_to_string(list_sort(['name', k]), ',') AS tag_keys FROM fx_osm WHERE ord % 7 <> 0"""
-    q["scan_site_pages"] = "SELECT site, pages, length(html) AS html_chars, md5(text) AS text_md5 FROM site_docs"
+    q["scan_site_pages"] = "SELECT site, page_rank, page_id, length(html) AS html_chars, md5(text) AS text_md5 FROM site_ranked"
     q["scan_saved_searches"] = """SELECT ord AS search_id, category AS query, '' AS industry, '' AS category, city, governorate,
         CASE WHEN ord % 2 = 0 THEN country ELSE 'Egypt' END AS country, CASE WHEN ord % 5 = 0 THEN 3 ELSE 0 END AS radius_km,
         CASE WHEN ord % 3 = 0 THEN ord % 100 ELSE 50 END AS "limit",
@@ -729,9 +756,8 @@ def sql() -> dict[str, str]:
         CASE WHEN l.governorate <> '' THEN l.governorate ELSE s.governorate END AS governorate, l.country,
         CASE WHEN l.industry <> '' THEN l.industry ELSE s.industry END AS industry,
         CASE WHEN l.category <> '' THEN l.category ELSE s.query END AS category FROM fx_raw l JOIN fx_searches s USING (search_id)"""
-    q["join_site_pages"] = f"""SELECT l.ord, l.website, {sql_domain('l.site_url')} AS site, coalesce(r.page_rank, 0) AS page_rank,
-        coalesce(r.page_id, -1) AS page_id
-        FROM site_leads_c l LEFT JOIN site_ranked r ON r.site = {sql_domain('l.site_url')}"""
+    q["join_site_pages"] = """SELECT l.ord, l.website, l.site_url AS site, coalesce(r.page_rank, 0) AS page_rank,
+        coalesce(r.page_id, -1) AS page_id FROM site_leads_c l LEFT JOIN site_ranked r ON r.site = l.site_url"""
     q["geocode_places"] = """SELECT l.ord, lower(l.city) AS place_name, g.lat, g.lon FROM fx_raw l
         JOIN fx_gazetteer g ON lower(g.place) = lower(l.city)"""
     q["join_email_domain_class"] = f"""SELECT src, id, email, CASE WHEN lower(string_split(email, '@')[-1]) IN ({values(FREEMAIL_DOMAINS)})

@@ -55,17 +55,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread_scan(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a table whose files give fewer splits than there are cores.
-
-    A few large row groups would leave the text mining that follows to a few tasks. The exchange
-    (on a unique key, so it is even and repeatable) only happens for such small tables; a scan with
-    enough splits is returned as it is and its text is never shuffled. For plain scans only:
-    asking a plan with exchanges for its partitions would run it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
