@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from leadweave.llm.words import slices
 
 #: labelled rows taken per language (those with the smallest hash of their id), and characters of them used
-DOCS_PER_LANGUAGE, CHARS_PER_LANGUAGE = 200, 40_000
+DOCS_PER_LANGUAGE, CHARS_PER_LANGUAGE = 200, 25_000
 SEGMENT = 1024
 UNKNOWN = "und"
 #: bits a character above which a text is in none of the languages (labelled text: about 1.5 to 3)
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
 
     def run(batches):
         model = shared.value
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             texts = batch.column(1).to_pylist()
             names, scores, best = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
             if model.languages:
