@@ -145,7 +145,6 @@ OSM_KEYWORD_TAGS = {
     "salon": ["shop"],
 }
 OSM_DEFAULT_TAGS = ["shop", "office", "amenity", "healthcare"]
-OSM_MAX_ELEMENTS = 300
 OSM_DEFAULT_RADIUS_M = 8000
 OSM_SOURCE_URL = "https://www.openstreetmap.org"
 MAPS_LINK_PREFIX = "https://www.google.com/maps/search/?api=1&query="
@@ -186,9 +185,6 @@ MIN_DESCRIPTION = 40
 TIERS = [(80, "A (High)"), (60, "B (Medium)"), (40, "C (Low)")]
 LOWEST_TIER = "D (Minimal)"
 FACET_SIZE = 25
-EXTRA_PAGES = 4
-SOURCE_LIMIT = 50
-SITES_PER_RUN = 100
 HISTORY_SIZE = 200
 DEFAULT_COUNTRY = "Egypt"
 DEFAULT_REGION = "EG"

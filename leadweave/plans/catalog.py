@@ -83,7 +83,7 @@ def _selected_pages(spark, sf):
 def scan_saved_searches(spark, sf):
     path = scratch_dir(spark, "searches")
     X.saved_search_documents(spark, sf).write.text(path)
-    found = load_searches(spark, path).fillna({"radius_km": 0})
+    found = load_searches(spark, path).fillna({"radius_km": 0, "limit": -1})   # -1: none
     return found.withColumn("sources", F.concat_ws(",", "sources"))
 
 

@@ -219,7 +219,7 @@ cte("fx_searches", """
       [20, 60, 200][n_nationkey % 3 + 1] AS lim,
       CASE WHEN n_nationkey % 7 = 6 THEN ['search'] ELSE ['openstreetmap', 'search', 'directories'] END AS sources
     FROM nation UNION ALL SELECT * FROM (VALUES """ + ", ".join(
-    f"({25 + i}, {lit(s['query'])}, '', '', {lit(s['city'])}, '', {lit(s['country'])}, NULL, 50, "
+    f"({25 + i}, {lit(s['query'])}, '', '', {lit(s['city'])}, '', {lit(s['country'])}, NULL, NULL, "
     "['openstreetmap', 'search', 'directories'])" for i, s in enumerate(DEFAULT_SEARCHES)) + "))")
 cte("fx_hits_raw", """
   SELECT search_id, ord, CAST(ord % 3 AS INTEGER) AS engine,
@@ -380,20 +380,19 @@ cte("osm_near", f"""
   WHERE list_contains(s.sources, 'openstreetmap') AND s.place <> ''
     AND {_DIST.format(a='g.lat', b='o.lat', c='g.lon', d='o.lon')} <= coalesce(s.radius_km * 1000, 8000)
     AND CASE lower(trim(s.query)) WHEN 'it' THEN o.k = 'office' WHEN 'restaurant' THEN o.k = 'amenity'
-             WHEN 'beauty' THEN o.k = 'shop' ELSE o.k IN ('shop', 'office', 'amenity', 'healthcare') END
-  QUALIFY row_number() OVER (PARTITION BY s.search_id ORDER BY o.ord) <= 300""")
+             WHEN 'beauty' THEN o.k = 'shop' ELSE o.k IN ('shop', 'office', 'amenity', 'healthcare') END""")
 cte("osm_found", """
   SELECT * FROM (SELECT * FROM osm_near QUALIFY row_number() OVER (PARTITION BY search_id, lower(company_name) ORDER BY ord) = 1)
-  QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY ord) <= lim""")
+  QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY ord) <= coalesce(lim, 1000000000)""")
 cte("web_urls", """
   SELECT * FROM (SELECT b.search_id, b.url, min(b.ord) AS ord, any_value(s.lim) AS lim FROM fx_business b
     JOIN fx_searches s USING (search_id) WHERE b.source = 'search' AND list_contains(s.sources, 'search') GROUP BY ALL)
-  QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY ord) <= lim""")
+  QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY ord) <= coalesce(lim, 1000000000)""")
 cte("dir_rows", """
   SELECT * FROM (SELECT h.search_id, h.ord, h.name, h.url, s.lim FROM fx_hits h JOIN fx_searches s USING (search_id)
     WHERE h.source = 'directories' AND list_contains(s.sources, 'directories') AND h.url <> '' AND h.name <> ''
     QUALIFY row_number() OVER (PARTITION BY h.search_id, lower(h.name), lower(h.url) ORDER BY h.ord) = 1)
-  QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY ord) <= lim""")
+  QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY ord) <= coalesce(lim, 1000000000)""")
 _BLANK = {c: "''" for c in EXPORT_COLUMNS} | {"confidence_score": "0"}
 
 
@@ -454,7 +453,7 @@ def dedup_ctes(prefix: str, src: str, scope: str = "") -> None:
 
 dedup_ctes("dd", "fx_raw")
 dedup_ctes("sd", "all_found", "search_id")
-cte("sd_capped", "SELECT * FROM sd_kept QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY ord) <= 100")
+cte("sd_capped", "SELECT * FROM sd_kept")
 
 
 def finalize(src: str, keep: str) -> str:
@@ -698,7 +697,7 @@ def sql() -> dict[str, str]:
     q["scan_site_pages"] = "SELECT site, page_rank, page_id, length(html) AS html_chars, md5(text) AS text_md5 FROM site_ranked"
     q["scan_saved_searches"] = """SELECT ord AS search_id, category AS query, '' AS industry, '' AS category, city, governorate,
         CASE WHEN ord % 2 = 0 THEN country ELSE 'Egypt' END AS country, CASE WHEN ord % 5 = 0 THEN 3 ELSE 0 END AS radius_km,
-        CASE WHEN ord % 3 = 0 THEN ord % 100 ELSE 50 END AS "limit",
+        CASE WHEN ord % 3 = 0 THEN ord % 100 ELSE -1 END AS "limit",
         CASE WHEN ord % 4 = 0 THEN 'search,directories' ELSE 'openstreetmap,search,directories' END AS sources,
         CASE WHEN governorate = '' THEN city ELSE governorate || ', ' || city END AS place FROM fx_raw"""
     q["export_leads_csv"] = q["export_projection"] = f"SELECT {EXPORT} FROM fx_leads"
@@ -817,23 +816,23 @@ def sql() -> dict[str, str]:
     q["cap_candidates"] = """SELECT search_id, ord, company_name FROM fx_raw
         QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY ord) <= 20"""
     q["cap_per_source"] = """SELECT search_id, source, ord FROM (SELECT h.search_id, h.source, h.ord, s.lim FROM fx_hits_raw h
-        JOIN fx_searches s USING (search_id)) QUALIFY row_number() OVER (PARTITION BY search_id, source ORDER BY ord) <= lim"""
+        JOIN fx_searches s USING (search_id)) QUALIFY row_number() OVER (PARTITION BY search_id, source ORDER BY ord) <= coalesce(lim, 1000000000)"""
 
     q["union_sources"] = f"SELECT search_id, ord, source, {EXPORT} FROM all_found"
     q["ordered_distinct_urls"] = """SELECT search_id, ord, url FROM (SELECT b.search_id, b.url, min(b.ord) AS ord, any_value(s.lim) AS lim
         FROM fx_business b JOIN fx_searches s USING (search_id) GROUP BY ALL)
-        QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY ord) <= lim"""
+        QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY ord) <= coalesce(lim, 1000000000)"""
     junk = " OR ".join(f"contains({sql_netloc('url')}, {lit(j)})" for j in JUNK_HOST_FRAGMENTS)
     q["source_cascade"] = f"""WITH given AS (SELECT * FROM (SELECT h.search_id, h.engine, h.url, s.lim, min(h.ord) AS ord FROM fx_hits h
           JOIN fx_searches s USING (search_id) GROUP BY ALL)
-          QUALIFY row_number() OVER (PARTITION BY search_id, engine ORDER BY ord) <= lim),
+          QUALIFY row_number() OVER (PARTITION BY search_id, engine ORDER BY ord) <= coalesce(lim, 1000000000)),
         sizes AS (SELECT search_id, any_value(lim) AS lim, count(DISTINCT url) FILTER (WHERE engine = 0) AS n1,
           count(DISTINCT url) FILTER (WHERE engine <= 1) AS n12 FROM given GROUP BY search_id),
         used AS (SELECT g.search_id, g.lim, g.url, min(g.engine * 10000000000 + g.ord) AS ord FROM given g JOIN sizes z USING (search_id)
           WHERE g.engine = 0 OR (g.engine = 1 AND z.n1 < z.lim // 2)
              OR (g.engine = 2 AND (CASE WHEN z.n1 < z.lim // 2 THEN z.n12 ELSE z.n1 END) < z.lim // 4) GROUP BY ALL)
         SELECT search_id, ord, url FROM used WHERE NOT ({junk})
-        QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY ord) <= lim"""
+        QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY ord) <= coalesce(lim, 1000000000)"""
 
     q["clean_text_table"] = f"SELECT doc_id, {sql_clean('text')} AS text FROM documents"
     urls = "(SELECT 'page' AS src, page_id AS id, url AS raw FROM pages UNION ALL SELECT 'lead', ord, website FROM fx_raw)"
@@ -861,7 +860,7 @@ def sql() -> dict[str, str]:
     q["extract_employees"] = f"SELECT page_id, {sql_employees('text')} AS employees FROM page_texts"
     q["extract_contact_person"] = f"SELECT page_id, {sql_person('text')} AS contact_person FROM page_texts"
     q["unwrap_result_links"] = """SELECT page, engine, url, row_number() OVER (PARTITION BY page ORDER BY min(p)) AS rank
-        FROM result_canon WHERE url <> '' GROUP BY page, engine, url QUALIFY rank <= 50"""
+        FROM result_canon WHERE url <> '' GROUP BY page, engine, url"""
     q["directory_cards"] = "SELECT page, card AS pos, name, url FROM listing_canon WHERE sited AND url <> ''"
     q["enrich_sites"] = f"""SELECT ord, enriched, {", ".join(
         {"confidence_score": "CASE WHEN enriched THEN confidence_score ELSE old_score END AS confidence_score",

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..fixed_values import DEFAULT_COUNTRY, EXTRA_PAGES, SITES_PER_RUN
+from ..fixed_values import DEFAULT_COUNTRY
 from ..functions.text import clean_text, first_filled
 from ..functions.urls import domain, with_canonical_url
 from ..operators.enrich import enrich_sites
@@ -17,7 +17,7 @@ from ..session import materialize
 from ..sources.registry import union_sources
 
 
-def cap_candidates(df: DataFrame, n: int = SITES_PER_RUN) -> DataFrame:
+def cap_candidates(df: DataFrame, n: int) -> DataFrame:
     """First ``n`` candidates of every search; taken before the costly enrichment."""
     return top_per_group(df, ["search_id"], ["ord"], n)
 
@@ -42,12 +42,17 @@ def finalize_leads(df: DataFrame, searches: DataFrame) -> DataFrame:
     return grade_leads(out)
 
 
-def scan(searches: DataFrame, inputs: Mapping[str, DataFrame], cap: int = SITES_PER_RUN,
-         extra: int = EXTRA_PAGES) -> DataFrame:
-    """Final candidates of all searches: union, de-dup, cap, enrich, finalise."""
+def scan(searches: DataFrame, inputs: Mapping[str, DataFrame], cap: int | None = None,
+         extra: int | None = None) -> DataFrame:
+    """Final candidates of all searches: union, de-dup, enrich, finalise.
+
+    ``cap`` candidates of a search and ``extra`` linked pages of a site; without them all.
+    """
     # de-duplication reads its input several times: the sources are mined once, into a table
     candidates = materialize(union_sources(searches, inputs), "candidates")
-    found = cap_candidates(dedup_candidates(candidates, ["search_id"]), cap)
+    found = dedup_candidates(candidates, ["search_id"])
+    if cap is not None:
+        found = cap_candidates(found, cap)
     if "pages" in inputs:
         found = enrich_sites(found, inputs["pages"], extra)
     else:

@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..fixed_values import (DEFAULT_COUNTRY, MAPS_LINK_PREFIX, OSM_ADDRESS_TAGS,
                             OSM_CATEGORY_TAGS, OSM_DEFAULT_RADIUS_M, OSM_DEFAULT_TAGS,
                             OSM_DESCRIPTION_TAGS, OSM_INDUSTRY_TAGS, OSM_KEYWORD_TAGS,
-                            OSM_MAX_ELEMENTS, OSM_SOURCE_URL, OSM_VALUE_INDUSTRY)
+                            OSM_SOURCE_URL, OSM_VALUE_INDUSTRY)
 from ..functions.industry import guess_industry
 from ..functions.phones import normalize_phone
 from ..functions.text import clean_text, constant_map, filled, first_filled, strip
 from ..functions.urls import canonical_url
 from ..operators.scoring import grade_leads
-from ..operators.topk import capped, top_per_group
+from ..operators.topk import capped
 from ..schema import ELEMENTS_DOCUMENT_SCHEMA, conform
+from .documents import read_json
 
 EARTH_RADIUS_M = 6371000.0
 METRES_PER_DEGREE = math.pi * EARTH_RADIUS_M / 180
@@ -27,8 +28,12 @@ def tag(name: str) -> Column:
 
 
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
-    """Elements of stored map responses, one JSON document per line, in document order."""
-    docs = spark.read.schema(ELEMENTS_DOCUMENT_SCHEMA).json(path)
+    """Elements of stored map responses, in document order: a document per line, or per file over several lines.
+
+    A response without an id gets one from its file.
+    """
+    docs = read_json(spark, path, ELEMENTS_DOCUMENT_SCHEMA)
+    docs = docs.withColumn("response_id", F.coalesce("response_id", F.xxhash64("_file")))
     return docs.select("response_id", F.posexplode("elements").alias("pos", "el")).select(
         "response_id", "pos", "el.*")
 
@@ -103,18 +108,23 @@ def within_radius(df: DataFrame, lat: float, lon: float, radius_km: float | None
 
 
 def geocode_places(df: DataFrame, gazetteer: DataFrame, place: str) -> DataFrame:
-    """Look places up in a gazetteer (place, lat, lon[, name]) by normalised name; inner.
+    """Look places up in a gazetteer (place, lat, lon[, name, country, rank]) by normalised name; inner.
 
-    The named place falls back to the query text. The gazetteer is not assumed to be small, so
+    A place has one hit, the gazetteer row of lowest rank (then coordinates). Where both tables have a country it
+    is part of the key. The named place falls back to the query text. The gazetteer is not assumed to be small, so
     the join strategy is left to the optimizer.
     """
     name = F.col("name") if "name" in gazetteer.columns else F.lit("")
-    towns = gazetteer.select(F.lower(clean_text(F.col("place"))).alias("_place"), "lat", "lon",
-                             name.alias("_name"))
-    return (df.withColumn("_place", F.lower(clean_text(F.col(place))))
-            .join(towns, "_place")
+    rank = F.col("rank") if "rank" in gazetteer.columns else F.lit(0)
+    both = "country" in gazetteer.columns and "country" in df.columns
+    key = lambda place: [F.lower(clean_text(F.col(place))).alias("_place"),
+                         (F.lower(clean_text(F.col("country"))) if both else F.lit("")).alias("_country")]
+    hit = F.struct(rank.alias("rank"), "lat", "lon", name.alias("_name"))
+    towns = (gazetteer.select(*key("place"), hit.alias("h")).groupBy("_place", "_country").agg(F.min("h").alias("h"))
+             .select("_place", "_country", "h.lat", "h.lon", "h._name"))
+    return (df.select("*", *key(place)).join(towns, ["_place", "_country"])
             .withColumn("place_name", first_filled(strip(F.col("_name")), F.col(place)))
-            .drop("_place", "_name"))
+            .drop("_place", "_country", "_name"))
 
 
 def _cell(c: Column, degrees: float) -> Column:
@@ -208,14 +218,22 @@ def osm_to_leads(df: DataFrame) -> DataFrame:
 
 
 def osm_candidates(searches: DataFrame, elements: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """What the map source finds for every search: near its place, matching its keyword."""
+    """What the map source finds for every search: near its place, matching its keyword.
+
+    Searches that ask for the same circle and tags share one selection, which is freed of repeated names and cut
+    at the largest of their limits; only then it is dealt out to them.
+    """
+    request = ["p_lat", "p_lon", "p_radius_m", "wanted"]
     asked = geocode_places(searches.filter(F.col("place") != ""), gazetteer, "place").select(
-        "search_id", "place", "country",
-        first_filled(F.col("query"), F.col("industry"), F.col("category")).alias("keyword"),
+        "search_id", "place", "country", "limit",
+        keyword_tags(first_filled(F.col("query"), F.col("industry"), F.col("category"))).alias("wanted"),
         F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"),
         F.coalesce(F.nullif(F.col("radius_km") * 1000, F.lit(0)),
                    F.lit(OSM_DEFAULT_RADIUS_M)).cast("double").alias("p_radius_m"))
-    near = osm_tag_filter(near_places(located(elements), asked), F.col("keyword"))
-    near = top_per_group(near, ["search_id"], ["ord"], OSM_MAX_ELEMENTS)
-    near = near.select("search_id", "ord", "lat", "lon", "tags", "place", "country")
-    return osm_to_leads(osm_name_dedup(near, ["search_id"], "ord", searches))
+    most = asked.groupBy(*request).agg(F.when(F.count("limit") == F.count(F.lit(1)), F.max("limit")).alias("limit"))
+    most = most.withColumn("request", F.xxhash64(*request))
+    near = near_places(located(elements), most.select("request", *request))
+    near = near.filter(F.col("tags")["name"].isNotNull() & F.exists(F.map_keys("tags"), lambda k: F.rlike(k, F.col("wanted"))))
+    found = osm_name_dedup(near.select("request", "ord", "lat", "lon", "tags"), ["request"], "ord", most.select("request", "limit"))
+    dealt = found.join(asked.withColumn("request", F.xxhash64(*request)).drop("limit", *request), "request").drop("request")
+    return osm_to_leads(capped(dealt, searches, "search_id", "ord"))

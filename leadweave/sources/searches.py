@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..fixed_values import DEFAULT_COUNTRY, DEFAULT_SEARCHES, SOURCE_LIMIT, SOURCES
+from ..fixed_values import DEFAULT_COUNTRY, DEFAULT_SEARCHES, SOURCES
 from ..functions.text import filled
 from ..schema import SEARCH_SCHEMA, blank_missing
+from .documents import read_json
 
 
 def default_searches(spark: SparkSession) -> DataFrame:
-    rows = [(i, s["query"], "", "", s["city"], "", s["country"], None, SOURCE_LIMIT, SOURCES)
+    rows = [(i, s["query"], "", "", s["city"], "", s["country"], None, None, SOURCES)
             for i, s in enumerate(DEFAULT_SEARCHES)]
     return spark.createDataFrame(rows, SEARCH_SCHEMA)
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
-    """Missing values of a saved search, and the place it asks about."""
+    """Missing values of a saved search, and the place it asks about; without a limit it has none."""
     out = blank_missing(df).withColumns({
         "country": F.coalesce(filled(F.col("country")), F.lit(DEFAULT_COUNTRY)),
-        "limit": F.coalesce("limit", F.lit(SOURCE_LIMIT)),
         "sources": F.coalesce("sources", F.array(*[F.lit(s) for s in SOURCES])),
     })
     return out.withColumn("place", F.concat_ws(
@@ -28,19 +28,19 @@ def with_defaults(df: DataFrame) -> DataFrame:
 
 
 def load_searches(spark: SparkSession, path: str | None) -> DataFrame:
-    """Searches stored as JSON (an array or one object per line); the defaults if there are none.
+    """Searches stored as JSON: an array, indented or not, or one object per line; the defaults if there is no file.
 
-    A file that cannot be read as searches gives the defaults; a single object that is no
-    search gives no rows.
+    A search without an id gets one from what it asks, which stays the same when others are added. Text
+    that is no JSON is an error; an object that is no search gives no row.
     """
     if path is None:
         return with_defaults(default_searches(spark))
     try:
-        raw = spark.read.schema(SEARCH_SCHEMA).option("mode", "FAILFAST").json(path)
-        if raw.isEmpty():
-            return with_defaults(raw)
-    except Exception as err:  # missing file or text that is no JSON
-        if not isinstance(err, AnalysisException) and "MALFORMED" not in str(err):
+        raw = read_json(spark, path, SEARCH_SCHEMA)
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
             raise
         return with_defaults(default_searches(spark))
-    return with_defaults(raw.filter(F.col("query").isNotNull()))
+    asked = [c for c in SEARCH_SCHEMA.fieldNames() if c != "search_id"]
+    found = raw.filter(F.col("query").isNotNull()).withColumn("search_id", F.coalesce("search_id", F.xxhash64(*asked)))
+    return with_defaults(found.select(*SEARCH_SCHEMA.fieldNames()))

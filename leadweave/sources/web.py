@@ -39,7 +39,7 @@ def unwrap_link(engine: Column, href: Column) -> Column:
     return F.when(engine == "duckduckgo", duck).when(engine == "google", google).otherwise(href)
 
 
-def unwrap_result_links(pages: DataFrame, limit: int = 50) -> DataFrame:
+def unwrap_result_links(pages: DataFrame, limit: int | None = None) -> DataFrame:
     """Distinct canonical result URLs of stored result pages (page, engine, html), in order.
 
     Links with the engine's own result mark-up win; a page without any falls back to all its
@@ -67,8 +67,8 @@ def unwrap_result_links(pages: DataFrame, limit: int = 50) -> DataFrame:
     used = first.withColumn("_mains", F.count("_main").over(page)).filter(
         (F.col("_mains") == 0) | F.col("_main").isNotNull())
     order = page.orderBy(F.coalesce("_main", "_any"))
-    return used.select("page", "engine", "url", F.row_number().over(order).alias("rank")).filter(
-        F.col("rank") <= limit)
+    ranked = used.select("page", "engine", "url", F.row_number().over(order).alias("rank"))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def business_hosts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -92,7 +92,7 @@ def source_cascade(df: DataFrame, limits: DataFrame) -> DataFrame:
 
     The second engine is asked only if the first gave fewer than limit/2 URLs, the third only if
     the running distinct list is shorter than limit/4. Each engine itself returns at most
-    ``limit`` distinct URLs.
+    ``limit`` distinct URLs. A search without a limit asks all and takes all.
     """
     given = df.groupBy("search_id", "engine", "url").agg(F.min("ord").alias("ord"))
     given = given.join(limits.select("search_id", "limit"), "search_id")
@@ -104,8 +104,8 @@ def source_cascade(df: DataFrame, limits: DataFrame) -> DataFrame:
         F.count_if(F.col("engine") <= 1).alias("n12"))
     # by now a search has at most 3 * limit rows
     gated = urls.join(sizes, "search_id")
-    second = F.col("n1") < F.floor(F.col("limit") / 2)
-    third = second & (F.col("n12") < F.floor(F.col("limit") / 4))
+    second = F.col("limit").isNull() | (F.col("n1") < F.floor(F.col("limit") / 2))
+    third = second & (F.col("limit").isNull() | (F.col("n12") < F.floor(F.col("limit") / 4)))
     return gated.filter((F.col("engine") == 0) | ((F.col("engine") == 1) & second) | third).select(
         "search_id", "engine", (F.col("engine") * ENGINE_STRIDE + F.col("ord")).alias("ord"), "url")
 

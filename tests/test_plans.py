@@ -67,3 +67,10 @@ def test_no_cross_join_and_no_python_in_the_plan(spark, sf, name):
     text = plan(QUERIES[name](spark, sf))
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert word not in text
+
+
+def test_html_is_never_shuffled(spark, sf):
+    text = plan(QUERIES["join_site_pages"](spark, sf), "formatted")
+    for part in text.split("\n\n"):
+        if re.match(r"\(\d+\) (Exchange|Sort)", part):
+            assert not re.search(r"\b_?html#", part), part

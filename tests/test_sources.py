@@ -1,5 +1,7 @@
+import json
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import bag, leads
@@ -133,10 +135,44 @@ def test_directory_cards_and_outlinks(spark):
 def test_saved_searches(spark):
     assert load_searches(spark, None).count() == 5
     assert load_searches(spark, scratch_dir(spark, "absent")).count() == 5
-    for text, n in (("[]", 0), ('[{"query":"a"},{"query":"b","limit":7}]', 2), ("{oops", 5), ('{"x":1}', 0)):
-        path = scratch_dir(spark, "searches")
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
-        assert load_searches(spark, path).count() == n, text
+    two = [{"query": "a", "city": "x"}, {"query": "b", "limit": 7}]
+    lines = "\n".join(map(json.dumps, two))
+    for text, n in (("[]", 0), (json.dumps(two), 2), (json.dumps(two, indent=2), 2), (lines, 2), ('{"x":1}', 0), ("\n\n", 0)):
+        found = load_searches(spark, stored(spark, text)).collect()
+        assert len(found) == n, text
+        assert len({r.search_id for r in found} - {None}) == n, text
+    again = [load_searches(spark, stored(spark, t)).orderBy("query").collect() for t in (json.dumps(two), json.dumps(two[::-1], indent=1))]
+    assert again[0] == again[1] and [r["limit"] for r in again[0]] == [None, 7]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        load_searches(spark, stored(spark, "{oops")).collect()
+
+
+def stored(spark, text):
+    path = scratch_dir(spark, "searches")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+def test_map_documents_over_several_lines(spark):
+    doc = {"elements": [{"lat": 1.0, "lon": 2.0, "tags": {"name": "A"}}, {"center": {"lat": 3.0, "lon": 4.0}, "tags": {}}]}
+    for text in (json.dumps(doc), json.dumps(doc, indent=2), json.dumps(doc | {"response_id": 5}, indent=2)):
+        rows = osm.read_elements(spark, stored(spark, text)).collect()
+        assert [r.pos for r in rows] == [0, 1] and rows[0].response_id is not None
+        assert ("response_id" not in text) or rows[0].response_id == 5
+
+
+def test_one_hit_per_place_and_many_searches_for_one_city(spark):
+    towns = spark.createDataFrame([("Cairo", 30.0, 31.0, "EG", 2), ("cairo ", 37.0, -89.0, "US", 1), ("Cairo", 30.1, 31.1, "EG", 1)],
+                                  "place string, lat double, lon double, country string, rank int")
+    asked = spark.createDataFrame([("Cairo", "EG")], "p string, country string")
+    assert bag(osm.geocode_places(asked, towns, "p"), "lat") == [(30.1,)]
+    assert bag(osm.geocode_places(asked.drop("country"), towns, "p"), "lat") == [(30.1,)]
+    many = spark.range(1000).selectExpr("id as search_id", "'shop' as query", "'' as industry", "'' as category", "'Cairo' as city",
+                                        "'' as governorate", "'EG' as country", "cast(null as int) as radius_km",
+                                        "if(id % 2 = 0, 2, cast(null as int)) as limit", "array('openstreetmap') as sources")
+    el = spark.range(60).selectExpr("id as ord", "30.1 as lat", "31.1 as lon", "map('name', concat('Shop ', id % 5), 'shop', 'car') as tags")
+    found = osm.osm_candidates(with_defaults(many), el, towns).groupBy("search_id").count()
+    assert {tuple(r) for r in found.selectExpr("search_id % 2", "count").distinct().collect()} == {(0, 2), (1, 5)}
 
 
 def test_finalize(spark):
@@ -155,11 +191,30 @@ def test_finalize(spark):
 PAGES = "page_id long, url string, html string"
 
 
-def test_site_pages_prefer_front_and_contact_pages(spark):
-    rows = [(i, f"https://a.com/p{i}", "x") for i in range(8)]
-    rows += [(8, "http://www.a.com/contact-us", "c"), (9, "https://a.com/", "home"), (10, "b.com/z", "z")]
-    got = bag(enrich.site_pages(spark.createDataFrame(rows, PAGES), 3), "site", "page_rank", "page_id")
-    assert got == [("a.com", 1, 9), ("a.com", 2, 8), ("a.com", 3, 0), ("a.com", 4, 1), ("b.com", 1, 10)]
+def test_a_site_is_its_own_page_and_those_it_links_to(spark):
+    link = '<a href="/contact-us">c</a><a href="https://a.com/about">a</a><a href="/contact-us#x">again</a><a href="/gone/team">t</a>'
+    rows = [(5, "https://www.a.com/", link), (1, "https://a.com/p1", "x"), (9, "http://www.a.com/contact-us", "c"), (10, "https://a.com/contact-us", "d"),
+            (11, "https://a.com/about", "e"), (12, "https://a.com/about/", "later copy")]
+    facts = enrich.page_facts(spark.createDataFrame(rows, PAGES))
+    sites = spark.createDataFrame([("https://a.com",), ("https://a.com",), ("https://none.com",)], "site string")
+    assert bag(enrich.site_pages(sites, facts), "site", "page_rank", "page_id") == [
+        ("https://a.com", 1, 5), ("https://a.com", 2, 10), ("https://a.com", 3, 11)]
+    assert bag(enrich.site_pages(sites, facts, 1), "page_id") == [(5,), (10,)]
+
+
+def test_businesses_on_one_host_stay_apart(spark):
+    page = '<title>{0}</title><p>mail {1}</p><a href="/{0}/contact">c</a>'
+    pages = spark.createDataFrame([(1, "https://shared.com/a", page.format("Alpha", "a@alpha.com")), (2, "https://shared.com/b", page.format("Beta", "b@beta.com")),
+                                   (3, "https://shared.com/Beta/contact", "Call 0100 123 4567 now")], PAGES)
+    df = leads(spark, {"website": "https://shared.com/a"}, {"website": "shared.com/b/"}, {"website": "https://shared.com"})
+    rows = {r.ord: (r.enriched, r.company_name, r.email, r.phone) for r in enrich.enrich_sites(df, pages).collect()}
+    assert rows == {0: (True, "Alpha", "a@alpha.com", ""), 1: (True, "Beta", "b@beta.com", "+201001234567"), 2: (False, "", "", "")}
+
+
+def test_a_url_of_very_many_leads(spark):
+    df = leads(spark, {"website": "https://hot.com/x"}).drop("ord").crossJoin(spark.range(5000).withColumnRenamed("id", "ord"))
+    pages = spark.createDataFrame([(1, "https://hot.com/x", "<title>Hot</title>")], PAGES)
+    assert enrich.enrich_sites(df, pages).filter("company_name = 'Hot' and enriched").count() == 5000
 
 
 def test_enrich_fills_only_what_is_empty(spark):
