@@ -15,6 +15,14 @@ from .text import (any_of, bind, clean_text, collapse, decode_entities, first_fi
 from .urls import canonical_url, domain, netloc, social_platform
 
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# Tags end before the next one begins, and an element before the next of its kind or after 200 inner tags: a pattern
+# that fails at one place has not read on to the end of the page.
+
+
+def _element(tag: str) -> str:
+    return rf"<{tag}\b[^<>]*>([^<]*+(?:<(?!/?{tag}\b)[^<]*+){{0,200}}+)</{tag}"
+
+
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -25,14 +33,14 @@ def attribute(tag: Column, name: str) -> Column:
 
 def anchor_hrefs(html: Column) -> Column:
     """href values of all anchors, in order."""
-    raw = F.regexp_extract_all(html, F.lit(rf"(?is)<a\b[^>]*?\shref\s*=\s*{_VALUE}"), F.lit(1))
+    raw = F.regexp_extract_all(html, F.lit(rf"(?is)<a\b[^<>]*?\shref\s*=\s*{_VALUE}"), F.lit(1))
     return F.transform(raw, lambda h: strip(decode_entities(
         F.regexp_replace(h, r"""^["']|["']$""", ""))))
 
 
 def anchors(html: Column) -> Column:
     """Whole anchor elements, in order."""
-    return F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0))
+    return F.regexp_extract_all(html, F.lit(rf"(?is){_element('a')}\s*>"), F.lit(0))
 
 
 def element_text(html: Column, by: str = "") -> Column:
@@ -41,7 +49,7 @@ def element_text(html: Column, by: str = "") -> Column:
 
 def meta_content(html: Column, key: str, value: str) -> Column:
     """content of the first <meta> whose ``key`` attribute equals ``value``."""
-    metas = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
+    metas = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^<>]*>"), F.lit(0))
     wanted = F.filter(metas, lambda m: m.rlike(
         rf"""(?s)(?i:\s{key}\s*=\s*)(?:"{any_of([value])}"|'{any_of([value])}'|{any_of([value])}(?=[\s/>]))"""))
     return attribute(F.coalesce(F.get(wanted, F.lit(0)), F.lit("")), "content")
@@ -50,10 +58,10 @@ def meta_content(html: Column, key: str, value: str) -> Column:
 def company_name(home: Column, base: Column) -> Column:
     """Site name: og:site_name, else title up to a separator, else h1, else the domain label."""
     site_name = meta_content(home, "property", "og:site_name")
-    title = clean_text(decode_entities(F.regexp_extract(home, r"(?is)<title\b[^>]*>(.*?)</title", 1)))
+    title = clean_text(decode_entities(F.regexp_extract(home, f"(?is){_element('title')}", 1)))
     for sep in TITLE_SEPARATORS:
         title = F.trim(F.substring_index(title, sep, 1))
-    heading = element_text(F.regexp_extract(home, r"(?is)<h1\b[^>]*>(.*?)</h1", 1))
+    heading = element_text(F.regexp_extract(home, f"(?is){_element('h1')}", 1))
     label = title_case(F.substring_index(F.replace(netloc(base), F.lit("www."), F.lit("")), ".", 1))
     return (F.when(site_name != "", clean_text(site_name))
             .otherwise(F.coalesce(
@@ -86,11 +94,11 @@ def description(home: Column, text: Column) -> Column:
 
 
 _ADDRESS_NODES = [
-    r"(?is)<([a-z0-9]+)\b[^>]*\sitemtype\s*=\s*[\"'][^\"']*PostalAddress[^>]*>(.*?)</\1\s*>",
-    r"(?is)<([a-z0-9]+)\b[^>]*\sitemtype\s*=\s*[\"'][^\"']*LocalBusiness[^>]*>(.*?)</\1\s*>",
-    r"(?is)<(address)\b[^>]*>(.*?)</address\s*>",
-    r"(?is)<([a-z0-9]+)\b[^>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?address(?:\s[^\"']*)?[\"'][^>]*>(.*?)</\1\s*>",
-    r"(?is)<([a-z0-9]+)\b[^>]*\sid\s*=\s*[\"']address[\"'][^>]*>(.*?)</\1\s*>",
+    r"(?is)<([a-z0-9]+)\b[^<>]*\sitemtype\s*=\s*[\"'][^\"']*PostalAddress[^<>]*>(.{0,5000}?)</\1\s*>",
+    r"(?is)<([a-z0-9]+)\b[^<>]*\sitemtype\s*=\s*[\"'][^\"']*LocalBusiness[^<>]*>(.{0,5000}?)</\1\s*>",
+    r"(?is)<(address)\b[^<>]*>(.{0,5000}?)</address\s*>",
+    r"(?is)<([a-z0-9]+)\b[^<>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?address(?:\s[^\"']*)?[\"'][^<>]*>(.{0,5000}?)</\1\s*>",
+    r"(?is)<([a-z0-9]+)\b[^<>]*\sid\s*=\s*[\"']address[\"'][^<>]*>(.{0,5000}?)</\1\s*>",
 ]
 
 

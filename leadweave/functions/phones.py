@@ -1,7 +1,7 @@
 """Phone candidates, numbering plans and E.164.
 
-Validity is checked against the plan rows below (pattern level). A number of a country without a
-row comes out as '' (not normalised); add a row to cover another country.
+Validity is checked against the plan rows below (pattern level). An international number of a country
+without a row is taken as it is; add a row to check it.
 """
 
 from __future__ import annotations
@@ -42,6 +42,42 @@ PLANS = [
         mobile=r"[2-9][0-9]{2}[2-9][0-9]{6}",   # fixed and mobile share one range
         fixed="",
         groups=((r"^\+1([0-9]{3})([0-9]{3})([0-9]{4})$", "+1 $1-$2-$3"),)),
+    # patterns of length and leading digits, from the ITU's public lists of national numbering plans
+    *[NumberingPlan(region, code, trunk, "00", mobile, fixed, ((rf"^\+{code}([0-9]+)$", f"+{code} $1"),)) for region, code, trunk, mobile, fixed in (
+        ("SA", "966", "0", "5[0-9]{8}", "1[1-7][0-9]{7}"),
+        ("AE", "971", "0", "5[024568][0-9]{7}", "[234679][0-9]{7}"),
+        ("KW", "965", "", "[569][0-9]{7}", "2[0-9]{7}"),
+        ("QA", "974", "", "[3567][0-9]{7}", "4[0-9]{7}"),
+        ("BH", "973", "", "[36][0-9]{7}", "1[0-9]{7}"),
+        ("OM", "968", "", "[79][0-9]{7}", "2[0-9]{7}"),
+        ("YE", "967", "0", "7[01378][0-9]{7}", "[1-7][0-9]{6,7}"),
+        ("IQ", "964", "0", "7[3-9][0-9]{8}", "[1-6][0-9]{6,8}"),
+        ("JO", "962", "0", "7[789][0-9]{7}", "[2356][0-9]{7}"),
+        ("LB", "961", "0", "3[0-9]{6}|(?:7[016-9]|81)[0-9]{6}", "[14-9][0-9]{6}"),
+        ("SY", "963", "0", "9[0-9]{8}", "[1-5][0-9]{7,8}"),
+        ("PS", "970", "0", "5[69][0-9]{7}", "[2489][0-9]{7}"),
+        ("MA", "212", "0", "[67][0-9]{8}", "5[0-9]{8}"),
+        ("DZ", "213", "0", "[567][0-9]{8}", "[1-4][0-9]{7}"),
+        ("TN", "216", "", "[2459][0-9]{7}", "[37][0-9]{7}"),
+        ("LY", "218", "0", "9[0-9]{8}", "[2-8][0-9]{7,8}"),
+        ("SD", "249", "0", "9[0-9]{8}", "1[0-9]{8}"),
+        ("TR", "90", "0", "5[0-9]{9}", "[234][0-9]{9}"),
+        ("GB", "44", "0", "7[1-57-9][0-9]{8}", "[1-3][0-9]{8,9}"),
+        ("FR", "33", "0", "[67][0-9]{8}", "[1-589][0-9]{8}"),
+        ("DE", "49", "0", "1[5-7][0-9]{8,9}", "[2-9][0-9]{5,10}"),
+        ("IT", "39", "", "3[0-9]{8,9}", "0[0-9]{5,10}"),
+        ("ES", "34", "", "[67][0-9]{8}", "[89][0-9]{8}"),
+        ("PT", "351", "", "9[0-9]{8}", "2[0-9]{8}"),
+        ("NL", "31", "0", "6[1-58][0-9]{7}", "[1-57-9][0-9]{8}"),
+        ("BE", "32", "0", "4[5-9][0-9]{7}", "[1-9][0-9]{7}"),
+        ("AT", "43", "0", "6[5-9][0-9]{8,11}", "[1-57][0-9]{3,11}"),
+        ("SE", "46", "0", "7[0-9]{8}", "[1-689][0-9]{6,8}"),
+        ("DK", "45", "", "[2-9][0-9]{7}", ""),
+        ("PL", "48", "", "[4-8][0-9]{8}", "[1-3][0-9]{8}"),
+        ("GR", "30", "", "69[0-9]{8}", "2[0-9]{9}"),
+        ("IE", "353", "0", "8[35-9][0-9]{7}", "[1-79][0-9]{6,8}"),
+        ("IN", "91", "0", "[6-9][0-9]{9}", "[1-5][0-9]{9}"),
+    )],
 ]
 _DIGITS = "".join(chr(z + d) for z in (0x0660, 0x06F0, 0xFF10) for d in range(10)) + "\uff0b"
 _ASCII = "0123456789" * 3 + "+"
@@ -71,6 +107,8 @@ def normalize_phone(raw: Column, region: str = DEFAULT_REGION) -> Column:
         prefix = rf"(?:{prefix}|{plan.code})?" if plan is home else rf"(?:{prefix})"
         n = F.regexp_replace(n, rf"^{prefix}(?:{plan.trunk})?({_national(plan)})$",
                              f"ok+{plan.code}$1")
+    covered = "|".join(p.code for p in PLANS)
+    n = F.regexp_replace(n, rf"^(?:\+|{home.exit_code})(?!{covered})([1-9][0-9]{{7,14}})$", "ok+$1")
     return F.regexp_extract(n, r"^ok(\+[0-9]+)$", 1)
 
 

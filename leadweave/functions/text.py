@@ -84,14 +84,17 @@ def decode_entities(c: Column) -> Column:
 
 
 def strip_tags(c: Column, by: str = " ") -> Column:
-    return F.regexp_replace(c, r"<[a-zA-Z/!?][^>]*>", by)
+    return F.regexp_replace(c, r"<[a-zA-Z/!?][^>]*+(?:>|\z)", by)
 
 
 def visible_markup(c: Column) -> Column:
-    """HTML without comments, scripts and styles."""
-    t = F.regexp_replace(c, r"(?s)<!--.*?-->", " ")
+    """HTML without comments, scripts and styles.
+
+    What is never closed goes on to the end of the text, so each pattern passes over the text once.
+    """
+    t = F.regexp_replace(c, r"(?s)<!--.*?(?:-->|\z)", " ")
     for tag in ("script", "style", "noscript"):
-        t = F.regexp_replace(t, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
+        t = F.regexp_replace(t, rf"(?is)<{tag}\b.*?(?:</{tag}\s*>|\z)", " ")
     return t
 
 

@@ -13,6 +13,9 @@ from ..sources.searches import default_searches, with_defaults
 AS_OF = "2024-02-10 00:00:00"
 STORE_NOW = "2024-03-01 00:00:00"
 BATCH_NOW = "2024-03-02 00:00:00"
+#: starts of phone numbers of other countries, one of them without a numbering plan here; four digits follow
+FOREIGN = ["+966 50 123 ", "+971 (0)50 123 ", "00965 5012 ", "+962 7 9012 ", "+212 0612 34 ", "+216 20 12 ", "+90 532 123 ",
+           "+44 20 7946 ", "+91 98765 4", "+49 1512 345 ", "+47 2212 ", "+966 99 123 "]
 
 
 def moment(text: str):
@@ -45,7 +48,9 @@ def raw_leads(spark: SparkSession, sf: str) -> DataFrame:
                  "when 2 then concat('user', k, '@gmail.com') when 3 then concat('x', k, '@mailinator.com') "
                  "when 4 then 'bad@@mail' else concat('owner.', k, '@biz', k % 400, '.example.com') end",
         "phone": "case k % 4 when 0 then '' when 1 then concat('0100 ', lpad(k % 1000, 3, '0'), ' ', "
-                 "lpad(k % 10000, 4, '0')) when 2 then concat('+20 2 2', lpad(k, 7, '0')) else '123' end",
+                 "lpad(k % 10000, 4, '0')) when 2 then concat('+20 2 2', lpad(k, 7, '0')) else if(k % 8 = 7, concat("
+                 f"element_at(array({', '.join(repr(x) for x in FOREIGN)}), cast(k div 8 % {len(FOREIGN)} + 1 as int)), "
+                 "lpad(k % 10000, 4, '0')), '123') end",
         "city": "n_name",
         "governorate": "if(k % 3 = 0, '', concat('Gov ', k % 12))",
         "country": "r_name",

@@ -9,9 +9,10 @@ from ..fixed_values import (ABOUT_STEMS, ADDRESS_WORDS, CONTACT_STEMS, DEFAULT_S
                             INDUSTRY_KEYWORDS, JUNK_HOST_FRAGMENTS, OSM_VALUE_INDUSTRY,
                             PERSON_LABELS, ROLE_MAILBOXES, SOCIAL_HOSTS, TRACKING_PARAMS,
                             VALID_EMAIL_PATTERN)
+from ..functions.phones import PLANS
 from ..schema import EXPORT_COLUMNS, LEAD_COLUMNS, TEXT_COLUMNS
 from .catalog import DIRECTORY, LOOKUP_KEY
-from .fixtures import AS_OF, BATCH_NOW, STORE_NOW
+from .fixtures import AS_OF, BATCH_NOW, FOREIGN, STORE_NOW
 
 
 def lit(s: str) -> str:
@@ -122,22 +123,37 @@ _EG = (r"1[0125]\d{8}|2\d{8}|3\d{7}|(?:13|15|4[05678]|5[057]|6[24689]|8[2468]|9[
 _NANP = r"[2-9]\d\d[2-9]\d{6}"
 
 
+def _foreign(n: str, prefix: str, when: str) -> str:
+    """The other plans; a number of a country that has none is taken as it is."""
+    whens = []
+    for p in PLANS:
+        if p.region not in ("EG", "US"):
+            form = f"({'|'.join(x for x in (p.mobile, p.fixed) if x)})"
+            form = f"^{prefix}{p.code}{p.trunk and p.trunk + '?'}{form}$"
+            whens.append(f"WHEN {when} AND regexp_matches({n}, '{form}') THEN '+{p.code}' || regexp_extract({n}, '{form}', 1)")
+    whens.append(f"WHEN {when} AND regexp_matches({n}, '^{prefix}[1-9][0-9]{{7,14}}$') AND NOT regexp_matches({n}, "
+                 f"'^{prefix}(?:{'|'.join(p.code for p in PLANS)})') THEN '+' || regexp_extract({n}, '^{prefix}(.*)$', 1)")
+    return " ".join(whens)
+
+
 def sql_e164(x: str) -> str:
-    """E.164 under the two plans, home region Egypt."""
+    """E.164 under the plans, home region Egypt."""
     start = f"regexp_extract({x}, '[+0-9](?:.|\\n)*')"
     plus = f"starts_with({start}, '+')"
     n = f"regexp_replace({start}, '[^0-9]', '', 'g')"
     return f"""CASE WHEN regexp_matches({start}, '[a-zA-Z]') THEN ''
       WHEN {plus} AND regexp_matches({n}, '^200?(?:{_EG})$') THEN '+20' || regexp_extract({n}, '^200?({_EG})$', 1)
       WHEN {plus} AND regexp_matches({n}, '^11?{_NANP}$') THEN '+1' || right({n}, 10)
+      {_foreign(n, '', plus)}
       WHEN {plus} THEN ''
       WHEN regexp_matches({n}, '^0?(?:{_EG})$') THEN '+20' || regexp_extract({n}, '^0?({_EG})$', 1)
       WHEN regexp_matches({n}, '^(?:00)?200?(?:{_EG})$') THEN '+20' || regexp_extract({n}, '^(?:00)?200?({_EG})$', 1)
       WHEN regexp_matches({n}, '^0011?{_NANP}$') THEN '+1' || right({n}, 10)
+      {_foreign(n, '00', 'TRUE')}
       ELSE '' END"""
 
 
-MOBILE = r"regexp_matches(e164, '^\+201[0125]\d{8}$|^\+1\d{10}$')"
+MOBILE = "regexp_matches(e164, '" + "|".join(rf"^\+{p.code}(?:{p.mobile})$" for p in PLANS) + "')"
 
 
 def industry_cte(name: str, src: str, key: str, text: str) -> str:
@@ -173,7 +189,9 @@ cte("fx_raw", f"""
          WHEN 4 THEN 'bad@@mail' ELSE 'owner.' || c_custkey || '@biz' || (c_custkey % 400) || '.example.com' END AS email,
     CASE c_custkey % 4 WHEN 0 THEN ''
          WHEN 1 THEN '0100 ' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || ' ' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0')
-         WHEN 2 THEN '+20 2 2' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') ELSE '123' END AS phone,
+         WHEN 2 THEN '+20 2 2' || lpad(CAST(c_custkey AS VARCHAR), 7, '0')
+         ELSE CASE WHEN c_custkey % 8 = 7 THEN """ + f"{listed(FOREIGN)}[c_custkey // 8 % {len(FOREIGN)} + 1]" + """
+              || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') ELSE '123' END END AS phone,
     '' AS whatsapp, '' AS address, n_name AS city,
     CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'Gov ' || (c_custkey % 12) END AS governorate, r_name AS country,
     '' AS maps_link, '' AS linkedin_url,
@@ -848,7 +866,8 @@ def sql() -> dict[str, str]:
         WHEN regexp_matches(e164, '^\+201\d{9}$') THEN regexp_replace(e164, '^\+20(\d{3})(\d{3})(\d{4})$', '+20 \1 \2 \3')
         WHEN regexp_matches(e164, '^\+20[89]00\d{7}$') THEN regexp_replace(e164, '^\+20(\d{3})(\d{3})(\d{4})$', '+20 \1 \2 \3')
         WHEN regexp_matches(e164, '^\+20[23]') THEN regexp_replace(e164, '^\+20(\d)(\d+)$', '+20 \1 \2')
-        ELSE regexp_replace(e164, '^\+20(\d\d)(\d{7})$', '+20 \1 \2') END AS shown FROM numbers WHERE e164 <> ''"""
+        WHEN regexp_matches(e164, '^\+20') THEN regexp_replace(e164, '^\+20(\d\d)(\d{7})$', '+20 \1 \2')
+        ELSE regexp_replace(e164, '^\+(' || ?codes || ')(\d+)$', '+\1 \2') END AS shown FROM numbers WHERE e164 <> ''""".replace("?codes", lit("|".join(p.code for p in PLANS if p.region not in ("EG", "US"))))
     q["extract_social_links"] = "SELECT page_id, platform, url, pos FROM social_links"
     q["classify_industry"] = (f"WITH {industry_cte('guess', 'documents', 'doc_id', 'text')} "
                               "SELECT d.doc_id, coalesce(g.industry, '') AS industry FROM documents d LEFT JOIN guess g USING (doc_id)")

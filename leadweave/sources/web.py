@@ -17,7 +17,7 @@ ENGINE_STRIDE = 10 ** 10
 
 _RESULT_CLASS = r"""(?is)^<a\b[^>]*\sclass\s*=\s*["'](?:[^"']*\s)?result__a(?:\s[^"']*)?["']"""
 _RESULT_TITLE = (r"""(?is)(<li\b[^>]*\sclass\s*=\s*["'](?:[^"']*\s)?b_algo(?:\s[^"']*)?["'][^>]*>"""
-                 r"""(?:[^<]++|<(?!/li\b|h2\b))*+<h2\b[^>]*>\s*)<a\b""")
+                 r"""[^<]*+(?:<(?!/li\b|h2\b)[^<]*+){0,200}+<h2\b[^<>]*>\s*)<a\b""")
 
 
 def _query_value(href: Column, name: str) -> Column:

@@ -91,7 +91,11 @@ def test_normalize_phone(spark):
              "0020 100 123 4567": "+201001234567", "201001234567": "+201001234567", "+20 0100 123 4567": "+201001234567",
              "02 25760000": "+20225760000", "03-4201234": "+2034201234", "+1 (212) 555-0147": "+12125550147",
              "001 212 555 0147": "+12125550147", "٠١٠٠ ١٢٣ ٤٥٦٧": "+201001234567", "abc": "", "123": "",
-             "+44 20 7946 0958": "", "0100 abc 4567": "", None: ""}
+             "+44 20 7946 0958": "+442079460958", "+44 (0)7911 123456": "+447911123456", "+44 999": "", "00966 50 123 4567": "+966501234567",
+             "+971 4 123 4567": "+97141234567", "+965 5012 3456": "+96550123456", "+962 79 012 3456": "+962790123456",
+             "+961 3 123 456": "+9613123456", "+212 612-345678": "+212612345678", "+216 20 123 456": "+21620123456",
+             "+90 532 123 45 67": "+905321234567", "+33 1 23 45 67 89": "+33123456789", "+91 98765 43210": "+919876543210",
+             "+47 22 12 34 56": "+4722123456", "+47 1": "", "0100 abc 4567": "", None: ""}
     assert evaluate(spark, N.normalize_phone, list(cases)) == list(cases.values())
 
 
@@ -175,3 +179,20 @@ def test_social_links(spark):
     for platform, url in (("facebook", "https://facebook.com/acme"), ("instagram", "https://instagram.com/acme"),
                           ("linkedin", "https://linkedin.com/company/acme"), ("tiktok", "")):
         assert evaluate(spark, lambda c: P.first_social(P.social_links(c), platform), [html]) == [url]
+
+
+def test_hostile_text_ends_in_seconds(spark):
+    import time
+
+    start = time.time()
+    host = "a@" + ".".join(["b"] * 20_000) + ".com"
+    assert evaluate(spark, E.is_valid_email, [host, "a@b.com"]) == [False, True]
+    assert evaluate(spark, lambda c: E.best_email(E.extract_emails(c)), [f"x {host} y@z.com"]) == ["y@z.com"]
+    many = " ".join(f"+20 100 {i:07d}," for i in range(100_000))
+    assert evaluate(spark, lambda c: F.size(N.phone_candidates(c)), [many, many[:2210]]) == [100_000, 130]
+    for piece in ("<!--", "<script>", "<a ", "<a href=x>", "<title>", "<h1>", "<address>", "<style ", "<li class='b_algo'>", "&#"):
+        page = piece * (1_000_000 // len(piece))
+        got = evaluate(spark, lambda c: F.concat_ws("|", html_to_text(c), P.company_name(c, F.lit("https://x.com")),
+                                                    P.address_node(c), F.size(P.anchors(c)).cast("string")), [page])
+        assert len(got) == 1
+    assert time.time() - start < 300
