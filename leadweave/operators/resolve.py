@@ -52,13 +52,10 @@ def dedup_candidates(df: DataFrame, scope: Sequence[str] = (), order: str = "ord
     sited = rows.filter(F.col("_dom") != "")
     siteless = rows.filter(F.col("_dom") == "")
 
-    merged = merge_leads(sited.drop("_name"), [*scope, "_dom"], order).select(*cols)
-
-    claimed = (sited.groupBy(*scope, "_dom")
-               .agg(F.min(F.struct(order, "_name")).alias("h"))
-               .select(*scope, F.col("h._name").alias("_name"), F.col(f"h.{order}").alias("_taken"))
-               .filter(F.col("_name") != "")
-               .groupBy(*scope, "_name").agg(F.min("_taken").alias("_taken")))
+    # the name of a domain's first row comes along with the merge
+    merged = merge_leads(sited, [*scope, "_dom"], order)
+    claimed = (merged.filter(F.col("_name") != "")
+               .groupBy(*scope, "_name").agg(F.min(order).alias("_taken")))
     holders = (siteless.filter(F.col("_name") != "")
                .groupBy(*scope, "_name")
                .agg(F.min(F.struct(order, *[c for c in cols if c not in {*scope, order}])).alias("h"))
@@ -67,7 +64,7 @@ def dedup_candidates(df: DataFrame, scope: Sequence[str] = (), order: str = "ord
                .filter(F.col("_taken").isNull() | (F.col(order) < F.col("_taken")))
                .select(*cols))
     anonymous = siteless.filter(F.col("_name") == "").select(*cols)
-    return merged.unionByName(holders).unionByName(anonymous)
+    return merged.select(*cols).unionByName(holders).unionByName(anonymous)
 
 
 def _incoming(batch: DataFrame, order: Sequence[str]) -> DataFrame:

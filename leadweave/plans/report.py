@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
 from ..operators.query import (canonical_order, counts_since, leads_since, top_values, topk_missing,
                                topk_new)
 
@@ -110,7 +111,8 @@ def report_lines(report: DataFrame, as_of: Column, days: int, label: str | None
 
 def write_report(report: DataFrame, as_of: Column, days: int, path: str,
                  label: str | None = None) -> tuple[str, str]:
-    """Write the text and JSON forms (some dozen lines each); returns their paths."""
+    """Write the text and JSON forms (some dozen lines each); returns their paths. The report is computed once."""
+    report = materialize(report, "report")
     lines, doc = f"{path}/text", f"{path}/json"
     (report_lines(report, as_of, days, label).orderBy("section", "pos").select("line")
      .coalesce(1).write.mode("overwrite").text(lines))

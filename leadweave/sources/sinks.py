@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..fixed_values import HISTORY_SIZE
 from ..operators.query import export_projection
@@ -26,21 +27,50 @@ def append_scan_history(history: DataFrame | None, runs: DataFrame,
                         size: int = HISTORY_SIZE) -> DataFrame:
     """History with the new runs, cut to the latest ``size`` (a top-k, not a global sort)."""
     both = runs if history is None else history.unionByName(runs)
-    return both.orderBy(F.desc("started_at")).limit(size)
+    # runs of one second stand in an order of their own, so the cut is the same each time
+    return both.orderBy(F.desc("started_at"), F.xxhash64(*sorted(both.columns))).limit(size)
 
 
-def snapshot_path(root: str, version: int) -> str:
-    return f"{root.rstrip('/')}/v={version:09d}"
+#: parts of a lead table by hash of the key; a version rewrites those that it changes
+BUCKETS = 64
 
 
-def write_snapshot(df: DataFrame, root: str, version: int) -> None:
-    """Write one version of the lead table. Writing it again replaces it, so retries are safe.
+def bucket_of(key: str = "dedup_key") -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
-    A version is never read while it is written: readers use the one before.
-    """
-    df.select(*LEAD_SCHEMA.fieldNames()).write.mode("overwrite").parquet(snapshot_path(root, version))
+
+def _data(root: str, version: int) -> str:
+    return f"{root.rstrip('/')}/data/v={version:09d}"
+
+
+def _manifest(root: str, version: int) -> str:
+    return f"{root.rstrip('/')}/manifest/v={version:09d}"
 
 
-def read_snapshot(spark: SparkSession, root: str, version: int) -> DataFrame:
-    """One version. Upserts never write NULL text, so nothing stands between filters and the scan."""
-    return spark.read.schema(LEAD_SCHEMA).parquet(snapshot_path(root, version))
+def read_manifest(spark: SparkSession, root: str, version: int) -> dict[int, int]:
+    """The version in which each bucket that holds rows was last written: at most BUCKETS entries."""
+    rows = spark.read.schema("bucket int, version int").parquet(_manifest(root, version)).collect()
+    return {r["bucket"]: r["version"] for r in rows}
+
+
+def write_snapshot(df: DataFrame, root: str, version: int, touched: list[int] | None = None) -> None:
+    """Write one version of the lead table, or of its ``touched`` buckets, which df then holds whole.
+
+    The other buckets stay those of the version before. The manifest comes last: a reader sees a version
+    complete or not at all. Writing a version again replaces it, so retries are safe.
+    """
+    spark = df.sparkSession
+    # ranges of (bucket, key): a task writes few buckets, a large bucket is written by many tasks
+    rows = df.select(*LEAD_SCHEMA.fieldNames(), bucket_of().alias("bucket")).repartitionByRange("bucket", "dedup_key")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(_data(root, version))
+    with_bucket = StructType([*LEAD_SCHEMA.fields, StructField("bucket", IntegerType())])
+    written = spark.read.schema(with_bucket).parquet(_data(root, version)).select("bucket").distinct().collect()
+    kept = {} if touched is None else {b: v for b, v in read_manifest(spark, root, version - 1).items() if b not in touched}
+    entries = [*kept.items(), *((r["bucket"], version) for r in written)]
+    spark.createDataFrame(entries, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(_manifest(root, version))
+
+
+def read_snapshot(spark: SparkSession, root: str, version: int, only: list[int] | None = None) -> DataFrame:
+    """One version, or some of its buckets. Upserts never write NULL text, so nothing stands between filters and the scan."""
+    paths = [f"{_data(root, v)}/bucket={b}" for b, v in sorted(read_manifest(spark, root, version).items()) if only is None or b in only]
+    return spark.read.schema(LEAD_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], LEAD_SCHEMA)

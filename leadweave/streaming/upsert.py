@@ -8,19 +8,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from ..operators.resolve import upsert_leads
-from ..sources.sinks import read_snapshot, write_snapshot
+from ..operators.scoring import key_leads
+from ..sources.sinks import bucket_of, read_snapshot, write_snapshot
 
 
 def upsert_batch(spark: SparkSession, root: str, now: Column, order: Sequence[str],
                  written: list[int] | None = None) -> Callable[[DataFrame, int], None]:
-    """Micro-batch n turns version n into version n + 1.
+    """Micro-batch n turns version n into version n + 1, reading and writing only the buckets of its keys.
 
     The version comes from the batch id, so a batch that is run again after a failure reads the
     same snapshot and replaces the same output: a replay changes nothing.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        store = read_snapshot(spark, root, batch_id)
-        write_snapshot(upsert_leads(store, batch, now, order), root, batch_id + 1)
+        # at most as many rows as there are buckets
+        touched = [r["b"] for r in key_leads(batch).select(bucket_of().alias("b")).distinct().collect()]
+        store = read_snapshot(spark, root, batch_id, touched)
+        write_snapshot(upsert_leads(store, batch, now, order), root, batch_id + 1, touched)
         if written is not None:
             written.append(batch_id + 1)
 

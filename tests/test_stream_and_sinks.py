@@ -29,7 +29,20 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, sf):
     # a tick without new files makes no new version
     assert stream_upsert(spark, f"{root}/landing/*", batch.schema, f"{root}/leads", f"{root}/checkpoint",
                          X.moment(X.BATCH_NOW)) <= version
-    assert len(glob.glob(f"{root}/leads/v=*")) == 3
+    assert len(glob.glob(f"{root}/leads/manifest/v=*")) == 3
+
+
+def test_a_tick_with_one_key_rewrites_one_bucket(spark, sf):
+    root = scratch_dir(spark, "buckets")
+    store, batch = X.store_and_batch(spark, sf)
+    sinks.write_snapshot(store, root, 0)
+    one = batch.filter("email <> ''").limit(1)
+    upsert_batch(spark, root, X.moment(X.BATCH_NOW), ("ord",))(one, 0)
+    assert len(glob.glob(f"{root}/data/v=000000001/bucket=*")) == 1
+    before, after = sinks.read_manifest(spark, root, 0), sinks.read_manifest(spark, root, 1)
+    assert sum(after.get(b) != v for b, v in before.items()) <= 1 and 1 in after.values()
+    want = bag(R.upsert_leads(store, one, X.moment(X.BATCH_NOW)), *LEAD_COLUMNS)
+    assert bag(sinks.read_snapshot(spark, root, 1), *LEAD_COLUMNS) == want
 
 
 def test_csv_round_trip_with_awkward_text(spark):
@@ -43,6 +56,8 @@ def test_history_keeps_the_latest(spark):
     runs = spark.range(250).selectExpr("cast(1000 + id as string) as started_at", "id as discovered")
     kept = sinks.append_scan_history(runs.filter("id < 100"), runs.filter("id >= 100"))
     assert kept.count() == 200 and kept.agg(F.min("discovered")).first()[0] == 50
+    tied = spark.range(9).selectExpr("'x' as started_at", "id as discovered")
+    assert bag(sinks.append_scan_history(None, tied, 3), "discovered") == bag(sinks.append_scan_history(tied.filter("discovered % 2 = 0"), tied.filter("discovered % 2 = 1"), 3), "discovered")
 
 
 def test_report_files(spark, sf):
