@@ -13,8 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from leadweave.llm.samples import smallest_hashes
 from leadweave.llm.words import slices
 
 #: labelled rows taken per language (those with the smallest hash of their id), and characters of them used
@@ -139,11 +140,10 @@ class LanguageModel:
 
 def fit(rows: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> LanguageModel:
     """Learn from at most DOCS_PER_LANGUAGE rows and CHARS_PER_LANGUAGE characters of each language; rows without either have no part."""
-    first = W.partitionBy("lang").orderBy(F.xxhash64("key"), "key", "text")
-    rows = (rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
-            .where("lang is not null and length(text) > 0").withColumn("n", F.row_number().over(first)).where(F.col("n") <= DOCS_PER_LANGUAGE))
+    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key")).where("lang is not null and length(text) > 0")
+    rows = smallest_hashes(rows, "lang", "key", DOCS_PER_LANGUAGE)
     samples: dict[str, str] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["n"])):
+    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["n"], r["text"])):
         have = samples.get(r["lang"], "")
         samples[r["lang"]] = (have + " " + r["text"])[:CHARS_PER_LANGUAGE] if len(have) < CHARS_PER_LANGUAGE else have
     return LanguageModel.of(samples)

@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from leadweave.llm.samples import labelled_sample
+from leadweave.llm.tables import table
 from leadweave.llm.words import U, Words, mix, signed, slices
 
 SPAN, DECAY = 5, 0.7
 #: slots of the weight table, landmarks of either kind, rows of the sample of either label, clean words to train on
 SLOTS, LANDMARKS, SAMPLE, CLEAN_WORDS = 1 << 18, 150, 4000, 6000
 THRESHOLD = 0.3
+PEERS = 3
 _SIGNS = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
 _PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
@@ -149,11 +151,23 @@ def train(bad: list[str], clean: list[str]) -> ToxicityModel:
 
 
 def witnesses(rows: list[tuple[int, list[str]]], least: int) -> list[str]:
-    """Words that cover the toxic rows, the one in most rows not yet covered again and again; then the other suspects."""
+    """Words that cover the toxic rows, the one in most rows not yet covered again and again; then the other suspects.
+
+    The rare words of a row with many near copies all stand in the same rows: a word that PEERS others follow in half of its
+    rows is no suspect.
+    """
     holders: dict[str, set[int]] = {}
     for i, ws in rows:
         for w in ws:
             holders.setdefault(w, set()).add(i)
+    words, place = sorted(holders), {i: k for k, (i, _) in enumerate(rows)}
+    held = np.zeros((len(words), len(rows)), np.float32)
+    for k, w in enumerate(words):
+        held[k, [place[i] for i in holders[w]]] = 1
+    both = held @ held.T
+    size = held.sum(1)
+    peers = (both >= 0.5 * (size[:, None] + size[None, :] - both)).sum(1) - 1
+    holders = {w: holders[w] for k, w in enumerate(words) if peers[k] < PEERS}
     left, out = {i for i, _ in rows}, []
     while holders and left:
         word = max(sorted(holders), key=lambda w: len(holders[w] & left))
@@ -191,6 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, F.col(label), per_class)
     sample = sample.groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("key", "text", "label")
+    sample = table(sample, "sample")
     words = sample.mapInArrow(_distinct_words, "key long, label int, family long, words array<string>")
     count = (words.select("label", "family", F.explode("words").alias("word")).groupBy("word")
              .agg(F.countDistinct(F.when(F.col("label") == 1, F.col("family"))).alias("bad"), F.count_if(F.col("label") == 0).alias("clean")))
