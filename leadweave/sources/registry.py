@@ -4,23 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import SOURCES
 from ..schema import LEAD_SCHEMA
-from .directories import directory_candidates
+from .directories import directory_candidates, directory_cards
 from .osm import osm_candidates
-from .web import search_candidates
+from .web import search_candidates, source_cascade, unwrap_result_links
 
 #: room for the positions of one source in the shared order of a search
 STRIDE = 10 ** 12
 
-#: name -> function(searches, inputs) giving search_id, ord and the lead columns
+#: room for the positions on one stored page
+PAGE_STRIDE = 10 ** 5
+#: engines and directories in the order in which they are asked
+ENGINES = ["duckduckgo", "google", "bing"]
+DIRECTORIES = ["yellowpages", "hotfrog"]
+
+
+def _asked(order: list[str], name: str) -> Column:
+    return F.array_position(F.array(*[F.lit(x) for x in order]), F.col(name)).cast("int") - 1
+
+
+def result_page_hits(searches: DataFrame, pages: DataFrame) -> DataFrame:
+    """Hits (search_id, ord, url) of stored result pages (search_id, page, engine, html).
+
+    Pages have ids of their own that rise with their place; the engines are asked in turn, as far as a search still wants URLs.
+    """
+    of = pages.select("page", "search_id").distinct()
+    links = unwrap_result_links(pages.select("page", "engine", "html")).join(of, "page")
+    return source_cascade(links.select("search_id", _asked(ENGINES, "engine").alias("engine"),
+                                       (F.col("page") * PAGE_STRIDE + F.col("rank")).alias("ord"), "url"), searches).drop("engine")
+
+
+def listing_page_hits(pages: DataFrame) -> DataFrame:
+    """Hits (search_id, ord, name, url) of stored listing pages (search_id, page, directory, html), directory by directory."""
+    of = pages.select("page", "search_id", _asked(DIRECTORIES, "directory").alias("_d")).distinct()
+    return directory_cards(pages.select("page", "html")).join(of, "page").select(
+        "search_id", (F.col("_d") * F.lit(STRIDE // 10) + F.col("page") * PAGE_STRIDE + F.col("pos")).alias("ord"), "name", "url")
+
+
+def _search(searches: DataFrame, inputs: Mapping[str, DataFrame]) -> DataFrame:
+    hits = inputs["search_hits"] if "search_hits" in inputs else result_page_hits(searches, inputs["result_pages"])
+    return search_candidates(searches, hits)
+
+
+def _directories(searches: DataFrame, inputs: Mapping[str, DataFrame]) -> DataFrame:
+    hits = inputs["directory_hits"] if "directory_hits" in inputs else listing_page_hits(inputs["listing_pages"])
+    return directory_candidates(searches, hits)
+
+
+#: name -> function(searches, inputs) giving search_id, ord and the lead columns; web and directory hits come ready or as stored pages
 Source = Callable[[DataFrame, Mapping[str, DataFrame]], DataFrame]
 REGISTRY: dict[str, Source] = {
     "openstreetmap": lambda s, t: osm_candidates(s, t["elements"], t["gazetteer"]),
-    "search": lambda s, t: search_candidates(s, t["search_hits"]),
-    "directories": lambda s, t: directory_candidates(s, t["directory_hits"]),
+    "search": _search,
+    "directories": _directories,
 }
 
 

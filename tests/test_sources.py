@@ -9,6 +9,7 @@ from leadweave.operators import enrich, mining as M
 from leadweave.plans import fixtures as X, scan
 from leadweave.session import scratch_dir
 from leadweave.sources import directories, osm, web
+from leadweave.sources.registry import union_sources
 from leadweave.sources.searches import load_searches, with_defaults
 
 ELEMENT = "ord long, lat double, lon double, center struct<lat:double,lon:double>, tags map<string,string>"
@@ -237,3 +238,21 @@ def test_contact_pages(spark):
     pages = spark.createDataFrame([(1, "https://h.com", html)], "page_id long, base string, html string")
     assert bag(M.contact_pages(pages, ["page_id"], "html", "base"), "pos", "url") == [
         (0, "https://h.com/Contact"), (3, "https://about.html")]
+
+
+def test_stored_pages_give_what_ready_hits_give(spark):
+    asked = with_defaults(spark.createDataFrame([(1, "q", "", "", "Cairo", "", "", None, 3, None)], X.default_searches(spark).schema))
+    results = spark.createDataFrame([
+        (1, 11, "google", '<a href="/url?q=https%3A%2F%2Fc.com&amp;sa=U">c</a>'),
+        (1, 10, "duckduckgo", '<a class="result__a" href="https://a.com">a</a><a class="result__a" href="https://b.com">b</a>')],
+        "search_id long, page long, engine string, html string")
+    listing = '<div class="listing"><h3><a href="/x">{0}</a></h3><a class="website" href="https://{0}.com">w</a></div>'
+    listings = spark.createDataFrame([(1, 20, "hotfrog", listing.format("Zeta")), (1, 21, "yellowpages", listing.format("Eta"))],
+                                     "search_id long, page long, directory string, html string")
+    ready = {"search_hits": spark.createDataFrame([(1, 1, "https://a.com"), (1, 2, "https://b.com")], "search_id long, ord long, url string"),
+             "directory_hits": spark.createDataFrame([(1, 1, "Eta", "https://Eta.com"), (1, 2, "Zeta", "https://Zeta.com")],
+                                                     "search_id long, ord long, name string, url string")}
+    columns = ("search_id", "source", "company_name", "website", "description")
+    both = [union_sources(asked, t, ["search", "directories"]) for t in ({"result_pages": results, "listing_pages": listings}, ready)]
+    assert bag(both[0], *columns) == bag(both[1], *columns)
+    assert [r.website for r in both[0].orderBy("ord").collect()] == ["https://a.com", "https://b.com", "https://eta.com", "https://zeta.com"]
