@@ -196,3 +196,18 @@ DEFAULT_SEARCHES = [
     {"query": "Construction Companies", "city": "Giza", "country": "Egypt"},
     {"query": "Logistics Companies", "city": "", "country": "Egypt"},
 ]
+
+# --- fixed values: report labels and headings -------------------------------------------------
+TOTALS = {"total": "Total leads in DB        ", "new": "New leads this period    ",
+          "updated": "Updated this period      ", "missing_email": "Missing email            ",
+          "missing_phone": "Missing phone            ", "missing_contact": "Missing any contact      "}
+SECTIONS = ["totals", "top_industries", "top_cities", "sample_new", "sample_missing_contact"]
+HEADINGS = ["Totals", "Top Industries (new)", "Top Cities (new)", "Sample New Leads",
+            "Sample — Missing Contact Info"]
+
+# --- fixed values: class names of result and listing pages ------------------------------------
+CARD_CLASSES = ["result", "search-result", "listing"]
+CARD_NAME_CLASSES = ["business-name"]
+CARD_SITE_CLASSES = ["track-visit-website", "website", "result-website"]
+RESULT_LINK_CLASS = "result__a"
+RESULT_BLOCK_CLASS = "b_algo"

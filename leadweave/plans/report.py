@@ -4,17 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import materialize
+from ..fixed_values import HEADINGS, SECTIONS, TOTALS
 from ..operators.query import (canonical_order, counts_since, leads_since, top_values, topk_missing,
                                topk_new)
-
-TOTALS = {"total": "Total leads in DB        ", "new": "New leads this period    ",
-          "updated": "Updated this period      ", "missing_email": "Missing email            ",
-          "missing_phone": "Missing phone            ", "missing_contact": "Missing any contact      "}
-SECTIONS = ["totals", "top_industries", "top_cities", "sample_new", "sample_missing_contact"]
-HEADINGS = ["Totals", "Top Industries (new)", "Top Cities (new)", "Sample New Leads",
-            "Sample — Missing Contact Info"]
-
+from ..session import materialize
 
 def period_start(as_of: Column, days: int) -> Column:
     return as_of - F.expr(f"INTERVAL {days} DAYS")

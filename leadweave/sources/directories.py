@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..fixed_values import DIRECTORY_OFFSITE_FRAGMENTS
+from ..fixed_values import (CARD_CLASSES, CARD_NAME_CLASSES, CARD_SITE_CLASSES,
+                            DIRECTORY_OFFSITE_FRAGMENTS)
 from ..functions.industry import guess_industry
 from ..functions.pages import anchors, attribute, element_text
 from ..functions.text import any_of, clean_text, first_filled
@@ -20,12 +21,12 @@ def _classed(names: list[str]) -> str:
 
 def directory_cards(pages: DataFrame) -> DataFrame:
     """(name, website) of every listing card that has both, in page order."""
-    opening = rf"(?i)(?=<[a-z0-9]+\b[^>]*{_classed(['result', 'search-result', 'listing'])})"
+    opening = rf"(?i)(?=<[a-z0-9]+\b[^<>]*{_classed(CARD_CLASSES)})"
     cards = F.filter(F.split(F.col("html"), opening), lambda s: F.regexp_like(
         s, F.lit("^" + opening)))
-    named = rf"(?is)<([a-z0-9]+)\b[^>]*{_classed(['business-name'])}[^>]*>(.*?)</\1\s*>"
-    headed = r"(?is)<h3\b[^>]*>.*?<a\b[^>]*>(.*?)</a\s*>"
-    site = rf"(?is)<a\b[^>]*{_classed(['track-visit-website', 'website', 'result-website'])}[^>]*>"
+    named = rf"(?is)<([a-z0-9]+)\b[^<>]*{_classed(CARD_NAME_CLASSES)}[^<>]*>(.{{0,5000}}?)</\1\s*>"
+    headed = r"(?is)<h3\b[^<>]*>.{0,5000}?<a\b[^<>]*>(.{0,5000}?)</a\s*>"
+    site = rf"(?is)<a\b[^<>]*{_classed(CARD_SITE_CLASSES)}[^<>]*>"
     rows = pages.select("page", F.posexplode(cards).alias("pos", "_card"))
     rows = rows.select(
         "page", "pos",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..fixed_values import RESULT_BLOCK_CLASS, RESULT_LINK_CLASS
 from ..functions.pages import anchors, attribute
 from ..functions.text import first_filled
 from ..functions.urls import is_business_host, with_canonical_url
@@ -15,8 +16,8 @@ from ..schema import conform
 ENGINE_STRIDE = 10 ** 10
 
 
-_RESULT_CLASS = r"""(?is)^<a\b[^>]*\sclass\s*=\s*["'](?:[^"']*\s)?result__a(?:\s[^"']*)?["']"""
-_RESULT_TITLE = (r"""(?is)(<li\b[^>]*\sclass\s*=\s*["'](?:[^"']*\s)?b_algo(?:\s[^"']*)?["'][^>]*>"""
+_RESULT_CLASS = rf"""(?is)^<a\b[^<>]*\sclass\s*=\s*["'](?:[^"']*\s)?{RESULT_LINK_CLASS}(?:\s[^"']*)?["']"""
+_RESULT_TITLE = (rf"""(?is)(<li\b[^<>]*\sclass\s*=\s*["'](?:[^"']*\s)?{RESULT_BLOCK_CLASS}(?:\s[^"']*)?["'][^<>]*>"""
                  r"""[^<]*+(?:<(?!/li\b|h2\b)[^<]*+){0,200}+<h2\b[^<>]*>\s*)<a\b""")
 
 
