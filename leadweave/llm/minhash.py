@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from leadweave.llm.components import connected_components
-from leadweave.llm.tables import table
+from leadweave.llm.tables import bit_filter, passes, table
 from leadweave.llm.words import U, Words, mix, slices, window_starts, windows
 
 BANDS, ROWS = 24, 5
@@ -182,6 +182,17 @@ def _confirm(percent: int):
     return run
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the texts whose id is in ids. A bitmap of fixed size keeps most others from the shuffle; the join is exact."""
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(ids, "id"))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(passes(bits.value, batch.column(0).to_numpy(False))))
+
+    return docs.mapInArrow(run, "id long, text string").join(ids, "id", "left_semi")
+
+
 def _links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links on full sets.
 
@@ -196,7 +207,7 @@ def _links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     leader = own.select(F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
                         F.lit(0).alias("role"), F.col("a").alias("member"))
     roles = member.unionByName(leader)
-    texts = docs.join(roles.select(F.col("member").alias("id")).distinct(), "id", "left_semi")
+    texts = _texts_of(docs, roles.select(F.col("member").alias("id")).distinct())
     rows = (roles.join(texts, F.col("member") == F.col("id")).select("leader", "part", "role", "member", "text")
             .mapInArrow(_set_rows, "leader long, part int, role int, member long, set binary"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -249,7 +260,7 @@ def _class_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
         F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("lo <> hi"))
     mixed = table(mixed.select("band", "key", "blocks"), "mixed")
     members = table(of.join(mixed, ["band", "key"]).select("band", "key", "rep", "comp", "blocks"), "members")
-    sets = docs.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(_sets, "rep long, set binary")
+    sets = _texts_of(docs, members.select(F.col("rep").alias("id")).distinct()).mapInArrow(_sets, "rep long, set binary")
     sets = table(sets.groupBy("rep").agg(F.first("set").alias("set")).join(classes.select("rep", "sign"), "rep"), "sets")
     grid = (members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
