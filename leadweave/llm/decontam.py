@@ -5,12 +5,16 @@ template words of documents are joined by hash with those of the benchmark. A wi
 passes a bitmap of fixed size made from the benchmark's windows; the join behind it is exact. Matches of one document and item
 on one diagonal are added up, and their slots must agree: equal values of the item stand for equal values in the document and
 the other way round. Items of equal template and slot pattern are one class, joined once.
+
+An item without a full window has windows of its own: its whole template if that holds LITERALS plain words, and its words as
+they stand, which is all that can be asked of an item of few plain words ("What is 17 * 23 + 4?"). They are joined by hash as well.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from leadweave.llm.tables import bit_filter, passes, table
@@ -29,6 +33,8 @@ _SPLIT = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
 _STOP = np.isin(np.arange(256), list(b".!?:;\n\r\"("))
 NUMBER, NAME, UNIT = 1, 2, 3
 _PLACE = mix(np.array([0, 11, 12, 13], U))
+#: readings of a text: template words, and all words as they stand in lower case
+TEMPLATE, VERBATIM = 0, 2
 
 
 def _unit_hashes() -> np.ndarray:
@@ -38,9 +44,11 @@ def _unit_hashes() -> np.ndarray:
 class Templates:
     """Template words of each text: ``hashes``, ``kinds`` (0: literal), ``values`` of slots, offsets ``at``."""
 
-    def __init__(self, texts: pa.Array):
-        w = Words(texts, lower=True, separators=_SPLIT)
-        h, n = w.hashes(), len(w.start)
+    def __init__(self, w: Words, h: np.ndarray, reading: int = TEMPLATE):
+        self.reading, n = reading, len(w.start)
+        if reading == VERBATIM:
+            self.hashes, self.kinds, self.values, self.at = h, np.zeros(n, np.int8), np.zeros(n, np.int64), w.at
+            return
         first = np.zeros(n + 1, bool)
         first[w.at[:-1]] = True
         first = first[:n]
@@ -63,52 +71,95 @@ class Templates:
         self.hashes = np.where(self.kinds > 0, _PLACE[self.kinds], h[keep])
         self.at = np.searchsorted(keep, w.at)
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, text, hash) of the windows with enough literals."""
-        count = np.maximum(np.diff(self.at) - WINDOW + 1, 0)
+    def windows(self, size: int = WINDOW, literals: int = LITERALS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, text, hash) of the windows with enough literals; the hash depends on the reading and the size."""
+        count = np.maximum(np.diff(self.at) - size + 1, 0)
         doc = np.repeat(np.arange(len(count)), count)
         place = self.at[:-1][doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
         plain = np.concatenate([[0], np.cumsum(self.kinds == 0)])
-        ok = plain[place + WINDOW] - plain[place] >= LITERALS
+        ok = plain[place + size] - plain[place] >= literals
         place, doc = place[ok], doc[ok]
-        return place, doc, signed(windows(self.hashes, WINDOW)[place]) if len(place) else np.zeros(0, np.int64)
-
-    def slots(self, place: int) -> list[int]:
-        k = np.flatnonzero(self.kinds[place:place + WINDOW])
+        return place, doc, signed(mix(windows(self.hashes, size)[place] + U(1000 * self.reading + size))) if len(place) else np.zeros(0, np.int64)
+
+    def own(self, d: int) -> list[tuple[int, int, int]]:
+        """(place, size, hash) of the windows that cover the whole of a text without full windows; all of them must be found."""
+        a, n = int(self.at[d]), int(self.at[d + 1] - self.at[d])
+        if n == 0 or self.reading != VERBATIM and (self.kinds[a:a + n] == 0).sum() < LITERALS:
+            return []
+        # greater lengths as two windows of a power of two, so that documents are read with few lengths
+        size = n if n < 2 * WINDOW else 1 << n.bit_length() - 1
+        hashed = windows(self.hashes[a:a + n], size)[[*{0, n - size}]] + U(1000 * self.reading + size)
+        return [(a + k, size, int(x)) for k, x in zip([*{0, n - size}], signed(mix(hashed)))]
+
+    def slots(self, place: int, size: int) -> list[int]:
+        k = np.flatnonzero(self.kinds[place:place + size])
         return self.values[place + k].tolist()
 
+    def class_of(self, d: int) -> tuple[int, dict[int, int]]:
+        """Hash of a text's template and slot pattern, and for each slot's place the order in which its value first appears."""
+        a, b = self.at[d], self.at[d + 1]
+        order: dict[int, int] = {}
+        number = {k: order.setdefault(int(self.values[k]), len(order)) for k in range(a, b) if self.kinds[k]}
+        whole = windows(mix(self.hashes[a:b] + np.array([number.get(k, -1) + 1 for k in range(a, b)], U)), b - a) + U(self.reading)
+        return int(signed(whole)[0]), number
+
+
+def _readings(texts: pa.Array) -> list[Templates]:
+    w = Words(texts, lower=True, separators=_SPLIT)
+    try:
+        folded = Words(pc.utf8_lower(pc.cast(texts, pa.large_string())), separators=_SPLIT)
+    except pa.ArrowInvalid:  # no UTF-8: only A-Z in lower case
+        folded = w
+    return [Templates(w, w.hashes()), Templates(folded, folded.hashes(), VERBATIM)]
+
+
+INDEX = ("item long, rep long, reading int, class long, w long, size int, item_place int, pattern array<int>, at array<int>, n_windows int, need int")
+
 
 def _items(batches):
-    """(item, class hash, window hash, place, slots as the order in which their values first appear, windows of the item)."""
+    """One row per item and window, as in INDEX: rep is the item's class in the first reading, class that in its own, pattern the
+    order in which the values of the slots first appear (times four, and the kind), at their places; need of n_windows make a match."""
     for batch in slices(batches, "text"):
-        t = Templates(batch.column(1))
-        place, doc, hashed = t.windows()
-        ids, total = batch.column(0).to_pylist(), np.bincount(doc, minlength=batch.num_rows)
-        rows = []
-        for d in range(batch.num_rows):
-            a, b = t.at[d], t.at[d + 1]
-            order: dict[int, int] = {}
-            number = {k: order.setdefault(int(t.values[k]), len(order)) for k in range(a, b) if t.kinds[k]}
-            whole = windows(mix(t.hashes[a:b] + np.array([number.get(k, -1) + 1 for k in range(a, b)], U)), b - a) if b > a else np.zeros(1, U)
-            for k in np.flatnonzero(doc == d):
-                p = int(place[k])
-                rows.append((ids[d], int(signed(whole)[0]), int(hashed[k]), p - int(a), [number[q] for q in range(p, p + WINDOW) if t.kinds[q]], int(total[d])))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows) if rows else [[]] * 6, types)],
-                                         names=["item", "class", "w", "item_place", "pattern", "n_windows"])
-
-
-def _doc_windows(bits):
-    """(id, key, window hash, place, slot values) of the windows that may be in the benchmark."""
+        readings = _readings(batch.column(1))
+        ids, rows, n = batch.column(0).to_pylist(), [], batch.num_rows
+        found = [t.windows() for t in readings]
+        bounds = [np.searchsorted(doc, np.arange(n + 1)) for _, doc, _ in found]
+        for d in range(n):
+            if readings[0].at[d] == readings[0].at[d + 1]:
+                continue
+            rep = readings[0].class_of(d)[0]
+            for t, (place, _, hashed), cut in zip(readings, found, bounds):
+                a, (lo, hi) = int(t.at[d]), cut[d:d + 2]
+                full = [(int(p), WINDOW, int(x)) for p, x in zip(place[lo:hi], hashed[lo:hi])]
+                if t.reading == VERBATIM and bounds[0][d] < bounds[0][d + 1]:
+                    continue
+                parts = full or t.own(d)
+                if not parts:
+                    continue
+                whole, number = t.class_of(d)
+                need = min(-(-len(full) // 2), MATCHES) if full else len(parts)
+                for p, size, x in parts:
+                    slots = [q for q in range(p, p + size) if t.kinds[q]]
+                    rows.append((ids[d], rep, t.reading, whole, x, size, p - a, [4 * number[q] + int(t.kinds[q]) for q in slots], [q - a for q in slots], len(parts), need))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)],
+                                         names=[c.split()[0] for c in INDEX.split(", ")])
+
+
+def _doc_windows(bits, sizes: list[tuple[int, int, int]]):
+    """(id, key, window hash, place, slot values) of the windows of some (reading, size, literals) that may be in the benchmark."""
     def run(batches):
         for batch in slices(batches, "text"):
-            t = Templates(batch.column(2))
-            place, doc, hashed = t.windows()
-            ok = np.flatnonzero(passes(bits.value, hashed))
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(doc[ok])), batch.column(1).take(pa.array(doc[ok])), pa.array(hashed[ok]),
-                pa.array((place[ok] - t.at[doc[ok]]).astype(np.int32)), pa.array([t.slots(p) for p in place[ok]], pa.list_(pa.int64()))],
-                names=["id", "key", "w", "place", "slots"])
+            for t in _readings(batch.column(2)):
+                for size, literals in [(s, k) for r, s, k in sizes if r == t.reading]:
+                    place, doc, hashed = t.windows(size, literals)
+                    ok = np.flatnonzero(passes(bits.value, hashed))
+                    if t.reading == VERBATIM and size < WINDOW:  # one place tells as much as all
+                        ok = ok[np.sort(np.unique(np.stack([doc[ok], hashed[ok]]), axis=1, return_index=True)[1])]
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).take(pa.array(doc[ok])), batch.column(1).take(pa.array(doc[ok])), pa.array(hashed[ok]),
+                        pa.array((place[ok] - t.at[doc[ok]]).astype(np.int32)), pa.array([t.slots(p, size) for p in place[ok]], pa.list_(pa.int64()))],
+                        names=["id", "key", "w", "place", "slots"])
     return run
 
 
@@ -116,24 +167,30 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "d
                       item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item class that it holds: id, item_id, n_items, n_windows, n_matched, n_slots.
 
-    item_id is the smallest of the n_items items of equal template and slot pattern; an item without WINDOW template words is
-    in no document. n_matched windows of its n_windows lie on one diagonal (the first of the best), half of them or MATCHES at
-    least. Null texts, ids and items match nothing; repeated rows are one.
+    item_id is the smallest of the n_items items of equal template and slot pattern. n_matched windows of its n_windows lie on one
+    diagonal (the first of the best), half of them or MATCHES at least; an item without a full window is found as a whole, one of
+    fewer than LITERALS plain words only with the same values. An item without words is in no document. Null texts, ids and items
+    match nothing; repeated rows are one.
     Other columns are not read. Empty tables give no rows.
     """
     items = benchmark.select(F.col(item_column).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("id is not null")
-    parts = table(items.mapInArrow(_items, "item long, class long, w long, item_place int, pattern array<int>, n_windows int"), "items")
-    classes = parts.groupBy("class").agg(F.min("item").alias("item"), F.countDistinct("item").alias("n_items"))
-    index = table(parts.drop("item").distinct().join(classes, "class"), "index")
+    parts = table(items.mapInArrow(_items, INDEX), "items")
+    classes = parts.groupBy("rep").agg(F.min("item").alias("item"), F.countDistinct("item").alias("n_items"))
+    named = table(parts.select("class", "rep").distinct().join(classes, "rep").drop("rep"), "named")
+    index = table(parts.drop("item", "rep").distinct(), "index")
+    # few rows: sizes are below 2 * WINDOW, or powers of two
+    sizes = [(r["reading"], r["size"], LITERALS if r["reading"] != VERBATIM and r["size"] < 2 * WINDOW else 0) for r in index.select("reading", "size").distinct().collect()]
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(index, "w"))
     docs = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.col(text_column)).alias("key"), F.col(text_column).cast("string").alias("text")).where("id is not null")
-    found = table(docs.mapInArrow(_doc_windows(bits), f"id {dict(docs.dtypes)['id']}, key long, w long, place int, slots array<long>"), "windows")
+    found = table(docs.mapInArrow(_doc_windows(bits, sizes), f"id {dict(docs.dtypes)['id']}, key long, w long, place int, slots array<long>"), "windows")
     hits = found.distinct().join(index, "w").withColumn("diagonal", F.col("place") - F.col("item_place"))
     # as many rows per group as the item has windows
     pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("pattern", "slots"))))
-    lines = (hits.groupBy("id", "key", "item", "n_items", "n_windows", "diagonal").agg(F.countDistinct("item_place").alias("n_matched"), pairs.alias("pairs"))
-             .where(F.col("n_matched") >= F.least(F.ceil(F.col("n_windows") / 2), F.lit(MATCHES)))
+    lines = (hits.groupBy("id", "key", "reading", "class", "n_windows", "need", "diagonal").agg(F.countDistinct("item_place").alias("n_matched"), pairs.alias("pairs"))
+             .where("n_matched >= need")
              .withColumn("n_slots", F.size(F.array_distinct("pairs.pattern")))
              .where((F.size("pairs") == F.col("n_slots")) & (F.size(F.array_distinct("pairs.slots")) == F.col("n_slots"))))
-    best = lines.groupBy("id", "item", "n_items", "n_windows").agg(F.max(F.struct("n_matched", (-F.col("diagonal")).alias("at"), "n_slots")).alias("b"))
-    return best.select(F.col("id").alias(id_column), F.col("item").alias("item_id"), "n_items", "n_windows", "b.n_matched", "b.n_slots")
+    # the first reading that finds an item tells its figures
+    best = lines.join(named, "class").groupBy("id", "item", "n_items").agg(
+        F.max(F.struct(-F.col("reading"), "n_matched", (-F.col("diagonal")).alias("at"), "n_slots", "n_windows")).alias("b"))
+    return best.select(F.col("id").alias(id_column), F.col("item").alias("item_id"), "n_items", "b.n_windows", "b.n_matched", "b.n_slots")

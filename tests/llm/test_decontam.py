@@ -28,3 +28,12 @@ def test_units_repeats_and_empty_tables(spark):
     assert matches(spark, [item.replace("30 km", "77 miles")] * 2, [item]) == {(0, 0), (1, 0)}
     assert matches(spark, [item], []) == set()
     assert matches(spark, [], [item]) == set()
+
+
+def test_short_items_and_items_of_slots_are_found_as_a_whole(spark):
+    prose = "some plain words go before and after it in the text "
+    items = ["What is 17 * 23 + 4?", "How many legs do 3 cats have?", "Tom: 5, Anna: 6, Mary: 7, Peter: 8, John: 9, Paul: 10, Jane: 11", "Photosynthesis?",
+             "red 1 blue 2 green 3 white 4 black 5 brown 6", "..."]
+    texts = [prose + "What is 17 * 23 + 4? " + prose, prose + "what is 17 * 23 + 5 " + prose, prose + "How many legs do 12 dogs have? How many legs do 12 cats have?",
+             prose + items[2] + ". " + prose, prose + "PHOTOSYNTHESIS, " * 3, prose + items[4].replace("5", "70"), prose + items[4].replace("white", "pink"), prose, items[0]]
+    assert matches(spark, texts, items) == {(0, 0), (2, 1), (3, 2), (4, 3), (5, 4), (8, 0)}
