@@ -3,8 +3,9 @@
 Numbers, names and units become typed placeholders, so a question with other values has the same template. Windows of WINDOW
 template words of documents are joined by hash with those of the benchmark. A window of a document leaves its task only if it
 passes a bitmap of fixed size made from the benchmark's windows; the join behind it is exact. Matches of one document and item
-on one diagonal are added up, and their slots must agree: equal values of the item stand for equal values in the document and
-the other way round. Items of equal template and slot pattern are one class, joined once.
+on one diagonal are added up, and their slots must agree: equal values of the item stand for equal values in the document, and
+different names for different names (numbers and units may fall together). Slots at the ends of the matched words may run on into
+the text around and are not judged; windows without slots count in any case. Items of equal template and slot pattern are one class, joined once.
 
 An item without a full window has windows of its own: its whole template if that holds LITERALS plain words, and its words as
 they stand, which is all that can be asked of an item of few plain words ("What is 17 * 23 + 4?"). They are joined by hash as well.
@@ -185,11 +186,17 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "d
     found = table(docs.mapInArrow(_doc_windows(bits, sizes), f"id {dict(docs.dtypes)['id']}, key long, w long, place int, slots array<long>"), "windows")
     hits = found.distinct().join(index, "w").withColumn("diagonal", F.col("place") - F.col("item_place"))
     # as many rows per group as the item has windows
-    pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("pattern", "slots"))))
-    lines = (hits.groupBy("id", "key", "reading", "class", "n_windows", "need", "diagonal").agg(F.countDistinct("item_place").alias("n_matched"), pairs.alias("pairs"))
-             .where("n_matched >= need")
-             .withColumn("n_slots", F.size(F.array_distinct("pairs.pattern")))
-             .where((F.size("pairs") == F.col("n_slots")) & (F.size(F.array_distinct("pairs.slots")) == F.col("n_slots"))))
+    pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("at", "pattern", "slots"))))
+    lines = (hits.groupBy("id", "key", "reading", "class", "n_windows", "need", "diagonal")
+             .agg(F.countDistinct("item_place").alias("n_found"), F.countDistinct(F.when(F.size("slots") == 0, F.col("item_place"))).alias("n_plain"),
+                  F.min("item_place").alias("first"), F.max(F.col("item_place") + F.col("size") - 1).alias("last"), pairs.alias("pairs"))
+             .where("n_found >= need"))
+    # distinct (pattern, slots) of the slots that are judged; a pattern is four times its number, and the kind
+    judged = F.array_distinct(F.transform(F.filter("pairs", lambda x: ~x["at"].isin(F.col("first"), F.col("last"))), lambda x: F.struct(x["pattern"], x["slots"])))
+    lines = lines.withColumn("judged", judged).withColumn("names", F.filter("judged", lambda x: x["pattern"] % 4 == NAME))
+    agree = ((F.size("judged") == F.size(F.array_distinct("judged.pattern"))) & (F.size("names") == F.size(F.array_distinct("names.slots"))))
+    lines = (lines.withColumn("n_matched", F.when(agree, F.col("n_found")).otherwise(F.col("n_plain")))
+             .withColumn("n_slots", F.when(agree, F.size(F.array_distinct("pairs.pattern"))).otherwise(0)).where("n_matched >= need"))
     # the first reading that finds an item tells its figures
     best = lines.join(named, "class").groupBy("id", "item", "n_items").agg(
         F.max(F.struct(-F.col("reading"), "n_matched", (-F.col("diagonal")).alias("at"), "n_slots", "n_windows")).alias("b"))

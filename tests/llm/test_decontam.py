@@ -37,3 +37,13 @@ def test_short_items_and_items_of_slots_are_found_as_a_whole(spark):
     texts = [prose + "What is 17 * 23 + 4? " + prose, prose + "what is 17 * 23 + 5 " + prose, prose + "How many legs do 12 dogs have? How many legs do 12 cats have?",
              prose + items[2] + ". " + prose, prose + "PHOTOSYNTHESIS, " * 3, prose + items[4].replace("5", "70"), prose + items[4].replace("white", "pink"), prose, items[0]]
     assert matches(spark, texts, items) == {(0, 0), (2, 1), (3, 2), (4, 3), (5, 4), (8, 0)}
+
+
+def test_windows_without_slots_equal_values_and_slots_that_run_on(spark):
+    long = "Tom has 12 apples and " + OTHER + " where he eats 12 of them"
+    sums = "a worker digs 3 holes in the dry field on one day and then 5 holes more on the next day so how many are there"
+    hours = "it takes 1 hour to walk there and it takes 2 hours to come back again on foot in the rain"
+    edge = "write 40 as the sum of two other numbers that are both even and then also give the half of 40"
+    texts = ["so " + long.replace("eats 12", "eats 13"), sums.replace("3", "4").replace("5", "4"), hours.replace("hours", "hour").replace("hour", "hours"),
+             "now " + edge.replace("40", "60") + " 17 is the next one"]
+    assert matches(spark, texts, [long, sums, hours, edge]) == {(0, 0), (1, 1), (2, 2), (3, 3)}
