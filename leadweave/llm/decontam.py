@@ -7,6 +7,10 @@ on one diagonal are added up, and their slots must agree: equal values of the it
 different names for different names (numbers and units may fall together). Slots at the ends of the matched words may run on into
 the text around and are not judged; windows without slots count in any case. Items of equal template and slot pattern are one class, joined once.
 
+Texts are read three times: as templates in which a capitalised word at the start of a sentence or line is a word, as templates in which
+it is a name, and as their words in lower case. Any reading makes a match. A part of an item in lower case is none if the template shows
+there that values of the item were changed so that they disagree; a whole one is.
+
 An item without a full window has windows of its own: its whole template if that holds LITERALS plain words, and its words as
 they stand, which is all that can be asked of an item of few plain words ("What is 17 * 23 + 4?"). They are joined by hash as well.
 """
@@ -34,8 +38,9 @@ _SPLIT = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
 _STOP = np.isin(np.arange(256), list(b".!?:;\n\r\"("))
 NUMBER, NAME, UNIT = 1, 2, 3
 _PLACE = mix(np.array([0, 11, 12, 13], U))
-#: readings of a text: template words, and all words as they stand in lower case
-TEMPLATE, VERBATIM = 0, 2
+_BREAK = np.isin(np.arange(256), list(b".!?:;\"("))
+#: readings of a text: template words, those with capitalised words at the start of sentences as names, and all words as they stand in lower case
+TEMPLATE, STARTS, VERBATIM = 0, 1, 2
 
 
 def _unit_hashes() -> np.ndarray:
@@ -49,6 +54,7 @@ class Templates:
         self.reading, n = reading, len(w.start)
         if reading == VERBATIM:
             self.hashes, self.kinds, self.values, self.at = h, np.zeros(n, np.int8), np.zeros(n, np.int64), w.at
+            self.raw = np.arange(n) - np.repeat(w.at[:-1], np.diff(w.at))
             return
         first = np.zeros(n + 1, bool)
         first[w.at[:-1]] = True
@@ -63,14 +69,18 @@ class Templates:
         after = np.concatenate([[False], number[:-1]])[:n] & ~begins
         units = _unit_hashes()
         unit = after & (units[np.minimum(np.searchsorted(units, h), len(units) - 1)] == h)
-        kinds = np.where(number, NUMBER, np.where(title & ~begins, NAME, np.where(unit, UNIT, 0))).astype(np.int8)
+        kinds = np.where(number, NUMBER, np.where(title & (~begins | (reading == STARTS)), NAME, np.where(unit, UNIT, 0))).astype(np.int8)
         # a run of one kind of slot is one slot
         same = (kinds == np.concatenate([[0], kinds[:-1]])[:n]) & (kinds > 0) & ~first
+        if reading == STARTS:  # names of two sentences are two, also if nothing stands between
+            breaks = np.concatenate([[0], np.cumsum(_BREAK[w.data])])
+            same &= (kinds != NAME) | (breaks[w.start] == breaks[np.minimum(last_end, w.start)])
         keep = np.flatnonzero(~same)
         self.kinds = kinds[keep]
         self.values = signed(np.add.reduceat(mix(h + np.arange(n).astype(U) - np.repeat(keep, np.diff(np.append(keep, n))).astype(U)), keep)) if n else np.zeros(0, np.int64)
         self.hashes = np.where(self.kinds > 0, _PLACE[self.kinds], h[keep])
         self.at = np.searchsorted(keep, w.at)
+        self.raw = keep - np.repeat(w.at[:-1], np.diff(self.at))
 
     def windows(self, size: int = WINDOW, literals: int = LITERALS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, text, hash) of the windows with enough literals; the hash depends on the reading and the size."""
@@ -111,7 +121,8 @@ def _readings(texts: pa.Array) -> list[Templates]:
         folded = Words(pc.utf8_lower(pc.cast(texts, pa.large_string())), separators=_SPLIT)
     except pa.ArrowInvalid:  # no UTF-8: only A-Z in lower case
         folded = w
-    return [Templates(w, w.hashes()), Templates(folded, folded.hashes(), VERBATIM)]
+    h = w.hashes()
+    return [Templates(w, h), Templates(w, h, STARTS), Templates(folded, folded.hashes() if folded is not w else h, VERBATIM)]
 
 
 INDEX = ("item long, rep long, reading int, class long, w long, size int, item_place int, pattern array<int>, at array<int>, n_windows int, need int")
@@ -132,8 +143,6 @@ def _items(batches):
             for t, (place, _, hashed), cut in zip(readings, found, bounds):
                 a, (lo, hi) = int(t.at[d]), cut[d:d + 2]
                 full = [(int(p), WINDOW, int(x)) for p, x in zip(place[lo:hi], hashed[lo:hi])]
-                if t.reading == VERBATIM and bounds[0][d] < bounds[0][d + 1]:
-                    continue
                 parts = full or t.own(d)
                 if not parts:
                     continue
@@ -148,7 +157,7 @@ def _items(batches):
 
 
 def _doc_windows(bits, sizes: list[tuple[int, int, int]]):
-    """(id, key, window hash, place, slot values) of the windows of some (reading, size, literals) that may be in the benchmark."""
+    """(id, key, window hash, place, place of its first word, slot values) of the windows of some (reading, size, literals) that may be in the benchmark."""
     def run(batches):
         for batch in slices(batches, "text"):
             for t in _readings(batch.column(2)):
@@ -159,8 +168,9 @@ def _doc_windows(bits, sizes: list[tuple[int, int, int]]):
                         ok = ok[np.sort(np.unique(np.stack([doc[ok], hashed[ok]]), axis=1, return_index=True)[1])]
                     yield pa.RecordBatch.from_arrays([
                         batch.column(0).take(pa.array(doc[ok])), batch.column(1).take(pa.array(doc[ok])), pa.array(hashed[ok]),
-                        pa.array((place[ok] - t.at[doc[ok]]).astype(np.int32)), pa.array([t.slots(p, size) for p in place[ok]], pa.list_(pa.int64()))],
-                        names=["id", "key", "w", "place", "slots"])
+                        pa.array((place[ok] - t.at[doc[ok]]).astype(np.int32)),
+                        pa.array(t.raw[place[ok]].astype(np.int32)), pa.array([t.slots(p, size) for p in place[ok]], pa.list_(pa.int64()))],
+                        names=["id", "key", "w", "place", "word", "slots"])
     return run
 
 
@@ -183,21 +193,30 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "d
     sizes = [(r["reading"], r["size"], LITERALS if r["reading"] != VERBATIM and r["size"] < 2 * WINDOW else 0) for r in index.select("reading", "size").distinct().collect()]
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(index, "w"))
     docs = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.col(text_column)).alias("key"), F.col(text_column).cast("string").alias("text")).where("id is not null")
-    found = table(docs.mapInArrow(_doc_windows(bits, sizes), f"id {dict(docs.dtypes)['id']}, key long, w long, place int, slots array<long>"), "windows")
+    found = table(docs.mapInArrow(_doc_windows(bits, sizes), f"id {dict(docs.dtypes)['id']}, key long, w long, place int, word int, slots array<long>"), "windows")
     hits = found.distinct().join(index, "w").withColumn("diagonal", F.col("place") - F.col("item_place"))
     # as many rows per group as the item has windows
     pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("at", "pattern", "slots"))))
     lines = (hits.groupBy("id", "key", "reading", "class", "n_windows", "need", "diagonal")
              .agg(F.countDistinct("item_place").alias("n_found"), F.countDistinct(F.when(F.size("slots") == 0, F.col("item_place"))).alias("n_plain"),
-                  F.min("item_place").alias("first"), F.max(F.col("item_place") + F.col("size") - 1).alias("last"), pairs.alias("pairs"))
+                  F.min("word").alias("from"), F.max("word").alias("to"), F.min("item_place").alias("first"), F.max(F.col("item_place") + F.col("size") - 1).alias("last"), pairs.alias("pairs"))
              .where("n_found >= need"))
     # distinct (pattern, slots) of the slots that are judged; a pattern is four times its number, and the kind
     judged = F.array_distinct(F.transform(F.filter("pairs", lambda x: ~x["at"].isin(F.col("first"), F.col("last"))), lambda x: F.struct(x["pattern"], x["slots"])))
     lines = lines.withColumn("judged", judged).withColumn("names", F.filter("judged", lambda x: x["pattern"] % 4 == NAME))
     agree = ((F.size("judged") == F.size(F.array_distinct("judged.pattern"))) & (F.size("names") == F.size(F.array_distinct("names.slots"))))
     lines = (lines.withColumn("n_matched", F.when(agree, F.col("n_found")).otherwise(F.col("n_plain")))
-             .withColumn("n_slots", F.when(agree, F.size(F.array_distinct("pairs.pattern"))).otherwise(0)).where("n_matched >= need"))
+             .withColumn("n_slots", F.when(agree, F.size(F.array_distinct("pairs.pattern"))).otherwise(0)))
+    lines = table(lines.drop("pairs", "judged", "names").join(named, "class"), "lines")
+    good, part = lines.where("n_matched >= need"), (F.col("reading") == VERBATIM) & (F.col("n_found") < F.col("n_windows"))
+    # blocks of words in which values disagree; parts of an item that share one with it are no match
+    step = F.lit(4 * WINDOW)
+    blocks = F.explode(F.sequence(F.floor(F.col("from") / step), F.floor((F.col("to") + WINDOW - 1) / step))).alias("block")
+    where = ["id", "key", "item"]
+    bad = lines.where("n_matched < need").select(*where, blocks).distinct()
+    changed = good.where(part).select(*where, "class", "diagonal", blocks).join(bad, [*where, "block"], "left_semi").select(*where, "class", "diagonal").distinct()
+    lines = good.join(changed, [*where, "class", "diagonal"], "left_anti")
     # the first reading that finds an item tells its figures
-    best = lines.join(named, "class").groupBy("id", "item", "n_items").agg(
+    best = lines.groupBy("id", "item", "n_items").agg(
         F.max(F.struct(-F.col("reading"), "n_matched", (-F.col("diagonal")).alias("at"), "n_slots", "n_windows")).alias("b"))
     return best.select(F.col("id").alias(id_column), F.col("item").alias("item_id"), "n_items", "b.n_windows", "b.n_matched", "b.n_slots")

@@ -47,3 +47,13 @@ def test_windows_without_slots_equal_values_and_slots_that_run_on(spark):
     texts = ["so " + long.replace("eats 12", "eats 13"), sums.replace("3", "4").replace("5", "4"), hours.replace("hours", "hour").replace("hour", "hours"),
              "now " + edge.replace("40", "60") + " 17 is the next one"]
     assert matches(spark, texts, [long, sums, hours, edge]) == {(0, 0), (1, 1), (2, 2), (3, 3)}
+
+
+def test_names_at_the_start_of_sentences_and_copies_in_another_case(spark):
+    item = "Tom has 5 red pens. Mary has 3 blue pens. Peter has 7 green pens. Anna has 4 old pens. How many pens do they have?"
+    named = "On Monday Tom Smith met Mary Jones in Paris and gave Peter Paul his London ticket while Anna Lee and Bob Ray left Rome by train"
+    other = item.replace("Tom", "Lisa").replace("Mary", "Max Paul").replace("Peter", "Rosa").replace("Anna", "Carl").replace("5", "50")
+    filler = "and then some other words stand here "
+    texts = [filler + other + " " + filler, filler + named.lower() + " " + filler, filler + named.upper(), named.replace(" ", "\n"),
+             " ".join(named.lower().split()[:16]) + " " + filler, filler * 5]
+    assert matches(spark, texts, [item, named]) == {(0, 0), (1, 1), (2, 1), (3, 1), (4, 1)}
