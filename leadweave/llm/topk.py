@@ -1,7 +1,7 @@
 """Exact nearest rows by inner product with a vector-approximation file.
 
 Rows are dealt into blocks that hold four-bit cells of each component beside the exact vectors. For a query the cells give
-bounds of every score; rows whose upper bound lies below the k-th lower bound are out, and the exact vectors of the others are
+bounds of every score; rows whose upper bound lies below the k-th lower bound of different ids are out, and the exact vectors of the others are
 read in the order of their bounds until the k-th result is certain. Blocks of queries and of rows meet on a grid whose cells
 have a bounded size; each gives k rows per query, which are merged by rank.
 """
@@ -91,6 +91,9 @@ def best_rows(query_ids: np.ndarray, queries: np.ndarray, r: dict, k: int) -> li
     packed = np.frombuffer(r["cells"], np.uint8).reshape(n, -1)
     cells = np.stack([packed >> 4, packed & 15], 2).reshape(n, -1)[:, :dim]
     floor = lo + cells * width
+    # the bound counts ids, not rows: k rows of one id may be one result
+    by_id = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.diff(ids[by_id], prepend=ids[by_id[:1]] - 1)) if n else by_id
     out = []
     for begin in range(0, len(queries), 128):
         q = queries[begin:begin + 128]
@@ -101,8 +104,9 @@ def best_rows(query_ids: np.ndarray, queries: np.ndarray, r: dict, k: int) -> li
         high = np.maximum(q, 0) @ (width - 1) + slack
         for j, (own, x, b) in enumerate(zip(query_ids[begin:begin + 128], q, base)):
             b = np.where(ids == own, -np.inf, b)
-            if n > k:
-                kth = np.partition(b, n - k)[n - k] + low[j]
+            if len(first) > k:
+                each = b if len(first) == n else np.maximum.reduceat(b[by_id], first)
+                kth = np.partition(each, len(first) - k)[len(first) - k] + low[j]
                 rows = np.flatnonzero(b + high[j] >= kth)
             else:
                 rows = np.arange(n)

@@ -32,3 +32,9 @@ def test_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(x) for x in nearest(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1, 131072)]
     assert nearest(df.where("false"), df.where("false")).collect() == []
+
+
+def test_a_row_repeated_very_often_leaves_room_for_others(spark):
+    rows = [(0, [1.0])] + [(1, [1000.0])] * 3000 + [(2, [999.999])] * 3000 + [(2, [999.9989])] * 9 + [(i, [float(i)]) for i in range(3, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    assert {tuple(x) for x in nearest(df, df.where("vec_id = 0")).collect()} == brute(rows, 5)
