@@ -87,13 +87,18 @@ def _second_level(n: int, k: int, bits):
     return run
 
 
+def window_hashes(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the n words from each place on; words are mixed anew for the second, as the first is a sum over them."""
+    return windows(h, n), windows(mix(h + U(0x51)), n)
+
+
 def _candidates(n: int, k: int):
     """(h1, h2, key, place) of the n-word windows whose n / 2-word parts are all repeated; sides: 2 * place + (1 if right)."""
     def run(batches):
         for batch in slices(batches, "text"):
             words = Words(batch.column(1))
             h = words.hashes()
-            one, two = windows(h, n), windows(h, n, salt=0x51)
+            one, two = window_hashes(h, n)
             keys, out = batch.column(0).to_numpy(False), []
             for d, sides in enumerate(batch.column(2)):
                 sides = np.asarray(sides.values)

@@ -1,10 +1,12 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 import brute
-from leadweave.llm.substring import remove_repeats
+from leadweave.llm.substring import remove_repeats, window_hashes
+from leadweave.llm.words import U, _WINDOW as WINDOW_FACTOR
 
 
 def texts(seed):
@@ -35,3 +37,13 @@ def test_equals_brute_force(spark, n):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeats(df).collect() == []
+
+
+def test_both_halves_of_a_window_hash_count():
+    # words that collide in the plain window hash: the first differs by what the factor makes of the second
+    a, b = np.array([5, 7, 11, 13], U), np.array([5, 7, 11, 13], U)
+    with np.errstate(over="ignore"):
+        b[0] += WINDOW_FACTOR
+        b[1] -= U(1)
+    one, two = window_hashes(a, 4), window_hashes(b, 4)
+    assert one[0][0] == two[0][0] and one[1][0] != two[1][0]
