@@ -256,3 +256,17 @@ def test_stored_pages_give_what_ready_hits_give(spark):
     both = [union_sources(asked, t, ["search", "directories"]) for t in ({"result_pages": results, "listing_pages": listings}, ready)]
     assert bag(both[0], *columns) == bag(both[1], *columns)
     assert [r.website for r in both[0].orderBy("ord").collect()] == ["https://a.com", "https://b.com", "https://eta.com", "https://zeta.com"]
+
+
+def test_each_json_file_has_its_own_form(spark, tmp_path):
+    docs = [{"query": f"q{i}", "city": "x, y"} for i in range(12)]
+    (tmp_path / "a b[1].json").write_text(json.dumps(docs[0], indent=2))
+    (tmp_path / "b.json").write_text("\n".join(map(json.dumps, docs[1:4])) + "\n\n")
+    (tmp_path / "c.json").write_text("\ufeff" + json.dumps(docs[4:6]) + "\n" + json.dumps(docs[6:8]))
+    (tmp_path / "d+%20.json").write_text(json.dumps(docs[8:], indent=1))
+    assert sorted(r["query"] for r in load_searches(spark, str(tmp_path)).collect()) == sorted(d["query"] for d in docs)
+    for i, text in enumerate(("\n".join(json.dumps(d, indent=2) for d in docs[:2]), json.dumps(docs[0]) + json.dumps(docs[1]), json.dumps(docs[0]) + "\n{")):
+        (tmp_path / f"bad{i}").mkdir()
+        (tmp_path / f"bad{i}" / "x.json").write_text(text)
+        with pytest.raises(Exception, match="(?i)malformed"):
+            load_searches(spark, str(tmp_path / f"bad{i}")).collect()
