@@ -10,7 +10,7 @@
 
 Pairs inside one component can't change the result and are never made, so a group of n copies costs
 about n rows. A pair of similarity 0.85 shares no band with probability (1 - 0.85 ** 5) ** 24 < 1e-6,
-and the signature test leaves out pairs only at over six standard deviations below the threshold.
+one of 0.80 none of 35 with (1 - 0.80 ** 5) ** 35 < 1e-6; lower thresholds take more bands, and the signature test leaves out pairs only at over six standard deviations below the threshold.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from leadweave.llm.tables import bit_filter, passes, table
 from leadweave.llm.words import U, Words, mix, slices, window_starts, windows
 
 BANDS, ROWS = 24, 5
+#: bands for thresholds below 85 %
+MOST_BANDS = 36
 SHINGLE = 5
 #: classes in a block of step 3, members compared with one leader in a task of step 2
 BLOCK = 512
@@ -34,6 +36,18 @@ BLOCK_SHINGLES = 500_000
 _RANDOM = np.random.default_rng(20_071)
 _A = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
 _B = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_A = np.concatenate([_A, _RANDOM.integers(1, 1 << 63, (MOST_BANDS - BANDS) * ROWS, dtype=np.uint64) * U(2) + U(1)])
+_B = np.concatenate([_B, _RANDOM.integers(0, 1 << 63, (MOST_BANDS - BANDS) * ROWS, dtype=np.uint64)])
+
+
+def bands_for(percent: int) -> int:
+    """Bands that miss a pair at the threshold with a probability below one in a million."""
+    bands = BANDS
+    while (1 - (percent / 100) ** ROWS) ** bands >= 1e-6:
+        bands += 1
+    if bands > MOST_BANDS:
+        raise ValueError(f"{MOST_BANDS} bands are too few for {percent} %")
+    return bands
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
@@ -52,9 +66,9 @@ def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def signature(sets: list[np.ndarray]) -> np.ndarray:
-    """Upper halves of the minima of BANDS * ROWS hash functions, for each of some non-empty sets."""
-    out = np.empty((len(sets), len(_A)), np.uint32)
+def signature(sets: list[np.ndarray], bands: int = BANDS) -> np.ndarray:
+    """Upper halves of the minima of bands * ROWS hash functions, for each of some non-empty sets."""
+    out = np.empty((len(sets), bands * ROWS), np.uint32)
     begin = 0
     while begin < len(sets):  # blocks that stay in the processor's cache
         end, size = begin + 1, len(sets[begin])
@@ -63,18 +77,18 @@ def signature(sets: list[np.ndarray]) -> np.ndarray:
             end += 1
         x = np.concatenate(sets[begin:end])
         at = np.concatenate([[0], np.cumsum([len(s) for s in sets[begin:end]])])[:-1]
-        for k in range(len(_A)):
+        for k in range(bands * ROWS):
             out[begin:end, k] = np.minimum.reduceat(x * _A[k] + _B[k], at) >> U(32)
         begin = end
     return out
 
 
-def _signatures(id_column: str, text_column: str):
+def _signatures(id_column: str, text_column: str, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_column):
             ids, sets = batch.column(batch.schema.get_field_index(id_column)), shingle_sets(batch.column(batch.schema.get_field_index(text_column)))
             full = [k for k, s in enumerate(sets) if len(s)]
-            sign = signature([sets[k] for k in full])
+            sign = signature([sets[k] for k in full], bands)
             signs: list[bytes | None] = [None] * len(sets)
             for row, k in zip(sign, full):
                 signs[k] = row.tobytes()
@@ -87,11 +101,11 @@ def _signatures(id_column: str, text_column: str):
     return run
 
 
-def _bands(classes: DataFrame) -> DataFrame:
+def _bands(classes: DataFrame, bands: int) -> DataFrame:
     """(band, key, rep, sign): one row for each class and band."""
     width = 4 * ROWS
     return classes.select("rep", "sign", F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)),
+        F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda k: F.xxhash64(F.substring(F.col("sign"), k * width + 1, F.lit(width))))).alias("band", "key"))
 
 
@@ -101,7 +115,7 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def least_agreement(threshold: float) -> float:
     """Share of equal minima below which a pair can't be a link, but for more than six deviations."""
-    return threshold - 6.5 * (threshold * (1 - threshold) / len(_A)) ** 0.5
+    return threshold - 6.5 * (threshold * (1 - threshold) / (bands_for(round(100 * threshold)) * ROWS)) ** 0.5
 
 
 def _likely(threshold: float):
@@ -131,7 +145,7 @@ def _block_links(percent: int):
         rep, block = (rows.column(c).to_numpy() for c in ("rep", "block"))
         _, comp = np.unique(rows.column("comp").to_numpy(), return_inverse=True)
         sign = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint32).reshape(len(rep), -1)
-        bands, sets = sign.reshape(len(rep), BANDS, ROWS), [np.frombuffer(s, U) for s in rows.column("set").to_pylist()]
+        bands, sets = sign.reshape(len(rep), -1, ROWS), [np.frombuffer(s, U) for s in rows.column("set").to_pylist()]
         size = np.array([len(s) for s in sets])
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [], []
@@ -224,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     and ties fall to the smallest id. Other columns are not read. An empty table gives no rows.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where("id is not null")
-    signs = table(docs.mapInArrow(_signatures("id", "text"), "id long, n_shingles long, set1 long, set2 long, sign binary"), "signatures")
+    signs = table(docs.mapInArrow(_signatures("id", "text", bands_for(percent)), "id long, n_shingles long, set1 long, set2 long, sign binary"), "signatures")
     filled = signs.where("sign is not null")
     first = filled.groupBy("set1", "set2").agg(F.min("id").alias("rep"), F.min("sign").alias("sign"), F.min("n_shingles").alias("n_shingles"))
     classes = table(first, "classes")
@@ -242,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def _class_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     threshold = percent / 100
-    banded = table(_bands(classes).select("band", "key", "rep"), "bands")
+    banded = table(_bands(classes, bands_for(percent)).select("band", "key", "rep"), "bands")
     # buckets of one class hold no pair
     leaders = table(banded.groupBy("band", "key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1"), "buckets")
     star = (banded.join(leaders, ["band", "key"]).where("rep <> a").select("a", F.col("rep").alias("b")).distinct())

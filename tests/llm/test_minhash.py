@@ -41,3 +41,14 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(5, 9), (9, 5), (7, 7), (9, 12), (None, 3)]
     df = connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b")
     assert {tuple(r) for r in df.collect()} == {(i, 100) for i in range(100, 141)} | {(5, 5), (9, 5), (12, 5)}
+
+
+def test_pipeline_stage_drops_what_shares_between_80_and_85_percent(spark):
+    import corpus_pipeline
+    words = [f"w{k}" for k in range(56)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:20] + ["new"] + words[21:]))]
+    same, both = (lambda a, b: (len(a & b), len(a | b)))(*(brute.shingles(t) for _, t in rows))
+    assert 80 * both <= 100 * same < 85 * both
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()] == [1]
+    assert all(r["kept"] for r in near_duplicates(docs).collect())
