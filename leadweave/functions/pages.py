@@ -15,14 +15,26 @@ from .text import (any_of, bind, clean_text, collapse, decode_entities, first_fi
 from .urls import canonical_url, domain, netloc, social_platform
 
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
-# Tags end before the next one begins, and an element before the next of its kind or after 200 inner tags: a pattern
-# that fails at one place has not read on to the end of the page.
+# Tags end before the next one begins, and an element before the next of its kind: a pattern that fails at one place has not
+# read on to the end of the page. Possessive loops need no stack.
+_VOID = "(?!(?:area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr)\\b)"
 
 
 def _element(tag: str) -> str:
-    return rf"<{tag}\b[^<>]*>([^<]*+(?:<(?!/?{tag}\b)[^<]*+){{0,200}}+)</{tag}"
+    return rf"<{tag}\b[^<>]*>([^<]*+(?:<(?!/?{tag}\b)[^<]*+)*+)</{tag}"
 
 
+def enclosed(html: Column, opening: str) -> tuple[Column, Column]:
+    """(whether there is one, content) of the first element with an opening tag whose name is group 1, up to the first end tag of that name.
+
+    What is never closed goes on to the end of the text, so the pattern passes over it once; only then are later elements of at
+    most 5,000 characters looked for.
+    """
+    opening = f"<{_VOID}{opening[1:]}"
+    whole = rf"(?is){opening}(?:(.*?)(</\1\s*>)|.*+)"
+    short = rf"(?is){opening}(.{{0,5000}}?)</\1\s*>"
+    closed = F.regexp_extract(html, whole, 3) != ""
+    return closed | html.rlike(short), F.when(closed, F.regexp_extract(html, whole, 2)).otherwise(F.regexp_extract(html, short, 2))
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -94,17 +106,17 @@ def description(home: Column, text: Column) -> Column:
 
 
 _ADDRESS_NODES = [
-    r"(?is)<([a-z0-9]+)\b[^<>]*\sitemtype\s*=\s*[\"'][^\"']*PostalAddress[^<>]*>(.{0,5000}?)</\1\s*>",
-    r"(?is)<([a-z0-9]+)\b[^<>]*\sitemtype\s*=\s*[\"'][^\"']*LocalBusiness[^<>]*>(.{0,5000}?)</\1\s*>",
-    r"(?is)<(address)\b[^<>]*>(.{0,5000}?)</address\s*>",
-    r"(?is)<([a-z0-9]+)\b[^<>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?address(?:\s[^\"']*)?[\"'][^<>]*>(.{0,5000}?)</\1\s*>",
-    r"(?is)<([a-z0-9]+)\b[^<>]*\sid\s*=\s*[\"']address[\"'][^<>]*>(.{0,5000}?)</\1\s*>",
+    r"<([a-z0-9]+)\b[^<>]*\sitemtype\s*=\s*[\"'][^\"']*PostalAddress[^<>]*>",
+    r"<([a-z0-9]+)\b[^<>]*\sitemtype\s*=\s*[\"'][^\"']*LocalBusiness[^<>]*>",
+    r"<(address)\b[^<>]*>",
+    r"<([a-z0-9]+)\b[^<>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?address(?:\s[^\"']*)?[\"'][^<>]*>",
+    r"<([a-z0-9]+)\b[^<>]*\sid\s*=\s*[\"']address[\"'][^<>]*>",
 ]
 
 
 def address_node(html: Column) -> Column:
     """Text of the first address node, '' if there is none."""
-    found = F.array(*[F.regexp_extract(html, p, 2) for p in _ADDRESS_NODES])
+    found = F.array(*[enclosed(html, p)[1] for p in _ADDRESS_NODES])
     nodes = F.filter(F.transform(F.filter(found, lambda n: n != ""), lambda n: element_text(n, " ")),
                      lambda n: F.length(n).between(1, 299))
     return F.coalesce(F.get(nodes, F.lit(0)), F.lit(""))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..fixed_values import (CARD_CLASSES, CARD_NAME_CLASSES, CARD_SITE_CLASSES,
                             DIRECTORY_OFFSITE_FRAGMENTS)
 from ..functions.industry import guess_industry
-from ..functions.pages import anchors, attribute, element_text
+from ..functions.pages import anchors, attribute, element_text, enclosed
 from ..functions.text import any_of, clean_text, first_filled
 from ..functions.urls import with_canonical_url
 from ..operators.scoring import grade_leads
@@ -24,13 +24,14 @@ def directory_cards(pages: DataFrame) -> DataFrame:
     opening = rf"(?i)(?=<[a-z0-9]+\b[^<>]*{_classed(CARD_CLASSES)})"
     cards = F.filter(F.split(F.col("html"), opening), lambda s: F.regexp_like(
         s, F.lit("^" + opening)))
-    named = rf"(?is)<([a-z0-9]+)\b[^<>]*{_classed(CARD_NAME_CLASSES)}[^<>]*>(.{{0,5000}}?)</\1\s*>"
-    headed = r"(?is)<h3\b[^<>]*>.{0,5000}?<a\b[^<>]*>(.{0,5000}?)</a\s*>"
+    named, name = enclosed(F.col("_card"), rf"<([a-z0-9]+)\b[^<>]*{_classed(CARD_NAME_CLASSES)}[^<>]*>")
+    # if the first has no anchor or end behind it, no later one has
+    headed = r"(?is)<h3\b[^<>]*>(?:.*?<a\b[^<>]*>(?:(.*?)</a\s*>|.*+)|.*+)"
     site = rf"(?is)<a\b[^<>]*{_classed(CARD_SITE_CLASSES)}[^<>]*>"
     rows = pages.select("page", F.posexplode(cards).alias("pos", "_card"))
     rows = rows.select(
         "page", "pos",
-        F.when(F.col("_card").rlike(named), element_text(F.regexp_extract("_card", named, 2)))
+        F.when(named, element_text(name))
         .otherwise(element_text(F.regexp_extract("_card", headed, 1))).alias("name"),
         attribute(F.regexp_extract("_card", site, 0), "href").alias("_href"))
     return (with_canonical_url(rows, "_href", "url").drop("_href")

@@ -18,7 +18,7 @@ ENGINE_STRIDE = 10 ** 10
 
 _RESULT_CLASS = rf"""(?is)^<a\b[^<>]*\sclass\s*=\s*["'](?:[^"']*\s)?{RESULT_LINK_CLASS}(?:\s[^"']*)?["']"""
 _RESULT_TITLE = (rf"""(?is)(<li\b[^<>]*\sclass\s*=\s*["'](?:[^"']*\s)?{RESULT_BLOCK_CLASS}(?:\s[^"']*)?["'][^<>]*>"""
-                 r"""[^<]*+(?:<(?!/li\b|h2\b)[^<]*+){0,200}+<h2\b[^<>]*>\s*)<a\b""")
+                 r"""[^<]*+(?:<(?!/li\b|h2\b|li\b[^<>]*\sclass\s*=\s*["'][^"']*RESULT)[^<]*+)*+<h2\b[^<>]*>\s*)<a\b""".replace("RESULT", RESULT_BLOCK_CLASS))
 
 
 def _query_value(href: Column, name: str) -> Column:

@@ -270,3 +270,21 @@ def test_each_json_file_has_its_own_form(spark, tmp_path):
         (tmp_path / f"bad{i}" / "x.json").write_text(text)
         with pytest.raises(Exception, match="(?i)malformed"):
             load_searches(spark, str(tmp_path / f"bad{i}")).collect()
+
+
+def test_long_elements_are_read_to_their_end_tag(spark):
+    import time
+
+    from helpers import evaluate
+    from leadweave.functions import pages as P
+
+    svg = '<svg><path d="' + "M0 1 " * 8000 + '"/></svg>' + "<i></i>" * 900
+    html = [f"<input id='address'><address>{svg}1 Main Road</address>", f'<p class="address">{svg}2 Main Road</p>', "<p class='address'>3 Main Road <div id='address'>4 Side Road</div>"]
+    assert evaluate(spark, P.address_node, html) == ["1 Main Road", "2 Main Road", "4 Side Road"]
+    assert evaluate(spark, lambda c: P.element_text(P.anchors(c)[0]), [f"<a href='x'>{svg}go</a>"]) == ["go"]
+    cards = [(0, f'<div class="listing"><b class="business-name">{svg}Acme</b><a class="website" href="acme.com">w</a></div>'
+                 f'<div class="listing"><h3>{svg}<a href="/b">{svg}Beta</a></h3><a class="website" href="beta.com">w</a></div>')]
+    assert bag(directories.directory_cards(spark.createDataFrame(cards, "page long, html string")), "name") == [("Acme",), ("Beta",)]
+    begin = time.time()
+    assert evaluate(spark, P.address_node, ["<p class='address'>" * 20000, "<address>" * 20000]) == ["", ""]
+    assert time.time() - begin < 60
