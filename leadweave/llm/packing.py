@@ -12,7 +12,6 @@ runs again after a lost executor gives the same rows.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,91 +19,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from leadweave.llm.tables import table
-from leadweave.llm.words import U, Words, slices
+from leadweave.llm.tokens import encode
+from leadweave.llm.words import release, slices
 
 LENGTH, OPEN = 4096, 16
 END = 2
 #: leftovers merged by one task of a round
 MERGE = 64
-#: frequent words that one Python worker remembers
-KNOWN = 400_000
 PIECE = "id {0}, row long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 NAMES = ["id", "row", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
 
-class _Known:
-    """Ids of words that were met more than once, by hash: a bounded memory of a worker."""
-
-    def __init__(self):
-        self.hashes, self.begin, self.size, self.flat = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def find(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.hashes, u), max(0, len(self.hashes) - 1))
-        return at, (self.hashes[at] == u if len(self.hashes) else np.zeros(len(u), bool))
-
-    def add(self, hashes: np.ndarray, begin: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
-        if len(self.hashes) + len(hashes) > KNOWN:
-            self.__init__()
-        own = gather(flat, begin, size)
-        begin = len(self.flat) + np.cumsum(size) - size
-        hashes, begin, size = (np.concatenate(c) for c in ((self.hashes, hashes), (self.begin, begin), (self.size, size)))
-        order = np.argsort(hashes)
-        self.hashes, self.begin, self.size, self.flat = hashes[order], begin[order], size[order], np.concatenate([self.flat, own])
-
-
-def gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """flat[begin:begin + size] of all entries, one after another."""
-    end = np.cumsum(size)
-    return flat[np.repeat(begin - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
-
-
-@lru_cache(1)
-def _tokenizer(path: str) -> tuple:
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer, _Known()
-
-
-def _encode_words(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words one after another, and how many each has."""
-    ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-    for k in range(0, len(words), 20_000):
-        part = words[k:k + 20_000]
-        # one text of many words is encoded much faster than many texts; the places of the ids tell the words apart
-        whole = tokenizer.encode(" ".join(part), add_special_tokens=False)
-        place = np.array(whole.offsets, np.int64).reshape(-1, 2)[:, 0]
-        size = np.array([len(w) + 1 for w in part])
-        word = np.searchsorted(np.cumsum(size), place, "right")
-        ids.append(np.array(whole.ids, np.uint32))
-        sizes.append(np.bincount(word, minlength=len(part)))
-        assert (np.diff(word) >= 0).all() and len(sizes[-1]) == len(part)
-    return np.concatenate(ids), np.concatenate(sizes)
-
-
-def encode(texts: pa.Array, path: str) -> list[np.ndarray]:
-    """Token ids of each text, without special tokens.
-
-    This tokenizer splits at white space first, so a text's ids are its words' ids: distinct words of a batch are encoded
-    once, and each worker keeps those of up to KNOWN frequent words.
-    """
-    tokenizer, known = _tokenizer(path)
-    w = Words(texts)
-    u, first, inverse, count = np.unique(w.hashes(), return_index=True, return_inverse=True, return_counts=True)
-    at, hit = known.find(u)
-    new = np.flatnonzero(~hit)
-    ids, size = _encode_words(tokenizer, [w.text(k).decode() for k in first[new]])
-    flat, begins, sizes = np.concatenate([known.flat, ids]), np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
-    begins[hit], sizes[hit] = known.begin[at[hit]], known.size[at[hit]]
-    begins[new], sizes[new] = len(known.flat) + np.cumsum(size) - size, size
-    out = gather(flat, begins[inverse], sizes[inverse])
-    bounds = np.concatenate([[0], np.cumsum(sizes[inverse])])[w.at]
-    often = new[count[new] > 1]
-    known.add(u[often], begins[often], sizes[often], flat)
-    return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-
-
 class Windows:
     """Open windows, and the pieces of those that were emitted."""
 
@@ -177,7 +102,8 @@ def _pack(path: str, open_windows: int):
     def run(batches):
         part = TaskContext.get().partitionId()
         windows, row, kind = Windows(part << 32, open_windows), part << 32, None
-        for batch in slices(batches, "text", 4 << 20):
+        release()
+        for batch in slices(batches, "text"):
             kind = batch.schema.field(0).type
             for id_, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1), path)):
                 ids = np.append(ids, np.uint32(END))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: what each byte counts in the second hash of a word
+_VALUES = mix(np.arange(1, 257, dtype=U) * _WINDOW)
+
+
+def release() -> None:
+    """Give back what earlier tasks of this worker took: the power tables, and memory that is free but held."""
+    _powers[:] = [np.ones(1, U), np.ones(1, U)]
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_STEP, _INVERSE)):
@@ -73,12 +87,12 @@ class Words:
         self.at = np.searchsorted(self.start, bounds)
         self.bounds = bounds
 
-    def hashes(self) -> np.ndarray:
-        """A hash of each word's bytes."""
+    def hashes(self, again: bool = False) -> np.ndarray:
+        """A hash of each word's bytes; ``again`` gives one that is independent of the first."""
         n = len(self.data)
         up, down = _power_tables(n + 1)
         total = np.zeros(n + 1, U)
-        np.cumsum((self.data.astype(U) + U(1)) * up[:n], out=total[1:])
+        np.cumsum((_VALUES[self.data] if again else self.data.astype(U) + U(1)) * up[:n], out=total[1:])
         return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(U))
 
     def text(self, k: int) -> bytes:
