@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadweave.llm import decontam, langid, license_scan, line_dedup, minhash, packing, quality, substring, topk, toxicity
+from leadweave.llm import decontam, langid, license_scan, line_dedup, minhash, packing, quality, residual, substring, topk, toxicity
 from leadweave.llm.tables import documents, held_out
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -62,8 +62,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.benchmark_matches(documents(spark, sf_dir), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residual.pack_whole(documents(spark, sf_dir), TOKENIZER)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_packing, op3_minhash, op4_topk, op5_line_dedup, op6_language, op7_substring, op8_quality, op9_toxicity, op10_decontamination)}
+    op1_license_scan, op2_packing, op3_minhash, op4_topk, op5_line_dedup, op6_language, op7_substring, op8_quality, op9_toxicity, op10_decontamination,
+    op11_best_fit)}
 
 #: the text of each line without its blank ends; chr(10) and chr(9) keep the SQL readable
 ORACLE: dict[str, str] = {
