@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadweave.llm import decontam, langid, license_scan, line_dedup, minhash, packing, quality, residual, substring, topk, toxicity
+from leadweave.llm import decontam, langid, license_scan, line_dedup, minhash, negatives, packing, quality, residual, spelling, substring, topk, toxicity
 from leadweave.llm.tables import documents, held_out
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -66,9 +66,27 @@ def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual.pack_whole(documents(spark, sf_dir), TOKENIZER)
 
 
+def with_slips(found: DataFrame) -> DataFrame:
+    """(word) of (id, run): where 97 divides the crc32 of ``id:run``, the run lacks one code point, the place of which the crc32 tells."""
+    h, run = F.crc32(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary")), F.col("run")
+    at = (F.col("h") % F.length("run")).cast("int")
+    slip = F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))
+    return found.withColumn("h", h).select(F.when(F.col("h") % 97 == 0, slip).otherwise(run).alias("word"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(with_slips(spelling.runs(documents(spark, sf_dir)))))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _read(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.hard_negatives(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_packing, op3_minhash, op4_topk, op5_line_dedup, op6_language, op7_substring, op8_quality, op9_toxicity, op10_decontamination,
-    op11_best_fit)}
+    op11_best_fit, op12_spelling, op13_hard_negatives)}
 
 #: the text of each line without its blank ends; chr(10) and chr(9) keep the SQL readable
 ORACLE: dict[str, str] = {
@@ -86,5 +104,15 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS
       FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {topk.K}""",
+    "op13_hard_negatives": f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id, score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE alike),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+      CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND {negatives.PERCENT} * p.score <= 100 * s.score AND s.score <= p.score
+      WHERE p.k <= {negatives.POSITIVES})
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {negatives.NEGATIVES}""",
 }
-
