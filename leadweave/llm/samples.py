@@ -23,15 +23,19 @@ def smallest_hashes(rows: DataFrame, label: str, key: str, n: int) -> DataFrame:
     return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)
 
 
+def training_ids(labels: DataFrame, label: Column, id_column: str = "doc_id") -> DataFrame:
+    """(id, label): the ids that are not held out and have a label; of several labels of an id the smallest counts."""
+    ids = labels.select(F.col(id_column).alias("id"), label.cast("int").alias("label")).where("id is not null and label is not null")
+    return ids.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, per_class: int,
                     id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, text, label): at most per_class training rows of each label, those with the smallest hash of their id.
 
     Ids are chosen from the labels alone, so at most per_class * classes ids are broadcast and no text is shuffled. Rows held
-    out, and those without an id or label, have no part; of several labels of an id the smallest counts.
+    out, and those without an id or label, have no part (see :func:`training_ids`).
     """
-    ids = (labels.select(F.col(id_column).alias("id"), label.cast("int").alias("label")).where("id is not null and label is not null")
-           .where(~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label")))
-    chosen = smallest_hashes(ids, "label", "id", per_class).select("id", "label")
+    chosen = smallest_hashes(training_ids(labels, label, id_column), "label", "id", per_class).select("id", "label")
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     return texts.join(F.broadcast(chosen), "id").where("text is not null")

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leadweave.llm.samples import labelled_sample
+from leadweave.llm.samples import labelled_sample, training_ids
 from leadweave.llm.tables import table
 from leadweave.llm.words import U, Words, mix, signed, slices
 
@@ -233,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     scored = sample.mapInArrow(_decide(spark.sparkContext.broadcast(model)), "label int, decision double, worst string").collect()
     x, y = np.array([r["decision"] for r in scored]), np.array([r["label"] for r in scored], float)
     # the sample holds either label in other shares than the labels do
-    share = labels.where(F.col(label).isNotNull()).agg(F.avg(F.col(label).cast("double"))).first()[0]
+    share = training_ids(labels, F.col(label)).agg(F.avg("label")).first()[0]
     model.slope, model.shift = _curve(np.maximum(x, -3), y, share)
     return model
 

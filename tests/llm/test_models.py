@@ -80,6 +80,13 @@ def test_toxicity(spark, tables, odd):
     assert toxicity.score(odd.where("false"), model).collect() == []
 
 
+def test_toxicity_learns_nothing_from_held_out_labels(spark, tables):
+    docs, labels, _ = tables
+    turned = labels.withColumn("toxic", F.when(held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = toxicity.fit(docs, labels), toxicity.fit(docs, turned)
+    assert (a.bias, a.slope, a.shift) == (b.bias, b.slope, b.shift) and (a.weights == b.weights).all()
+
+
 def test_quality(spark, tables, odd):
     docs, labels, _ = tables
     model = quality.fit(docs, labels)
