@@ -5,8 +5,8 @@
 2. Bands of minima deal classes into buckets. Every class is compared with the smallest of each
    bucket it is in, by signature, then on full sets. Star rounds join what is linked.
 3. Buckets that still hold several components are compared across components, block by block inside
-   tasks: by signature, then on full sets. What a task links is one component for it from then on, so it
-   gives fewer links than it has texts.
+   tasks: by signature, and what has a likely partner is compared again, on full sets. What a task links is
+   one component for it from then on, so it gives fewer links than it has texts.
 
 Pairs inside one component can't change the result and are never made, so a group of n copies costs
 about n rows. A pair of similarity 0.85 shares no band with probability (1 - 0.85 ** 5) ** 24 < 1e-6,
@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from leadweave.llm.components import connected_components
-from leadweave.llm.tables import bit_filter, passes, table
+from leadweave.llm.tables import bit_filter, delete_tables, passes, table
 from leadweave.llm.words import U, Words, mix, slices, window_starts, windows
 
 BANDS, ROWS = 24, 5
@@ -31,8 +31,8 @@ MOST_BANDS = 36
 SHINGLE = 5
 #: classes in a block of step 3, members compared with one leader in a task of step 2
 BLOCK = 512
-#: shingles in a block of step 3, about
-BLOCK_SHINGLES = 500_000
+#: shingles in a block of step 3, about, and signatures in one
+BLOCK_SHINGLES, BLOCK_SIGNS = 500_000, 4096
 _RANDOM = np.random.default_rng(20_071)
 _A = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
 _B = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -136,29 +136,49 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(a) + len(b) - same)
 
 
-def _block_links(percent: int):
-    """Links across components within one bucket or pair of its blocks, looked for in a pair's first common band only."""
-    least = least_agreement(percent / 100)
+def _likely_partners(rep, size, comp, sign, percent: int, band: int, x: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of other components that may be linked with row x, looked for in a pair's first common band only; and their agreement."""
+    y = among[comp[among] != comp[x]]
+    y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
+    bands = sign.reshape(len(sign), -1, ROWS)
+    agree = _agree(sign[y], sign[x])
+    first = (bands[y] == bands[x]).all(-1).argmax(-1) == band
+    ok = (agree >= least_agreement(percent / 100)) & first
+    return y[ok], agree[ok]
+
+
+def _block_rows(rows: pa.Table, i: int, j: int):
+    rep, block, size = (rows.column(c).to_numpy() for c in ("rep", "block", "n_shingles"))
+    _, comp = np.unique(rows.column("comp").to_numpy(), return_inverse=True)
+    sign = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint32).reshape(len(rep), -1)
+    return rep, size, comp, sign, np.flatnonzero(block == i), np.flatnonzero(block == j)
+
 
+def _block_partners(percent: int):
+    """Members of a bucket, or of a pair of its blocks, that have a likely partner in another component there."""
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        band, at, i, j = (int(k.as_py()) for k in key)
+        rep, size, comp, sign, left, right = _block_rows(rows, i, j)
+        has = np.zeros(len(rep), bool)
+        for x in left:
+            y, _ = _likely_partners(rep, size, comp, sign, percent, band, x, right)
+            has[y] = True
+            has[x] |= len(y) > 0
+        found = np.unique(rep[has])
+        return pa.table([pa.array(np.full(len(found), band), pa.int32()), pa.array(np.full(len(found), at), pa.int64()), pa.array(found)], names=["band", "key", "rep"])
+    return run
+
+
+def _block_links(percent: int):
+    """Links across components within one bucket or pair of its blocks."""
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         band, _, i, j = (int(k.as_py()) for k in key)
-        rep, block = (rows.column(c).to_numpy() for c in ("rep", "block"))
-        _, comp = np.unique(rows.column("comp").to_numpy(), return_inverse=True)
-        sign = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint32).reshape(len(rep), -1)
-        bands, sets = sign.reshape(len(rep), -1, ROWS), [np.frombuffer(s, U) for s in rows.column("set").to_pylist()]
-        size = np.array([len(s) for s in sets])
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        rep, size, comp, sign, left, right = _block_rows(rows, i, j)
+        sets = [np.frombuffer(s, U) for s in rows.column("set").to_pylist()]
         a, b = [], []
         for x in left:
-            y = right[comp[right] != comp[x]]
-            if i == j:
-                y = y[rep[y] > rep[x]]
-            y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
-            agree = _agree(sign[y], sign[x])
-            y, agree = y[agree >= least], agree[agree >= least]
-            first = (bands[y] == bands[x]).all(-1).argmax(-1) == band
-            y = y[first][np.argsort(-agree[first], kind="stable")]
-            for k in y:
+            y, agree = _likely_partners(rep, size, comp, sign, percent, band, x, right[rep[right] > rep[x]] if i == j else right)
+            for k in y[np.argsort(-agree, kind="stable")]:
                 if comp[k] != comp[x] and _linked(sets[x], sets[k], percent):
                     comp[comp == comp[k]] = comp[x]
                     a.append(rep[x])
@@ -172,21 +192,13 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], names=["rep", "set"])
 
 
-def _set_rows(batches):
-    """(leader, part, role, member, set) from (leader, part, role, member, text)."""
-    for batch in slices(batches, "text"):
-        sets = pa.array([s.tobytes() for s in shingle_sets(batch.column(4))], pa.binary())
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), sets], names=["leader", "part", "role", "member", "set"])
-
-
 def _confirm(percent: int):
-    """Links from rows sorted by (leader, part, role): a leader's own set comes first."""
+    """Links from rows (leader, part, role, member, text) sorted by the first three: a leader's own text comes first."""
     def run(batches):
         now, own = None, np.zeros(0, U)
-        for batch in batches:
+        for batch in slices(batches, "text"):
             a, b = [], []
-            for leader, part, role, member, data in zip(*(c.to_pylist() for c in batch.columns)):
-                s = np.frombuffer(data, U)
+            for leader, part, role, member, s in zip(*(batch.column(k).to_pylist() for k in range(4)), shingle_sets(batch.column(4))):
                 if role == 0:
                     now, own = (leader, part), s
                 elif now == (leader, part) and _linked(own, s, percent):
@@ -197,7 +209,8 @@ def _confirm(percent: int):
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the texts whose id is in ids. A bitmap of fixed size keeps most others from the shuffle; the join is exact."""
+    """(id, text) of the texts whose id is in ids. A bitmap of bounded size keeps most others from the shuffle; the join is exact."""
+    ids = table(ids, "ids")
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(ids, "id"))
 
     def run(batches):
@@ -222,8 +235,7 @@ def _links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                         F.lit(0).alias("role"), F.col("a").alias("member"))
     roles = member.unionByName(leader)
     texts = _texts_of(docs, roles.select(F.col("member").alias("id")).distinct())
-    rows = (roles.join(texts, F.col("member") == F.col("id")).select("leader", "part", "role", "member", "text")
-            .mapInArrow(_set_rows, "leader long, part int, role int, member long, set binary"))
+    rows = roles.join(texts, F.col("member") == F.col("id")).select("leader", "part", "role", "member", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (rows.repartition(n, "leader", "part").sortWithinPartitions("leader", "part", "role")
             .mapInArrow(_confirm(percent), "a long, b long"))
@@ -265,19 +277,36 @@ def _class_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     likely = table(star.mapInArrow(_likely(threshold), "a long, b long"), "pairs")
     links = table(_links(docs, likely, percent), "links")
     part = table(connected_components(links, "a", "b"), "parts")
+    delete_tables(likely)
     # buckets that hold several components
     of = (banded.join(leaders.select("band", "key"), ["band", "key"])
           .join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
           .join(classes.select("rep", "n_shingles"), "rep"))
     of = table(of.select("band", "key", "rep", "comp", "n_shingles"), "members")
-    mixed = (of.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.greatest(
-        F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("lo <> hi"))
-    mixed = table(mixed.select("band", "key", "blocks"), "mixed")
-    members = table(of.join(mixed, ["band", "key"]).select("band", "key", "rep", "comp", "blocks"), "members")
-    sets = _texts_of(docs, members.select(F.col("rep").alias("id")).distinct()).mapInArrow(_sets, "rep long, set binary")
-    sets = table(sets.groupBy("rep").agg(F.first("set").alias("set")).join(classes.select("rep", "sign"), "rep"), "sets")
-    grid = (members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    delete_tables(banded, leaders)
+    with_sign = lambda df: df.join(classes.select("rep", "sign"), "rep")
+    members = _mixed(of, F.ceil(F.count("*") / BLOCK_SIGNS))
+    schema = "band int, key long, rep long"
+    partners = table(with_sign(_grid(members)).groupBy("band", "key", "i", "j").applyInArrow(_block_partners(percent), schema).distinct(), "partners")
+    near = _mixed(of.join(partners, ["band", "key", "rep"], "left_semi"),
+                  F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)))
+    sets = _texts_of(docs, near.select(F.col("rep").alias("id")).distinct()).mapInArrow(_sets, "rep long, set binary")
+    sets = table(sets.groupBy("rep").agg(F.min("set").alias("set")), "sets")
+    found = with_sign(_grid(near)).join(sets, "rep").groupBy("band", "key", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+    found = table(links.unionByName(found), "links")
+    delete_tables(of, members, near, partners, sets, links, part)
+    return found
+
+
+def _mixed(members: DataFrame, blocks: Column) -> DataFrame:
+    """Members of the buckets that hold several components, with the number of blocks of each bucket."""
+    mixed = (members.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), blocks.cast("int").alias("blocks"))
+             .where("lo <> hi").select("band", "key", "blocks"))
+    return table(members.join(table(mixed, "mixed"), ["band", "key"]), "members")
+
+
+def _grid(members: DataFrame) -> DataFrame:
+    """One row for each member and pair of blocks (i, j), i <= j, that its own block is in."""
+    return (members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("band", "key", "rep", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
-    found = grid.join(sets, "rep").groupBy("band", "key", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
-    return links.unionByName(table(found, "links"))
+            .select("band", "key", "rep", "comp", "n_shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))

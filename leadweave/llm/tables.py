@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadweave.session import materialize
 
-#: bits of a filter: 2 ** 22 bits are half a megabyte, whatever the table's size
-FILTER_BITS = 1 << 22
+#: bits of the smallest and the largest filter: half a megabyte and 32
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 28
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,28 +42,30 @@ def delete_tables(*frames: DataFrame) -> None:
 
 
 def bit_filter(df: DataFrame, column: str) -> np.ndarray:
-    """One bit for each value of ``pmod(column, FILTER_BITS)`` that occurs: a bitmap of fixed size.
+    """One bit for each value of ``pmod(column, bits)`` that occurs, as bytes.
 
-    The bitmap is aggregated by Spark; at most FILTER_BITS / 32768 rows of 4 KB reach the driver,
-    however large the table is. A full bitmap only passes more rows on to the exact join behind it.
+    Sixteen bits a row, as far as MOST_BITS go: so few values pass by chance up to some ten million rows, and the more the more
+    there are beyond. The bitmap is aggregated by Spark; rows of 4 KB reach the driver, 32 MB at most, however large the table is.
+    A full bitmap only passes more rows on to the exact join behind it.
     """
-    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    rows, bits = df.count(), LEAST_BITS
+    while bits < MOST_BITS and bits < 16 * rows:
+        bits *= 2
+    bit = F.pmod(F.col(column), F.lit(bits))
     rows = (df.where(F.col(column).isNotNull()).groupBy(F.bitmap_bucket_number(bit).alias("b"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect())
-    out = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
+    # bucket k holds the values (k - 1) * 32768 + 1 .. k * 32768, bucket 0 the value 0 only: it shares the first bit of bucket 1
+    out = np.zeros(bits // 8, np.uint8)
     for r in rows:
-        # bucket numbers start at 1 (0 holds the value 0 only)
         at = max(0, r["b"] - 1) * 4096
-        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)[:bits // 8 - at]
         out[at:at + len(part)] |= part
     return out
 
 
 def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which int64 values the filter lets through."""
-    at = values & np.int64(FILTER_BITS - 1)
-    # bucket k holds the values (k - 1) * 32768 + 1 .. k * 32768 as bits 0 .. 32767
-    at = np.maximum(at - 1, 0)
+    at = np.maximum((values & np.int64(8 * len(bits) - 1)) - 1, 0)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
