@@ -7,36 +7,57 @@ import json
 from pyspark.sql import Column, functions as F
 
 from ..fixed_values import INDUSTRY_KEYWORDS
-from .text import bind
+from .text import any_of, bind
 
-_TABLE = json.dumps([{"name": n, "words": w} for n, w in INDUSTRY_KEYWORDS.items()])
+_NAMES = list(INDUSTRY_KEYWORDS)
+_WORDS = sorted({w for words in INDUSTRY_KEYWORDS.values() for w in words})
 
 
-def _score(low: Column, words: Column) -> Column:
-    """Non-overlapping occurrences of all words, from the bytes that removing each one saves.
+def _trie(words: list[str]) -> str:
+    """A pattern of the longest of the words that begins at a place; words with one beginning share its test."""
+    out = []
+    for first in sorted({w[0] for w in words if w}):
+        out.append(any_of([first]) + _trie([w[1:] for w in words if w[:1] == first]))
+    if len(out) > 1 or "" in words:
+        return f"(?:{'|'.join(out)}){'?' if '' in words else ''}" if out else ""
+    return "".join(out)
 
-    The cheap contains() test spares the replacement for the many absent words.
-    """
-    size = F.octet_length(low)
 
-    def hits(w: Column) -> Column:
-        saved = size - F.octet_length(F.replace(low, w, F.lit("")))
-        return F.when(F.contains(low, w), saved / F.octet_length(w)).otherwise(0.0)
+#: at every place the longest keyword that begins there: the look-ahead takes no sign, so none hides another
+_LONGEST = f"(?=({_trie(_WORDS)}))"
+#: industry -> how often its list holds a word that the matched one begins with (itself included)
+_COUNTS = json.dumps({w: [sum(w.startswith(x) for x in words) for words in INDUSTRY_KEYWORDS.values()] for w in _WORDS})
+#: a word whose end is its beginning, twice with that part shared: only then are there fewer occurrences than places
+_SHARED = any_of([w + w[k:] for w in _WORDS for k in range(1, len(w)) if w.endswith(w[:k])])
+_TABLE = json.dumps([list(words) for words in INDUSTRY_KEYWORDS.values()])
+
 
-    return F.aggregate(words, F.lit(0.0), lambda total, w: total + hits(w))
+def _by_places(low: Column) -> Column:
+    """Hits of each industry from one pass over the text."""
+    counts = F.from_json(F.lit(_COUNTS), "map<string,array<int>>")
+    hits = F.regexp_extract_all(low, F.lit(_LONGEST), F.lit(1))
+    none = F.array(*[F.lit(0)] * len(_NAMES))
+    return F.aggregate(hits, none, lambda total, w: F.zip_with(total, F.element_at(counts, w), lambda a, b: a + b))
+
+
+def _by_words(low: Column) -> Column:
+    """Hits of each industry word by word, occurrences that overlap counted once."""
+    words = F.from_json(F.lit(_TABLE), "array<array<string>>")
+    size = F.octet_length(low)
+    count = lambda w: ((size - F.octet_length(F.replace(low, w, F.lit("")))) / F.octet_length(w)).cast("int")
+    return F.transform(words, lambda ws: F.aggregate(ws, F.lit(0), lambda total, w: total + count(w)))
 
 
 def guess_industry(text: Column) -> Column:
     """Industry with the most keyword hits (earlier one on a tie), '' without any hit.
 
-    Row-local: the keyword lists are one constant array, so there is no join with them and the
-    text is not shuffled.
+    Row-local, one pass over the text: there is no join with the keywords and the text is not shuffled.
     """
-    table = F.from_json(F.lit(_TABLE), "array<struct<name:string,words:array<string>>>")
+    def best(hits: Column) -> Column:
+        at = F.array_position(hits, F.array_max(hits)).cast("int")
+        return F.when(F.array_max(hits) > 0, F.element_at(F.array(*[F.lit(n) for n in _NAMES]), at)).otherwise("")
 
-    def best(low: Column) -> Column:
-        scored = F.transform(table, lambda e, i: F.struct(
-            _score(low, e["words"]).alias("score"), (-i).alias("rank"), e["name"].alias("name")))
-        return F.array_max(F.filter(scored, lambda s: s["score"] > 0))["name"]
+    def score(low: Column) -> Column:
+        return F.when(low.rlike(_SHARED), _by_words(low)).otherwise(_by_places(low))
 
-    return F.coalesce(bind(F.lower(F.coalesce(text, F.lit(""))), best), F.lit(""))
+    return bind(bind(F.lower(F.coalesce(text, F.lit(""))), score), best)

@@ -11,7 +11,7 @@ from ..fixed_values import (ABOUT_STEMS, ADDRESS_WORDS, BOILERPLATE_STARTS, CONT
                             WHATSAPP_PATTERN)
 from .phones import normalize_phone
 from .text import (any_of, bind, clean_text, collapse, decode_entities, first_filled, strip,
-                   strip_tags, title_case)
+                   strip_tags, title_case, visible_markup)
 from .urls import canonical_url, domain, netloc, social_platform
 
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
@@ -25,16 +25,34 @@ def _element(tag: str) -> str:
 
 
 def enclosed(html: Column, opening: str) -> tuple[Column, Column]:
-    """(whether there is one, content) of the first element with an opening tag whose name is group 1, up to the first end tag of that name.
+    """(whether there is one, content) of the first element whose opening tag matches; elements of its name inside it belong to it.
 
-    What is never closed goes on to the end of the text, so the pattern passes over it once; only then are later elements of at
-    most 5,000 characters looked for.
+    From that tag on the text is split at the tags of its name, once, and the element ends where as many have been closed as
+    opened; a paragraph also where the next begins. Empty elements such as <img> are none, nor is one that is never closed.
     """
-    opening = f"<{_VOID}{opening[1:]}"
-    whole = rf"(?is){opening}(?:(.*?)(</\1\s*>)|.*+)"
-    short = rf"(?is){opening}(.{{0,5000}}?)</\1\s*>"
-    closed = F.regexp_extract(html, whole, 3) != ""
-    return closed | html.rlike(short), F.when(closed, F.regexp_extract(html, whole, 2)).otherwise(F.regexp_extract(html, short, 2))
+    opening = f"(?is)<{_VOID}{opening[1:]}"
+
+    def balanced(rest: Column) -> Column:
+        name = F.lower(F.regexp_extract(rest, "^<([a-zA-Z0-9]+)", 1))
+
+        def walk(tags: Column, paragraph: Column) -> Column:
+            # depth behind the tags so far; the tags up to the one that brings it back to 0
+            start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"))
+
+            def step(s: Column, tag: Column) -> Column:
+                depth = s["depth"] + F.when(tag.startswith("</") | (paragraph & (s["n"] > 0)), -1).otherwise(1)
+                return F.when((s["depth"] == 0) & (s["n"] > 0), s).otherwise(F.struct(depth.alias("depth"), (s["n"] + 1).alias("n")))
+
+            inner = lambda s: F.when(s["depth"] == 0, F.regexp_replace(
+                F.array_join(F.slice(tags, F.lit(1), s["n"] - 1), ""), "^<[^<>]*>", "")).otherwise("")
+            return bind(F.aggregate(tags, start, step), inner)
+
+        split = lambda name: bind(F.split(rest, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"[\s/>])"))), lambda tags: walk(tags, name == "p"))
+        return bind(name, split)
+
+    at = F.regexp_instr(html, F.lit(opening))
+    content = bind(at, lambda at: F.when(at > 0, bind(F.substring(html, at, F.length(html)), balanced)).otherwise(""))
+    return html.rlike(opening), content
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -105,21 +123,24 @@ def description(home: Column, text: Column) -> Column:
     return first_filled(meta_description(home), first_sentence(text))
 
 
+#: a word without which there is no such node, and its opening tag
 _ADDRESS_NODES = [
-    r"<([a-z0-9]+)\b[^<>]*\sitemtype\s*=\s*[\"'][^\"']*PostalAddress[^<>]*>",
-    r"<([a-z0-9]+)\b[^<>]*\sitemtype\s*=\s*[\"'][^\"']*LocalBusiness[^<>]*>",
-    r"<(address)\b[^<>]*>",
-    r"<([a-z0-9]+)\b[^<>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?address(?:\s[^\"']*)?[\"'][^<>]*>",
-    r"<([a-z0-9]+)\b[^<>]*\sid\s*=\s*[\"']address[\"'][^<>]*>",
+    ("postaladdress", r"<([a-z0-9]+)\b[^<>]*\sitemtype\s*=\s*[\"'][^\"']*PostalAddress[^<>]*>"),
+    ("localbusiness", r"<([a-z0-9]+)\b[^<>]*\sitemtype\s*=\s*[\"'][^\"']*LocalBusiness[^<>]*>"),
+    ("<address", r"<(address)\b[^<>]*>"),
+    ("address", r"<([a-z0-9]+)\b[^<>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?address(?:\s[^\"']*)?[\"'][^<>]*>"),
+    ("address", r"<([a-z0-9]+)\b[^<>]*\sid\s*=\s*[\"']address[\"'][^<>]*>"),
 ]
 
 
 def address_node(html: Column) -> Column:
-    """Text of the first address node, '' if there is none."""
-    found = F.array(*[enclosed(html, p)[1] for p in _ADDRESS_NODES])
-    nodes = F.filter(F.transform(F.filter(found, lambda n: n != ""), lambda n: element_text(n, " ")),
-                     lambda n: F.length(n).between(1, 299))
-    return F.coalesce(F.get(nodes, F.lit(0)), F.lit(""))
+    """Text of the first address node, '' if there is none; what is hidden, comments and scripts, has no part."""
+    def node(seen: Column, word: str, opening: str) -> Column:
+        text = bind(element_text(enclosed(seen, opening)[1], " "), lambda t: F.when(F.length(t).between(1, 299), t))
+        return F.when(F.contains(F.lower(seen), F.lit(word)), text)
+
+    found = bind(visible_markup(html), lambda seen: F.coalesce(*[node(seen, *n) for n in _ADDRESS_NODES], F.lit("")))
+    return F.when(html.rlike("(?i)address|localbusiness"), found).otherwise("")
 
 
 def address_line(text: Column) -> Column:

@@ -9,30 +9,48 @@ from ..functions.industry import guess_industry
 from ..functions.text import filled, first_filled, html_to_text
 from ..functions.urls import canonical_url, with_canonical_url
 from ..session import materialize
+from ..sources.pagestore import needed_pages, stored
 from .scoring import grade_leads
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
-    """One small row per canonical page URL: what the extractors find, and the contact pages it links to.
-
-    Extraction is row-local, so HTML is never shuffled. Of several pages with one URL the lowest id counts.
-    """
-    p = (with_canonical_url(pages, "url", "_url").filter(F.col("_url") != "")
-         .withColumn("_text", html_to_text(F.col("html"))).withColumn("_social", P.social_links(F.col("html"))))
+def extract_facts(pages: DataFrame) -> DataFrame:
+    """What the extractors find on pages (page_url, page_id, html): one small row each, with the contact pages it links to."""
+    p = pages.withColumn("_text", html_to_text(F.col("html"))).withColumn("_social", P.social_links(F.col("html")))
     html, text = F.col("html"), F.col("_text")
     number = F.get(N.best_phones(N.phone_candidates(F.when(text != "", text).otherwise(html)), most=1), F.lit(0))
-    links = F.transform(P.contact_hrefs(html), lambda h: canonical_url(h, base_column="_url"))
+    links = F.transform(P.contact_hrefs(html), lambda h: canonical_url(h, base_column="page_url"))
     facts = {
         "email": E.best_ranked_email(E.extract_emails(html)), "phone": number, "whatsapp": P.whatsapp(html),
         **{f"{x}_url": P.first_social(F.col("_social"), x) for x in ("linkedin", "facebook", "instagram")},
-        "company_name": P.company_name(html, F.col("_url")), "meta": P.meta_description(html),
+        "company_name": P.company_name(html, F.col("page_url")), "meta": P.meta_description(html),
         "sentence": P.first_sentence(text), "node": P.address_node(html), "line": P.address_line(text),
         "employees": P.employees(text), "contact_person": P.ranked_contact_person(text),
         "html_chars": F.length(html), "text_md5": F.md5(text),
-        "links": F.array_distinct(F.filter(links, lambda u: (u != "") & (u != F.col("_url")))),
+        "links": F.array_distinct(F.filter(links, lambda u: (u != "") & (u != F.col("page_url")))),
     }
-    rows = p.select(F.col("_url").alias("page_url"), F.struct("page_id", *[c.alias(n) for n, c in facts.items()]).alias("f"))
-    return rows.groupBy("page_url").agg(F.min_by("f", "f.page_id").alias("f")).select("page_url", "f.*")
+    return p.select("page_url", "page_id", *[c.alias(n) for n, c in facts.items()])
+
+
+def page_facts(pages: DataFrame) -> DataFrame:
+    """Facts of every page of a table (page_id, url, html); of several pages with one URL the lowest id counts."""
+    rows = with_canonical_url(pages, "url", "page_url").filter(F.col("page_url") != "")
+    facts = extract_facts(rows)
+    of = [c for c in facts.columns if c != "page_url"]
+    return facts.groupBy("page_url").agg(F.min_by(F.struct(*of), "page_id").alias("f")).select("page_url", "f.*")
+
+
+def needed_facts(store: DataFrame, sites: DataFrame, extra: int | None = None) -> DataFrame:
+    """Facts of the pages that sites (site) need: their own page and those that it links to, ``extra`` of them if given.
+
+    Each needed page is read and mined once, all others not at all. What was found is written, so that later steps read facts alone.
+    """
+    home = materialize(extract_facts(needed_pages(store, sites.select(F.col("site").alias("page_url")))), "page-facts")
+    linked = home.select(F.explode(_linked(extra)).alias("page_url")).distinct().join(home.select("page_url"), "page_url", "left_anti")
+    return home.unionByName(materialize(extract_facts(needed_pages(store, linked)), "page-facts"))
+
+
+def _linked(extra: int | None) -> Column:
+    return F.col("links") if extra is None else F.slice("links", 1, extra)
 
 
 def site_pages(sites: DataFrame, facts: DataFrame, extra: int | None = None) -> DataFrame:
@@ -41,8 +59,7 @@ def site_pages(sites: DataFrame, facts: DataFrame, extra: int | None = None) ->
     A site whose own page was not crawled has none. ``extra`` limits the linked URLs of a site; without it all are taken.
     """
     home = sites.select("site").distinct().join(facts, F.col("site") == F.col("page_url"))
-    links = F.col("links") if extra is None else F.slice("links", 1, extra)
-    linked = (home.select("site", F.posexplode(links).alias("pos", "_linked"))
+    linked = (home.select("site", F.posexplode(_linked(extra)).alias("pos", "_linked"))
               .join(facts, F.col("_linked") == F.col("page_url")).withColumn("page_rank", F.col("pos") + 2))
     return home.withColumn("page_rank", F.lit(1)).unionByName(linked.drop("pos", "_linked"))
 
@@ -88,14 +105,14 @@ def enrich_sites(leads: DataFrame, pages: DataFrame, extra: int | None = None) -
     """Fill the empty fields of leads from their sites and grade them again.
 
     A site is the page at the lead's own canonical URL with the contact and about pages that it links to, so businesses
-    on one host stay apart. Leads without a website, or whose own page was not crawled, pass through unchanged. What was
-    found is written first: both sides of the join with the leads are then plain exchanges, and the adaptive join splits
+    on one host stay apart. Leads without a website, or whose own page was not crawled, pass through unchanged. ``pages`` is a page
+    store, or a table (page_id, url, html) of which one is made first. Pages that no lead needs are not mined. What was found is written: both sides of the join with the leads are then plain exchanges, and the adaptive join splits
     a URL that very many leads share.
     """
     cols = leads.columns
     sited = with_site(leads)
-    facts = materialize(page_facts(pages), "page-facts")
-    wanted = sited.filter(F.col("site").isNotNull()).select("site")
+    wanted = sited.filter(F.col("site").isNotNull()).select("site").distinct()
+    facts = needed_facts(stored(pages), wanted, extra)
     fields = materialize(site_fields(site_pages(wanted, facts, extra)), "site-fields")
     # rows without a site get a key of their own, so that they do not share one task
     key = F.coalesce(F.col("site"), F.concat(F.lit(" "), F.xxhash64(*cols).cast("string")))

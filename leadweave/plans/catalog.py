@@ -15,6 +15,7 @@ from ..operators.topk import top_per_group
 from ..schema import EXPORT_COLUMNS, LEAD_COLUMNS
 from ..session import materialize, scratch_dir
 from ..sources import directories, osm, sinks, web
+from ..sources.pagestore import write_page_store
 from ..sources.registry import union_sources
 from ..sources.searches import load_searches
 from ..streaming.upsert import stream_upsert
@@ -76,7 +77,8 @@ def scan_site_pages(spark, sf):
 
 def _selected_pages(spark, sf):
     sites = enrich.with_site(X.site_leads(spark, sf)).filter("site is not null")
-    return enrich.site_pages(sites, enrich.page_facts(X.crawled_pages(spark, sf)))
+    store = write_page_store(X.crawled_pages(spark, sf), scratch_dir(spark, "page-store"))
+    return enrich.site_pages(sites, enrich.needed_facts(store, sites))
 
 
 @query

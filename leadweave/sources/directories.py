@@ -25,7 +25,7 @@ def directory_cards(pages: DataFrame) -> DataFrame:
     cards = F.filter(F.split(F.col("html"), opening), lambda s: F.regexp_like(
         s, F.lit("^" + opening)))
     named, name = enclosed(F.col("_card"), rf"<([a-z0-9]+)\b[^<>]*{_classed(CARD_NAME_CLASSES)}[^<>]*>")
-    # if the first has no anchor or end behind it, no later one has
+    # if the first has no anchor or end behind it, no later one has; anchors don't nest
     headed = r"(?is)<h3\b[^<>]*>(?:.*?<a\b[^<>]*>(?:(.*?)</a\s*>|.*+)|.*+)"
     site = rf"(?is)<a\b[^<>]*{_classed(CARD_SITE_CLASSES)}[^<>]*>"
     rows = pages.select("page", F.posexplode(cards).alias("pos", "_card"))

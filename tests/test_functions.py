@@ -19,6 +19,33 @@ def test_entities_are_decoded_once(spark):
     assert got == ["a &lt; b", "AB—", "©&nope;&", "'�"]
 
 
+def test_industry_counts_every_keyword_by_itself(spark):
+    import random
+
+    from leadweave.fixed_values import INDUSTRY_KEYWORDS
+    from leadweave.functions.industry import guess_industry
+
+    r = random.Random(3)
+    words = [w for ws in INDUSTRY_KEYWORDS.values() for w in ws]
+    texts = ["".join(r.choice([*words, r.choice(words)[:3], " ", "Xx", "é", "."]) for _ in range(r.randint(1, 30))) for _ in range(300)]
+    texts += ["healthealthealth law lawyer", "saasaasaas salon salon", "rent a carent a car bank", "legalegal cafe cafe", None, "", "IT ", "nothing", "kitchen cafe"]
+
+    def plain(text):
+        low = (text or "").lower()
+        hits = {n: sum(low.count(w) for w in ws) for n, ws in INDUSTRY_KEYWORDS.items()}
+        best = max(hits, key=hits.get)
+        return best if hits[best] else ""
+    assert evaluate(spark, guess_industry, texts) == [plain(t) for t in texts]
+
+
+def test_hidden_markup_ends_where_it_began(spark):
+    from leadweave.functions.text import visible_markup
+
+    pages = {"a<!-- <script> -->b<script>c<!-- </script>d": "a b d", "a<STYLE x>b</style >c<noscript>d</noscript>e": "a c e", "a<!--b--c->d": "a ", "<!---->x<!-->y-->z": " x z",
+             "a<script>b</scripture></SCRIPT\n>c": "a c", "<scripture>a</scripture>": "<scripture>a</scripture>", "a<style>b": "a ", "<!- a": "<!- a"}
+    assert evaluate(spark, visible_markup, list(pages)) == list(pages.values())
+
+
 def test_html_to_text(spark):
     html = ("<html><!-- <p>no</p> --><style>p{}</style><SCRIPT>var t='</p>';</SCRIPT><noscript>off</noscript>"
             "<p>one<b>two</b>&nbsp;&amp; 3 < 4</p></html>")
@@ -162,6 +189,23 @@ def test_address(spark):
     assert got == ["5 Nile St", "7 Tahrir Sq", "12 Long Street, Cairo", "", ""]
 
 
+def test_nested_address_nodes(spark):
+    long = "<span>" + "<i data-x='" + "y" * 20_000 + "'></i></span>"
+    pages = {
+        "<div itemtype='http://schema.org/PostalAddress'><div>12 Nile Street</div><div>Cairo</div></div> more</div>": "12 Nile Street Cairo",
+        "<DIV class='x address'><div><div>1</div> <Div\n>2</div></div>3</DIV >4": "1 2 3",
+        f"<section id=\"address\">{long}<section>7 Main Road</section>{long}Giza</section> end": "7 Main Road Giza",
+        "<div class='address'><img class='address'><division>5</division> St</div>": "5 St",
+        "<p class='address'>6 Side Road<p>other</p>": "6 Side Road",
+        "<address><!-- </address> --><script>'</address>'</script>8 Hill Road</address>": "8 Hill Road",
+        "<div class='address'><!-- <b>no</b> --><script>no</script>9 Hill Road</div>": "9 Hill Road",
+        "<div class='address'>never closed <div>1</div>": "",
+        "<address>" + "z" * 300 + "</address><p id='address'>10 Low Road</p>": "10 Low Road",
+        "<li class='address'><ul><li>11</li><li>West</li></ul></li>": "11 West",
+    }
+    assert evaluate(spark, P.address_node, list(pages)) == list(pages.values())
+
+
 def test_whatsapp_employees_person(spark):
     assert evaluate(spark, P.whatsapp, [
         "https://wa.me/201001234567", "api.whatsapp.com/send?x=1&phone=447911123456", "wa.me/123", ""]) == [

@@ -7,12 +7,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from leadweave.operators import query as Q, resolve as R
+from leadweave.operators import enrich, query as Q, resolve as R
 from leadweave.operators.topk import top_per_group
 from leadweave.plans import fixtures as X
 from leadweave.plans.catalog import QUERIES
 from leadweave.session import scratch_dir
-from leadweave.sources import sinks
+from leadweave.sources import pagestore, sinks
 
 
 def plan(df, mode="simple"):
@@ -74,3 +74,27 @@ def test_html_is_never_shuffled(spark, sf):
     for part in text.split("\n\n"):
         if re.match(r"\(\d+\) (Exchange|Sort)", part):
             assert not re.search(r"\b_?html#", part), part
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_needed_pages_are_chosen_by_url_and_read_in_their_buckets(spark, sf, broadcast):
+    store = pagestore.write_page_store(X.crawled_pages(spark, sf), scratch_dir(spark, "store"), 4)
+    urls = store.select("page_url").limit(20)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before if broadcast else "-1")
+    try:
+        chosen = pagestore.needed_pages(store, urls)
+        text = plan(enrich.extract_facts(chosen).select("page_url", "email"), "formatted")
+        assert chosen.count() == urls.distinct().count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    parts = text.split("\n\n")
+    for part in parts:
+        if re.match(r"\(\d+\) (Exchange|Sort|BroadcastExchange)", part):
+            assert "html#" not in part, part
+    # a narrow scan decides, the other reads HTML; patterns run behind the join alone
+    assert "ReadSchema: struct<page_url:string,page_id:bigint>" in text and "ReadSchema: struct<page_url:string,page_id:bigint,html:string>" in text
+    if not broadcast:
+        assert "Bucketed: true" in text and "ShuffledHashJoin" in text and "SortMergeJoin" not in text
+    tree = text.split("(1) ")[0]
+    assert all("regexp" not in part for part in parts if "html#" in part and "Scan parquet" in part) and "Project" in tree

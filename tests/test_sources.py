@@ -8,7 +8,7 @@ from helpers import bag, leads
 from leadweave.operators import enrich, mining as M
 from leadweave.plans import fixtures as X, scan
 from leadweave.session import scratch_dir
-from leadweave.sources import directories, osm, web
+from leadweave.sources import directories, osm, pagestore, web
 from leadweave.sources.registry import union_sources
 from leadweave.sources.searches import load_searches, with_defaults
 
@@ -201,6 +201,25 @@ def test_a_site_is_its_own_page_and_those_it_links_to(spark):
     assert bag(enrich.site_pages(sites, facts), "site", "page_rank", "page_id") == [
         ("https://a.com", 1, 5), ("https://a.com", 2, 10), ("https://a.com", 3, 11)]
     assert bag(enrich.site_pages(sites, facts, 1), "page_id") == [(5,), (10,)]
+    # a store mines the needed pages alone, and gives the same
+    store = pagestore.write_page_store(spark.createDataFrame(rows, PAGES), scratch_dir(spark, "store"), 3)
+    needed = enrich.needed_facts(store, sites)
+    assert bag(needed, "page_id") == [(5,), (10,), (11,)] and needed.columns == facts.columns
+    assert bag(enrich.site_pages(sites, needed), "site", "page_rank", "page_id") == bag(enrich.site_pages(sites, facts), "site", "page_rank", "page_id")
+    assert bag(enrich.needed_facts(store, sites, 1), "page_id") == [(5,), (10,)]
+
+
+def test_a_page_store_opens_in_another_session(spark):
+    root = scratch_dir(spark, "store")
+    pages = spark.createDataFrame([(1, "https://www.a.com/", "x"), (2, "a.com", "y"), (3, "b.com/c", "z"), (4, "", "w"), (5, None, "v")], PAGES)
+    pagestore.write_page_store(pages, root, 3)
+    other = spark.newSession()
+    other.sql(f"DROP TABLE {pagestore._name(root)}")
+    store = pagestore.open_page_store(other, root)
+    assert bag(store, "page_url", "page_id") == [("https://a.com", 1), ("https://a.com", 2), ("https://b.com/c", 3)]
+    urls = other.createDataFrame([("https://a.com",), ("https://a.com",), ("https://x.com",), (None,)], "page_url string")
+    assert bag(pagestore.needed_pages(store, urls), "page_id", "html") == [(1, "x")]
+    assert pagestore.stored(store) is store and pagestore.needed_pages(store, urls.filter("false")).count() == 0
 
 
 def test_businesses_on_one_host_stay_apart(spark):
