@@ -13,18 +13,28 @@ _NAMES = list(INDUSTRY_KEYWORDS)
 _WORDS = sorted({w for words in INDUSTRY_KEYWORDS.values() for w in words})
 
 
+def _any_sign(signs) -> str:
+    return "[" + "".join("\\" + c if c in "-]^\\" else c for c in sorted(set(signs))) + "]"
+
+
+def _branches(words: list[str], signs: list[str]) -> str:
+    """Alternatives by first sign, halved by look-ahead until two are left: a sign that begins no word is refused in a few tests."""
+    if len(signs) <= 2:
+        return "|".join(any_of([c]) + _trie([w[1:] for w in words if w[:1] == c]) for c in signs)
+    half = len(signs) // 2
+    return "|".join(f"(?={_any_sign(part)})(?:{_branches(words, part)})" for part in (signs[:half], signs[half:]))
+
+
 def _trie(words: list[str]) -> str:
     """A pattern of the longest of the words that begins at a place; words with one beginning share its test."""
-    out = []
-    for first in sorted({w[0] for w in words if w}):
-        out.append(any_of([first]) + _trie([w[1:] for w in words if w[:1] == first]))
-    if len(out) > 1 or "" in words:
-        return f"(?:{'|'.join(out)}){'?' if '' in words else ''}" if out else ""
-    return "".join(out)
+    signs = sorted({w[0] for w in words if w})
+    if len(signs) > 1 or "" in words:
+        return f"(?:{_branches(words, signs)}){'?' if '' in words else ''}" if signs else ""
+    return _branches(words, signs)
 
 
 #: at every place the longest keyword that begins there: the look-ahead takes no sign, so none hides another
-_LONGEST = f"(?=({_trie(_WORDS)}))"
+_LONGEST = f"(?={''.join(_any_sign(w[k] for w in _WORDS) for k in range(min(map(len, _WORDS))))})(?=({_trie(_WORDS)}))"
 #: industry -> how often its list holds a word that the matched one begins with (itself included)
 _COUNTS = json.dumps({w: [sum(w.startswith(x) for x in words) for words in INDUSTRY_KEYWORDS.values()] for w in _WORDS})
 #: a word whose end is its beginning, twice with that part shared: only then are there fewer occurrences than places

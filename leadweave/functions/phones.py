@@ -6,12 +6,12 @@ without a row is taken as it is; add a row to check it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, functions as F
 
 from ..fixed_values import DEFAULT_REGION, PHONE_PATTERN, TEL_PATTERN
-from .text import bind, strip
+from .text import bind, constant_map, strip
 
 
 @dataclass(frozen=True)
@@ -23,7 +23,40 @@ class NumberingPlan:
     mobile: str          # national significant numbers that reach a mobile phone
     fixed: str           # all others
     groups: tuple        # (pattern of the E.164 form, spaced display form)
-
+    service: dict = field(default_factory=dict)  # kind -> numbers of that kind, whatever range they lie in
+
+
+# fixed values: numbers that belong to no place and no mobile phone, by kind, from the same lists
+SERVICE_NUMBERS = {
+    "SA": {"toll_free": "800[0-9]{7}", "shared_cost": "92[05][0-9]{6}", "uan": "811[0-9]{7}"},
+    "AE": {"toll_free": "800[0-9]{2,9}|400[0-9]{6}", "shared_cost": "700[05][0-9]{5}", "premium": "900[02][0-9]{5}", "uan": "600[25][0-9]{5}"},
+    "KW": {"toll_free": "18[0-9]{5}"},
+    "QA": {"toll_free": "800[0-9]{4}"},
+    "BH": {"toll_free": "8[02369][0-9]{6}", "shared_cost": "84[0-9]{6}", "premium": "90[0-9]{6}"},
+    "OM": {"toll_free": "8007[0-9]{4,5}|(?:500|800[05])[0-9]{4}", "premium": "900[0-9]{5}"},
+    "JO": {"toll_free": "80[0-9]{6}", "shared_cost": "85[0-9]{6}", "premium": "9[0-9]{7}", "uan": "8(?:10|8[0-9])[0-9]{5}"},
+    "LB": {"shared_cost": "80[0-9]{6}", "premium": "9[01][0-9]{6}"},
+    "PS": {"toll_free": "1800[0-9]{6}", "shared_cost": "1700[0-9]{6}"},
+    "MA": {"toll_free": "80[0-7][0-9]{6}", "premium": "89[0-9]{7}"},
+    "DZ": {"toll_free": "800[0-9]{6}", "shared_cost": "80[12]1[0-9]{5}", "premium": "80[3-689]1[0-9]{5}"},
+    "TN": {"toll_free": "8010[0-9]{4}", "shared_cost": "8[12]10[0-9]{4}", "premium": "88[0-9]{6}"},
+    "TR": {"toll_free": "800[0-9]{7}", "premium": "900[0-9]{7}", "uan": "444[0-9]{4}|850[0-9]{7}"},
+    "GB": {"toll_free": "80[08][0-9]{7}|800[0-9]{6}", "shared_cost": "8(?:4[2-5]|7[0-3])[0-9]{7}", "premium": "9(?:[01][0-9]|8[2-49])[0-9]{7}", "uan": "3[0347][0-9]{8}"},
+    "FR": {"toll_free": "80[0-5][0-9]{6}", "shared_cost": "8(?:1[0-29]|2[0156]|84)[0-9]{6}", "premium": "89[0-9]{7}", "uan": "80[6-9][0-9]{6}"},
+    "DE": {"toll_free": "800[0-9]{7,12}", "shared_cost": "180[0-9]{5,11}", "premium": "900[0-9]{7}"},
+    "IT": {"toll_free": "80(?:0[0-9]{6}|3[0-9]{3})", "shared_cost": "84[0178][0-9]{3,6}", "premium": "89[0-9]{4,8}"},
+    "ES": {"toll_free": "[89]00[0-9]{6}", "shared_cost": "90[12][0-9]{6}", "premium": "80[367][0-9]{6}"},
+    "PT": {"toll_free": "80[02][0-9]{6}", "shared_cost": "80[89][0-9]{6}", "uan": "70[78][0-9]{6}"},
+    "NL": {"toll_free": "800[0-9]{4,7}", "premium": "90[069][0-9]{4,7}"},
+    "BE": {"toll_free": "800[1-9][0-9]{4}", "shared_cost": "78[0-9]{6}", "premium": "90[0-9]{6}"},
+    "AT": {"toll_free": "800[0-9]{6,10}", "shared_cost": "8(?:10|2[018])[0-9]{6,10}", "premium": "9(?:0[01]|3[019])[0-9]{6,10}"},
+    "SE": {"toll_free": "20[0-9]{4,7}", "shared_cost": "77[0-9]{7}", "premium": "9(?:00|39|44)[0-9]{4,7}"},
+    "DK": {"toll_free": "80[0-9]{6}", "premium": "90[0-9]{6}"},
+    "PL": {"toll_free": "800[0-9]{6,7}", "shared_cost": "801[0-9]{6}", "premium": "70[01346-8][0-9]{6}", "uan": "804[0-9]{6}"},
+    "GR": {"toll_free": "800[0-9]{7,9}", "shared_cost": "8(?:0[16]|12|[27]5|50)[0-9]{7}", "premium": "90[19][0-9]{7}"},
+    "IE": {"toll_free": "1800[0-9]{6}", "shared_cost": "18[59]0[0-9]{6}", "premium": "15[0-8]{2}[0-9]{6}", "uan": "818[0-9]{6}"},
+    "IN": {"toll_free": "1800[0-9]{4,9}", "shared_cost": "1860[0-9]{7}"},
+}
 
 # fixed values: numbering plans
 PLANS = [
@@ -31,8 +64,8 @@ PLANS = [
         "EG", "20", "0", "00",
         mobile=r"1[0125][0-9]{8}",
         fixed=(r"2[0-9]{8}|3[0-9]{7}"
-               r"|(?:13|15|4[05-8]|5[057]|6[24-689]|8[2468]|9[235-7])[0-9]{7}"
-               r"|[89]00[0-9]{7}"),
+               r"|(?:13|15|4[05-8]|5[057]|6[24-689]|8[2468]|9[235-7])[0-9]{7}"),
+        service={"toll_free": "800[0-9]{7}", "premium": "900[0-9]{7}"},
         groups=((r"^\+20(1[0-9]{2})([0-9]{3})([0-9]{4})$", "+20 $1 $2 $3"),
                 (r"^\+20([89]00)([0-9]{3})([0-9]{4})$", "+20 $1 $2 $3"),
                 (r"^\+20([23])([0-9]{7,8})$", "+20 $1 $2"),
@@ -40,10 +73,11 @@ PLANS = [
     NumberingPlan(
         "US", "1", "1", "011",
         mobile=r"[2-9][0-9]{2}[2-9][0-9]{6}",   # fixed and mobile share one range
-        fixed="",
+        fixed="", service={"toll_free": "8(?:00|33|44|55|66|77|88)[2-9][0-9]{6}", "premium": "900[2-9][0-9]{6}"},
         groups=((r"^\+1([0-9]{3})([0-9]{3})([0-9]{4})$", "+1 $1-$2-$3"),)),
     # patterns of length and leading digits, from the ITU's public lists of national numbering plans
-    *[NumberingPlan(region, code, trunk, "00", mobile, fixed, ((rf"^\+{code}([0-9]+)$", f"+{code} $1"),)) for region, code, trunk, mobile, fixed in (
+    *[NumberingPlan(region, code, trunk, "00", mobile, fixed, ((rf"^\+{code}([0-9]+)$", f"+{code} $1"),), SERVICE_NUMBERS.get(region, {}))
+      for region, code, trunk, mobile, fixed in (
         ("SA", "966", "0", "5[0-9]{8}", "1[1-7][0-9]{7}"),
         ("AE", "971", "0", "5[024568][0-9]{7}", "[234679][0-9]{7}"),
         ("KW", "965", "", "[569][0-9]{7}", "2[0-9]{7}"),
@@ -88,13 +122,27 @@ def _plan(region: str) -> NumberingPlan:
 
 
 def _national(plan: NumberingPlan) -> str:
-    return "|".join(x for x in (plan.mobile, plan.fixed) if x)
+    return "|".join(x for x in (plan.mobile, plan.fixed, *plan.service.values()) if x)
+
+
+def _by_code(values: dict[str, str], digits: Column, body) -> Column:
+    """``body`` of (calling code, what stands at it), NULLs if no known code begins the digits: one look-up for each length of a code."""
+    table = constant_map(values)
+    sizes = sorted({len(c) for c in values}, reverse=True)
+    found = F.coalesce(*[F.when(F.try_element_at(table, F.substring(digits, 1, n)).isNotNull(), F.struct(
+        F.substring(digits, 1, n).alias("code"), F.try_element_at(table, F.substring(digits, 1, n)).alias("value"))) for n in sizes])
+    return bind(found, lambda f: body(f["code"], f["value"]))
+
+
+#: calling code -> pattern of a whole number, trunk prefix allowed; its only group is the national number
+_WHOLE = {p.code: rf"^{p.code}(?:{p.trunk})?({_national(p)})$" for p in PLANS}
 
 
 def normalize_phone(raw: Column, region: str = DEFAULT_REGION) -> Column:
     """E.164 form, or '' where the text is no valid number of a known plan.
 
-    A chain in which every step uses the previous one once, so nothing is evaluated twice.
+    A number is tried in the home plan; behind an international prefix its calling code finds the one plan that counts. Steps on the
+    text are a chain in which each uses the previous one once.
     """
     home = _plan(region)
     n = F.translate(F.coalesce(raw, F.lit("")), _DIGITS, _ASCII)
@@ -102,28 +150,55 @@ def normalize_phone(raw: Column, region: str = DEFAULT_REGION) -> Column:
     n = F.regexp_replace(n, r"(?s)^.*\p{L}.*$", "")
     n = F.regexp_replace(n, r"[^0-9+]", "")
     n = F.regexp_replace(n, r"(?<!^)\+", "")
-    for plan in sorted(PLANS, key=lambda p: p.region != region):
-        prefix = rf"\+{plan.code}|{home.exit_code}{plan.code}"
-        prefix = rf"(?:{prefix}|{plan.code})?" if plan is home else rf"(?:{prefix})"
-        n = F.regexp_replace(n, rf"^{prefix}(?:{plan.trunk})?({_national(plan)})$",
-                             f"ok+{plan.code}$1")
-    covered = "|".join(p.code for p in PLANS)
-    n = F.regexp_replace(n, rf"^(?:\+|{home.exit_code})(?!{covered})([1-9][0-9]{{7,14}})$", "ok+$1")
-    return F.regexp_extract(n, r"^ok(\+[0-9]+)$", 1)
+    # +... for a number of the home plan and for an international one as it was dialled, which is told by its first sign
+    n = F.regexp_replace(n, rf"^(?:\+{home.code}|{home.exit_code}{home.code}|{home.code})?(?:{home.trunk})?({_national(home)})$", f"ok+{home.code}$1")
+    n = F.regexp_replace(n, rf"^(?:\+|{home.exit_code})([1-9][0-9]*)$", "$1 ")
+
+    def plan(code: Column, pattern: Column, digits: Column) -> Column:
+        national = F.call_function("regexp_extract", digits, pattern, F.lit(1))
+        checked = bind(national, lambda x: F.when(x != "", F.concat(F.lit("+"), code, x)).otherwise(""))
+        return F.when(pattern.isNotNull(), checked).when(F.length(digits).between(8, 15), F.concat(F.lit("+"), digits)).otherwise("")
+
+    def told(n: Column) -> Column:
+        abroad = bind(F.rtrim(n), lambda digits: _by_code(_WHOLE, digits, lambda code, pattern: plan(code, pattern, digits)))
+        return F.when(n.startswith("ok"), F.substring(n, 3, 20)).when(n.endswith(" "), abroad).otherwise("")
+
+    return bind(n, told)
+
+
+def _any_plan(numbers) -> str:
+    return "|".join(rf"^\+{p.code}(?:{x})$" for p in PLANS for x in [numbers(p)] if x)
+
+
+def phone_kind(e164: Column) -> Column:
+    """toll_free, shared_cost, premium, uan, mobile or fixed; '' for a number of no known plan."""
+    kinds = sorted({k for p in PLANS for k in p.service})
+    out = F.when(e164.rlike(_any_plan(lambda p: p.service.get(kinds[0], ""))), kinds[0])
+    for kind in kinds[1:]:
+        out = out.when(e164.rlike(_any_plan(lambda p, kind=kind: p.service.get(kind, ""))), kind)
+    return out.when(e164.rlike(_any_plan(lambda p: p.mobile)), "mobile").when(e164.rlike(_any_plan(lambda p: p.fixed)), "fixed").otherwise("")
 
 
 def is_mobile(e164: Column) -> Column:
-    """True for ranges that may be mobile (in some plans fixed and mobile share a range)."""
-    return e164.rlike("|".join(rf"^\+{p.code}(?:{p.mobile})$" for p in PLANS))
+    """True for ranges that may be mobile (in some plans fixed and mobile share a range), but for service numbers among them."""
+    return e164.rlike(_any_plan(lambda p: p.mobile)) & ~e164.rlike(_any_plan(lambda p: "|".join(p.service.values())))
 
 
 def format_international(e164: Column) -> Column:
     """Spaced display form of an E.164 number; '' stays ''."""
-    out = e164
-    for plan in PLANS:
-        for pattern, shown in plan.groups:
-            out = F.regexp_replace(out, pattern, shown)
-    return out
+    own = {p.code: p for p in PLANS if len(p.groups) > 1 or "$2" in p.groups[0][1]}
+
+    def shown(code: Column, _: Column) -> Column:
+        plain = F.concat(F.lit("+"), code, F.lit(" "), F.substring(e164, F.length(code) + 2, F.length(e164)))
+        out = F.when(code.isNull(), e164)
+        for c, plan in own.items():
+            grouped = e164
+            for pattern, form in plan.groups:
+                grouped = F.regexp_replace(grouped, pattern, form)
+            out = out.when(code == c, grouped)
+        return out.otherwise(plain)
+
+    return _by_code({p.code: p.region for p in PLANS}, F.substring(e164, 2, 3), shown)
 
 
 def phone_candidates(text: Column) -> Column:

@@ -6,6 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+
+def behind(df: DataFrame, *before: Column, order: str = "ord") -> Column:
+    """The order column behind other numbers, as an array: arrays compare place by place, so no number needs room within another."""
+    own = F.col(order) if dict(df.dtypes)[order].startswith("array") else F.array(F.col(order).cast("bigint"))
+    return F.concat(F.array(*[c.cast("bigint") for c in before]), own)
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int | Column,
                   rank: str | None = None) -> DataFrame:
     """Keep the first ``n`` rows of every group, in two exact rounds.

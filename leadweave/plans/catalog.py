@@ -473,27 +473,33 @@ def cap_per_source(spark, sf):
 @query
 def union_of_sources(spark, sf):
     return union_sources(X.searches(spark, sf), X.scan_inputs(spark, sf)).select(
-        "search_id", "ord", "source", *EXPORT_COLUMNS)
+        "search_id", _shown_place(), "source", *EXPORT_COLUMNS)
 
 
 QUERIES["union_sources"] = QUERIES.pop("union_of_sources")
 
 
+def _shown_place():
+    return F.array_join("ord", ".").alias("ord")
+
+
 def _engine_hits(spark, sf):
-    return with_canonical_url(X.hits(spark, sf), "url", "url").select("search_id", "engine", "ord", "url")
+    """Hits in the order of pages with very large ids, and of places on them."""
+    page = (F.expr(f"ord div 10 * {X.PAGE_STEP}"), F.col("ord") % 10)
+    return with_canonical_url(X.hits(spark, sf), "url", "url").select("search_id", "engine", F.array(*page).alias("ord"), "url")
 
 
 @query
 def ordered_distinct_urls(spark, sf):
     return web.ordered_distinct_urls(_engine_hits(spark, sf), X.searches(spark, sf)).select(
-        "search_id", "ord", "url")
+        "search_id", _shown_place(), "url")
 
 
 @query
 def source_cascade(spark, sf):
     limits = X.searches(spark, sf)
     used = web.source_cascade(_engine_hits(spark, sf), limits)
-    return web.ordered_distinct_urls(used, limits).select("search_id", "ord", "url")
+    return web.ordered_distinct_urls(used, limits).select("search_id", _shown_place(), "url")
 
 
 # --- text mining -----------------------------------------------------------------------------

@@ -15,7 +15,10 @@ STORE_NOW = "2024-03-01 00:00:00"
 BATCH_NOW = "2024-03-02 00:00:00"
 #: starts of phone numbers of other countries, one of them without a numbering plan here; four digits follow
 FOREIGN = ["+966 50 123 ", "+971 (0)50 123 ", "00965 5012 ", "+962 7 9012 ", "+212 0612 34 ", "+216 20 12 ", "+90 532 123 ",
-           "+44 20 7946 ", "+91 98765 4", "+49 1512 345 ", "+47 2212 ", "+966 99 123 "]
+           "+44 20 7946 ", "+91 98765 4", "+49 1512 345 ", "+47 2212 ", "+966 99 123 ",
+           "+44 800 123 ", "+971 800 ", "+966 9200 1", "+49 180 5", "+33 (0)800 12", "+971 800 1"]
+#: distance of the ids of stored pages: beyond any room that a number of fixed width would leave
+PAGE_STEP = 10 ** 11
 
 
 def moment(text: str):

@@ -12,7 +12,7 @@ from ..fixed_values import (ABOUT_STEMS, ADDRESS_WORDS, CONTACT_STEMS, DEFAULT_S
 from ..functions.phones import PLANS
 from ..schema import EXPORT_COLUMNS, LEAD_COLUMNS, TEXT_COLUMNS
 from .catalog import DIRECTORY, LOOKUP_KEY
-from .fixtures import AS_OF, BATCH_NOW, FOREIGN, STORE_NOW
+from .fixtures import AS_OF, BATCH_NOW, FOREIGN, PAGE_STEP, STORE_NOW
 
 
 def lit(s: str) -> str:
@@ -128,7 +128,7 @@ def _foreign(n: str, prefix: str, when: str) -> str:
     whens = []
     for p in PLANS:
         if p.region not in ("EG", "US"):
-            form = f"({'|'.join(x for x in (p.mobile, p.fixed) if x)})"
+            form = f"({'|'.join(x for x in (p.mobile, p.fixed, *p.service.values()) if x)})"
             form = f"^{prefix}{p.code}{p.trunk and p.trunk + '?'}{form}$"
             whens.append(f"WHEN {when} AND regexp_matches({n}, '{form}') THEN '+{p.code}' || regexp_extract({n}, '{form}', 1)")
     whens.append(f"WHEN {when} AND regexp_matches({n}, '^{prefix}[1-9][0-9]{{7,14}}$') AND NOT regexp_matches({n}, "
@@ -153,7 +153,8 @@ def sql_e164(x: str) -> str:
       ELSE '' END"""
 
 
-MOBILE = "regexp_matches(e164, '" + "|".join(rf"^\+{p.code}(?:{p.mobile})$" for p in PLANS) + "')"
+MOBILE = ("(regexp_matches(e164, '" + "|".join(rf"^\+{p.code}(?:{p.mobile})$" for p in PLANS) + "') AND NOT regexp_matches(e164, '"
+          + "|".join(rf"^\+{p.code}(?:{x})$" for p in PLANS for x in p.service.values()) + "'))")
 
 
 def industry_cte(name: str, src: str, key: str, text: str) -> str:
@@ -836,21 +837,22 @@ def sql() -> dict[str, str]:
     q["cap_per_source"] = """SELECT search_id, source, ord FROM (SELECT h.search_id, h.source, h.ord, s.lim FROM fx_hits_raw h
         JOIN fx_searches s USING (search_id)) QUALIFY row_number() OVER (PARTITION BY search_id, source ORDER BY ord) <= coalesce(lim, 1000000000)"""
 
-    q["union_sources"] = f"SELECT search_id, ord, source, {EXPORT} FROM all_found"
-    q["ordered_distinct_urls"] = """SELECT search_id, ord, url FROM (SELECT b.search_id, b.url, min(b.ord) AS ord, any_value(s.lim) AS lim
-        FROM fx_business b JOIN fx_searches s USING (search_id) GROUP BY ALL)
-        QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY ord) <= coalesce(lim, 1000000000)"""
+    q["union_sources"] = f"SELECT search_id, (ord // 1000000000000) || '.' || (ord % 1000000000000) AS ord, source, {EXPORT} FROM all_found"
+    place = f"(ord // 10 * {PAGE_STEP}) || '.' || (ord % 10)"
+    q["ordered_distinct_urls"] = f"""SELECT search_id, {place} AS ord, url FROM (SELECT b.search_id, b.url, min(b.ord) AS ord, min(b.ord) AS first_ord, any_value(s.lim) AS lim
+        FROM fx_business b JOIN fx_searches s USING (search_id) GROUP BY b.search_id, b.url)
+        QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY first_ord) <= coalesce(lim, 1000000000)"""
     junk = " OR ".join(f"contains({sql_netloc('url')}, {lit(j)})" for j in JUNK_HOST_FRAGMENTS)
     q["source_cascade"] = f"""WITH given AS (SELECT * FROM (SELECT h.search_id, h.engine, h.url, s.lim, min(h.ord) AS ord FROM fx_hits h
           JOIN fx_searches s USING (search_id) GROUP BY ALL)
           QUALIFY row_number() OVER (PARTITION BY search_id, engine ORDER BY ord) <= coalesce(lim, 1000000000)),
         sizes AS (SELECT search_id, any_value(lim) AS lim, count(DISTINCT url) FILTER (WHERE engine = 0) AS n1,
           count(DISTINCT url) FILTER (WHERE engine <= 1) AS n12 FROM given GROUP BY search_id),
-        used AS (SELECT g.search_id, g.lim, g.url, min(g.engine * 10000000000 + g.ord) AS ord FROM given g JOIN sizes z USING (search_id)
+        used AS (SELECT g.search_id, g.lim, g.url, min((g.engine, g.ord)) AS o FROM given g JOIN sizes z USING (search_id)
           WHERE g.engine = 0 OR (g.engine = 1 AND z.n1 < z.lim // 2)
              OR (g.engine = 2 AND (CASE WHEN z.n1 < z.lim // 2 THEN z.n12 ELSE z.n1 END) < z.lim // 4) GROUP BY ALL)
-        SELECT search_id, ord, url FROM used WHERE NOT ({junk})
-        QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY ord) <= coalesce(lim, 1000000000)"""
+        SELECT search_id, engine || '.' || {place} AS ord, url FROM (SELECT search_id, lim, url, o[1] AS engine, o[2] AS ord, o[2] AS used_ord FROM used) WHERE NOT ({junk})
+        QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY (engine, used_ord)) <= coalesce(lim, 1000000000)"""
 
     q["clean_text_table"] = f"SELECT doc_id, {sql_clean('text')} AS text FROM documents"
     urls = "(SELECT 'page' AS src, page_id AS id, url AS raw FROM pages UNION ALL SELECT 'lead', ord, website FROM fx_raw)"

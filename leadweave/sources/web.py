@@ -9,12 +9,9 @@ from ..functions.pages import anchors, attribute
 from ..functions.text import first_filled
 from ..functions.urls import is_business_host, with_canonical_url
 from ..operators.scoring import grade_leads
-from ..operators.topk import capped, top_per_group
+from ..operators.topk import behind, capped, top_per_group
 from ..schema import conform
 
-#: room for the positions of one engine in the shared order of a search
-ENGINE_STRIDE = 10 ** 10
-
 
 _RESULT_CLASS = rf"""(?is)^<a\b[^<>]*\sclass\s*=\s*["'](?:[^"']*\s)?{RESULT_LINK_CLASS}(?:\s[^"']*)?["']"""
 _RESULT_TITLE = (rf"""(?is)(<li\b[^<>]*\sclass\s*=\s*["'](?:[^"']*\s)?{RESULT_BLOCK_CLASS}(?:\s[^"']*)?["'][^<>]*>"""
@@ -93,7 +90,7 @@ def source_cascade(df: DataFrame, limits: DataFrame) -> DataFrame:
 
     The second engine is asked only if the first gave fewer than limit/2 URLs, the third only if
     the running distinct list is shorter than limit/4. Each engine itself returns at most
-    ``limit`` distinct URLs. A search without a limit asks all and takes all.
+    ``limit`` distinct URLs. A search without a limit asks all and takes all. The new ``ord`` is the engine, then the place in it.
     """
     given = df.groupBy("search_id", "engine", "url").agg(F.min("ord").alias("ord"))
     given = given.join(limits.select("search_id", "limit"), "search_id")
@@ -108,7 +105,7 @@ def source_cascade(df: DataFrame, limits: DataFrame) -> DataFrame:
     second = F.col("limit").isNull() | (F.col("n1") < F.floor(F.col("limit") / 2))
     third = second & (F.col("limit").isNull() | (F.col("n12") < F.floor(F.col("limit") / 4)))
     return gated.filter((F.col("engine") == 0) | ((F.col("engine") == 1) & second) | third).select(
-        "search_id", "engine", (F.col("engine") * ENGINE_STRIDE + F.col("ord")).alias("ord"), "url")
+        "search_id", "engine", behind(gated, F.col("engine")).alias("ord"), "url")
 
 
 def search_hits_to_leads(hits: DataFrame, searches: DataFrame) -> DataFrame:

@@ -126,6 +126,18 @@ def test_normalize_phone(spark):
     assert evaluate(spark, N.normalize_phone, list(cases)) == list(cases.values())
 
 
+def test_service_numbers_have_a_kind_and_are_no_mobiles(spark):
+    kinds = {"+44 800 123 4567": ("+448001234567", "toll_free"), "+971 800 1234": ("+9718001234", "toll_free"), "+966 9200 12345": ("+966920012345", "shared_cost"),
+             "00971 600 512345": ("+971600512345", "uan"), "+48 800 123 456": ("+48800123456", "toll_free"), "+48 512 345 678": ("+48512345678", "mobile"),
+             "+91 1800 123 4567": ("+9118001234567", "toll_free"), "0800 1234567": ("+208001234567", "toll_free"), "+1 800 555 0147": ("+18005550147", "toll_free"),
+             "+49 900 1234567": ("+499001234567", "premium"), "+20 2 25760000": ("+20225760000", "fixed"), "+47 2212 3456": ("+4722123456", ""), "+966 9200 1234": ("", "")}
+    assert evaluate(spark, lambda c: F.struct(N.normalize_phone(c), N.phone_kind(N.normalize_phone(c))), list(kinds)) == [tuple(v) for v in kinds.values()]
+    best = evaluate(spark, lambda c: N.best_phones(N.phone_candidates(c)), ["Call +48 800 123 456 or +48 512 345 678"])
+    assert best == [["+48512345678", "+48800123456"]]
+    shown = {"+448001234567": "+44 8001234567", "+966920012345": "+966 920012345", "+208001234567": "+20 800 123 4567", "+4722123456": "+4722123456", "+1": "+1"}
+    assert evaluate(spark, N.format_international, list(shown)) == list(shown.values())
+
+
 def test_phone_display_and_preference(spark):
     assert evaluate(spark, N.format_international, ["+201001234567", "+20225760000", "+12125550147", ""]) == [
         "+20 100 123 4567", "+20 2 25760000", "+1 212-555-0147", ""]

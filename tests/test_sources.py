@@ -277,6 +277,21 @@ def test_stored_pages_give_what_ready_hits_give(spark):
     assert [r.website for r in both[0].orderBy("ord").collect()] == ["https://a.com", "https://b.com", "https://eta.com", "https://zeta.com"]
 
 
+@pytest.mark.parametrize("step", [1, 10 ** 5, 10 ** 7, 10 ** 12, 10 ** 17])
+def test_order_holds_whatever_the_ids_of_stored_pages_are(spark, step):
+    asked = with_defaults(spark.createDataFrame([(1, "q", "", "", "Cairo", "", "", None, None, None)], X.default_searches(spark).schema))
+    link = '<a class="result__a" href="https://{0}.com">{0}</a>'
+    results = spark.createDataFrame([(1, 3 * step, "google", '<a href="/url?q=https%3A%2F%2Fg3.com&amp;sa=U">c</a>'),
+                                     (1, 50 * step, "duckduckgo", link.format("d50a") + link.format("d50b")), (1, 7 * step, "duckduckgo", link.format("d7"))],
+                                    "search_id long, page long, engine string, html string")
+    listing = '<div class="listing"><h3><a href="/x">{0}</a></h3><a class="website" href="https://{0}.com">w</a></div>'
+    listings = spark.createDataFrame([(1, 2 * step, "hotfrog", listing.format("h2")), (1, 90 * step, "yellowpages", listing.format("y90") + listing.format("z90")),
+                                      (1, 8 * step, "yellowpages", listing.format("y8"))], "search_id long, page long, directory string, html string")
+    found = union_sources(asked, {"result_pages": results, "listing_pages": listings}, ["search", "directories"])
+    assert [r.website.split("/")[2].split(".")[0] for r in found.orderBy("ord").collect()] == ["d7", "d50a", "d50b", "g3", "y8", "y90", "z90", "h2"]
+    assert found.select("ord").distinct().count() == 8
+
+
 def test_each_json_file_has_its_own_form(spark, tmp_path):
     docs = [{"query": f"q{i}", "city": "x, y"} for i in range(12)]
     (tmp_path / "a b[1].json").write_text(json.dumps(docs[0], indent=2))
