@@ -164,7 +164,8 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, id_column: str = "doc_id",
     once = table(_repeated(texts.mapInArrow(_first_level(n, k), "h long, code long"), "h"), "windows")
     bits = spark.sparkContext.broadcast(bit_filter(once, "h"))
     near = texts.mapInArrow(_second_level(n, k, bits), "h long, key long, place int, left long, right long")
-    near = table(near.join(once, "h", "left_semi").distinct(), "places")
+    # rows of copies stay: to drop them here would keep all rows of a frequent hash in one task
+    near = table(near.join(once, "h", "left_semi"), "places")
     sides = near.select("key", F.explode(F.array(
         F.struct(F.col("left").alias("h"), (F.col("place") * 2).alias("side")),
         F.struct(F.col("right").alias("h"), (F.col("place") * 2 + 1).alias("side")))).alias("s")).select("key", "s.h", "s.side").where("h is not null")
