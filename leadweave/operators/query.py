@@ -30,8 +30,10 @@ def lookup_lead(df: DataFrame, lead_id: str) -> DataFrame:
 
 
 # --- predicates ------------------------------------------------------------------------------
-def same_text(c: str, value: str) -> Column:
-    return F.lower(c) == value.lower()
+def same_text(df: DataFrame, c: str, value: str) -> Column:
+    """Equality in any case; on the stored lower-case column if the table brings it, which the scan can filter by."""
+    folded = f"{c}_folded"
+    return (F.col(folded) if folded in df.columns else F.lower(c)) == value.lower()
 
 
 def contains_text(c: str, value: str) -> Column:
@@ -40,11 +42,11 @@ def contains_text(c: str, value: str) -> Column:
 
 
 def filter_industry(df: DataFrame, value: str) -> DataFrame:
-    return df.filter(same_text("industry", value) | same_text("category", value)) if value else df
+    return df.filter(same_text(df, "industry", value) | same_text(df, "category", value)) if value else df
 
 
 def filter_equal(df: DataFrame, c: str, value: str) -> DataFrame:
-    return df.filter(same_text(c, value)) if value else df
+    return df.filter(same_text(df, c, value)) if value else df
 
 
 def filter_source(df: DataFrame, value: str) -> DataFrame:
@@ -70,7 +72,8 @@ def search_leads(df: DataFrame, *, industry: str = "", city: str = "", governora
     out = filter_industry(out, industry)
     for c, value in (("city", city), ("governorate", governorate), ("country", country)):
         out = filter_equal(out, c, value)
-    return rank_leads(filter_keyword(filter_source(out, source), keyword), limit)
+    out = filter_keyword(filter_source(out, source), keyword)
+    return rank_leads(out.drop(*[c for c in out.columns if c.endswith("_folded")]), limit)
 
 
 def no_email() -> Column:

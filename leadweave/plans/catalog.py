@@ -18,6 +18,7 @@ from ..sources import directories, osm, sinks, web
 from ..sources.pagestore import write_page_store
 from ..sources.registry import union_sources
 from ..sources.searches import load_searches
+from ..streaming import ticks
 from ..streaming.upsert import stream_upsert
 from . import fixtures as X, report, scan
 
@@ -58,7 +59,9 @@ def scan_leads(spark, sf):
 @query
 def lookup_lead(spark, sf):
     import hashlib
-    return _shown(Q.lookup_lead(X.leads(spark, sf), hashlib.md5(LOOKUP_KEY.encode()).hexdigest()))
+    root = scratch_dir(spark, "lookup")
+    sinks.write_snapshot(X.leads(spark, sf), root, 0)
+    return _shown(sinks.read_lead(spark, root, 0, hashlib.md5(LOOKUP_KEY.encode()).hexdigest()))
 
 
 @query
@@ -187,7 +190,9 @@ def filter_industry(spark, sf):
 
 @query
 def filter_city(spark, sf):
-    return _shown(Q.filter_equal(X.leads(spark, sf), "city", "nation_3"))
+    root = scratch_dir(spark, "folded")
+    sinks.write_snapshot(X.leads(spark, sf), root, 0)
+    return _shown(Q.filter_equal(sinks.read_snapshot(spark, root, 0, folded=True), "city", "nation_3"))
 
 
 @query
@@ -655,3 +660,25 @@ def stream_upsert_ticks(spark, sf):
 
 
 QUERIES["stream_upsert"] = QUERIES.pop("stream_upsert_ticks")
+
+SCAN_TICKS = 2
+
+
+def run_scan_ticks(spark, sf, root: str) -> int:
+    """Land the saved searches as requests, tick by tick, and run each tick as it comes."""
+    store, _ = X.store_and_batch(spark, sf)
+    sinks.write_snapshot(store, f"{root}/leads", 0, buckets=8)
+    requests = X.searches(spark, sf).drop("place").withColumn("requested_at", X.moment(X.BATCH_NOW))
+    version = 0
+    for tick in range(SCAN_TICKS):
+        requests.filter(F.col("search_id") % SCAN_TICKS == tick).select(*ticks.REQUEST_SCHEMA.fieldNames()).write.parquet(f"{root}/requests/tick={tick}")
+        version = ticks.stream_scans(spark, f"{root}/requests/*", X.scan_inputs(spark, sf), root, f"{root}/checkpoint")
+    return version
+
+
+@query
+def stream_tick_report(spark, sf):
+    """The report that the last of some scheduled scans leaves behind."""
+    root = scratch_dir(spark, "ticks")
+    version = run_scan_ticks(spark, sf, root)
+    return spark.read.text(f"{ticks.report_path(root, version)}/json")

@@ -491,6 +491,9 @@ cte("scan_final", f"""SELECT *, TIMESTAMP '{BATCH_NOW}' AS discovered_at, TIMEST
 upsert_ctes("sc", "st_snap", "scan_final", BATCH_NOW, "{'s': search_id, 'o': ord}")
 CTES["sc_all"] = CTES["sc_all"].replace("SELECT NULL AS ord_", "SELECT CAST(NULL AS STRUCT(s BIGINT, o BIGINT)) AS ord_")
 
+upsert_ctes("rt", "st_snap", "scan_final", BATCH_NOW, "{'t': search_id % 2, 's': search_id, 'o': ord}")
+CTES["rt_all"] = CTES["rt_all"].replace("SELECT NULL AS ord_", "SELECT CAST(NULL AS STRUCT(t BIGINT, s BIGINT, o BIGINT)) AS ord_")
+
 # --- result and listing pages ----------------------------------------------------------------
 cte("result_pages", """
   SELECT page, engine, '<html><body><a href="https://www.google.com/preferences">Settings</a>' || string_agg(
@@ -889,6 +892,8 @@ def sql() -> dict[str, str]:
         for c in EXPORT_COLUMNS)} FROM enr_graded"""
     q["upsert_leads"] = f"SELECT {SHOWN} FROM up_snap"
     q["stream_upsert"] = f"SELECT {SHOWN} FROM tk_snap"
+    after = f"WITH r AS ({_report(1)}) {_report_json(1)}".replace("Weekly", "Daily").replace("fx_leads", "rt_snap")
+    q["stream_tick_report"] = after.replace(f"TIMESTAMP '{AS_OF}'", f"TIMESTAMP '{BATCH_NOW}'")
     return {k: _merge_with(v) for k, v in q.items()}
 
 

@@ -9,7 +9,13 @@ from pyspark.sql.types import StructType
 
 from ..operators.resolve import upsert_leads
 from ..operators.scoring import key_leads
-from ..sources.sinks import bucket_of, read_snapshot, write_snapshot
+from ..sources.sinks import bucket_of, buckets_of, read_snapshot, write_snapshot
+
+
+def touched_buckets(batch: DataFrame, root: str) -> list[int]:
+    """Buckets of the batch's keys: at most as many as the table has."""
+    buckets = buckets_of(batch.sparkSession, root)
+    return [r["b"] for r in key_leads(batch).select(bucket_of(buckets).alias("b")).distinct().collect()]
 
 
 def upsert_batch(spark: SparkSession, root: str, now: Column, order: Sequence[str],
@@ -20,8 +26,7 @@ def upsert_batch(spark: SparkSession, root: str, now: Column, order: Sequence[st
     same snapshot and replaces the same output: a replay changes nothing.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        # at most as many rows as there are buckets
-        touched = [r["b"] for r in key_leads(batch).select(bucket_of().alias("b")).distinct().collect()]
+        touched = touched_buckets(batch, root)
         store = read_snapshot(spark, root, batch_id, touched)
         write_snapshot(upsert_leads(store, batch, now, order), root, batch_id + 1, touched)
         if written is not None:

@@ -1,5 +1,6 @@
 import glob
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -7,11 +8,13 @@ from helpers import bag, leads
 from leadweave.fixed_values import LEAD_COLUMNS
 from leadweave.operators import query as Q, resolve as R
 from leadweave.plans import fixtures as X, report
-from leadweave.plans.catalog import run_ticks
+from leadweave.plans.catalog import run_scan_ticks, run_ticks
 from leadweave.schema import EXPORT_COLUMNS
 from leadweave.session import scratch_dir
 from leadweave.sources import sinks
+from leadweave.streaming import ticks
 from leadweave.streaming.upsert import stream_upsert, upsert_batch
+from test_plans import plan
 
 
 def test_stream_equals_batch_and_replay_changes_nothing(spark, sf):
@@ -100,3 +103,36 @@ def test_empty_table(spark):
     df = X.conform(spark.createDataFrame([], "ord long"))
     assert Q.avg_score(df).first().avg_score == 0.0
     assert Q.counts_since(df, X.moment(X.AS_OF)).first().asDict()["total"] == 0
+
+
+def test_a_scan_tick_is_safe_to_run_again(spark, sf):
+    root = scratch_dir(spark, "ticks")
+    version = run_scan_ticks(spark, sf, root)
+    read = lambda: (bag(sinks.read_snapshot(spark, f"{root}/leads", version), *LEAD_COLUMNS), ticks.read_history(spark, root, version).collect(),
+                    spark.read.text(f"{ticks.report_path(root, version)}/text").collect(), spark.read.text(f"{ticks.report_path(root, version)}/json").collect())
+    leads, history, lines, doc = read()
+    assert version == 2 and [r.searches for r in history] == sorted((r.searches for r in history), reverse=True) or len(history) == 2
+    assert all(r.inserted + r.updated + r.unchanged == r.discovered > 0 and r.started_at.startswith("2024-03-02") for r in history)
+    assert lines[0].value.endswith("Daily Report") and '"period_label":"Daily"' in doc[0].value
+    # the last tick once more, as after a failure between write and commit
+    last = spark.read.schema(ticks.REQUEST_SCHEMA).parquet(f"{root}/requests/tick=1")
+    ticks.scan_tick(root, X.scan_inputs(spark, sf))(last, 1)
+    assert read() == (leads, history, lines, doc)
+
+
+def test_a_lead_is_read_from_its_own_bucket(spark, sf):
+    root = scratch_dir(spark, "lookup")
+    store, _ = X.store_and_batch(spark, sf)
+    sinks.write_snapshot(store, root, 0, buckets=16)
+    assert sinks.buckets_of(spark, root) == 16
+    one = store.filter("city <> ''").orderBy("dedup_key").first()
+    found = sinks.read_lead(spark, root, 0, one.lead_id)
+    assert [r.dedup_key for r in found.collect()] == [one.dedup_key]
+    assert len({f.split("bucket=")[1].split("/")[0] for f in found.inputFiles()}) == 1
+    assert sinks.read_lead(spark, root, 0, "none").collect() == []
+    folded = sinks.read_snapshot(spark, root, 0, folded=True)
+    text = plan(Q.filter_equal(folded, "city", "CAIRO"), "formatted")
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(city_folded,cairo\)", text)
+    city = one.city.upper()
+    assert bag(Q.search_leads(folded, city=city), "lead_id") == bag(Q.search_leads(store, city=city), "lead_id") != []
+    assert Q.search_leads(folded, city=city, industry="x").columns == sinks.read_snapshot(spark, root, 0).columns
