@@ -23,7 +23,7 @@ WORD = "[A-Za-z\\u00C0-\\u00FF]+"
 #: signs of the shortest and the longest gram, and words of a gram above which it is extended
 LEAST, MOST, FREQUENT = 2, 4, 200
 BEGIN, END = "^", "$"
-TOKENS = "word string, length int, bound int, place int, gram string"
+TOKENS = "word string, length int, letters long, bound int, place int, gram string"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -76,6 +76,14 @@ def affected(grams: list[str]) -> int:
     return int(np.cumsum(count)[1:len(grams) + LEAST - 2].max(initial=1))
 
 
+def letters(word: str) -> int:
+    """A bit for each code point (modulo 64) that occurs an odd number of times: an edit turns one of them, a replacement two at most."""
+    out = 0
+    for c in word:
+        out ^= 1 << (ord(c) % 64)
+    return out - (out >> 63 << 64)
+
+
 def _tokens(shared):
     def run(batches):
         frequent = shared.value
@@ -86,10 +94,11 @@ def _tokens(shared):
                 for w in words[begin:begin + 2000]:
                     grams = decompose(w, frequent)
                     bound = affected(grams)
-                    out += [(w, len(w), bound, p, g) for p, g in enumerate(grams)]
-                columns = list(zip(*out)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()))],
-                                                 names=["word", "length", "bound", "place", "gram"])
+                    parity = letters(w)
+                    out += [(w, len(w), parity, bound, p, g) for p, g in enumerate(grams)]
+                columns = list(zip(*out)) or [[]] * 6
+                types = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in TOKENS.split(", ")])
     return run
 
 
@@ -110,9 +119,11 @@ def near_pairs(words: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     # an edit touches at most MOST grams: the constant limit cuts the rows before they are shuffled
     first = first.where((F.col("rank") <= MOST + 1) & (F.col("rank") <= F.col("bound") + 1))
     ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("place").alias("at")), F.struct(F.lit(1).alias("side"), (F.col("length") - F.col("place")).alias("at"))))
-    index = table(first.select("word", "length", "gram", ends.alias("e")).select("word", "length", "gram", "e.side", "e.at"), "lists")
-    a, b = (index.select("gram", "side", "at", F.col("word").alias(x), F.col("length").alias(f"{x}_length")) for x in "ab")
-    near = a.join(b, ["gram", "side", "at"]).where("a < b and abs(a_length - b_length) <= 1 and levenshtein(a, b, 1) = 1")
+    index = table(first.select("word", "length", "letters", "gram", ends.alias("e")).select("word", "length", "letters", "gram", "e.side", "e.at"), "lists")
+    a, b = (index.select("gram", "side", "at", F.col("word").alias(x), F.col("length").alias(f"{x}_length"), F.col("letters").alias(f"{x}_letters")) for x in "ab")
+    # lengths and letters refuse most pairs of a list before their signs are compared
+    likely = "abs(a_length - b_length) <= 1 and bit_count(a_letters ^ b_letters) <= 2 - abs(a_length - b_length)"
+    near = a.join(b, ["gram", "side", "at"]).where(f"a < b and {likely} and levenshtein(a, b, 1) = 1")
     return table(near.select("a", "b").distinct(), "near")
 
 
