@@ -127,35 +127,46 @@ def geocode_places(df: DataFrame, gazetteer: DataFrame, place: str) -> DataFrame
             .drop("_place", "_country", "_name"))
 
 
-def _cell(c: Column, degrees: float) -> Column:
-    return F.floor(c / degrees).cast("int")
+#: widths of grid cells in degrees; each goes round the globe a whole number of times
+CELLS = [0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 22.5, 45.0, 90.0, 180.0, 360.0]
+#: elements of a cell beyond which it is split
+CROWDED = 50_000
 
 
-def near_places(elements: DataFrame, places: DataFrame, degrees: float = 0.25,
-                salts: int = 16) -> DataFrame:
+def _cell(c: Column, width: Column) -> Column:
+    return F.floor(c / width).cast("int")
+
+
+def near_places(elements: DataFrame, places: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """Pairs of (place, element) within the place's own radius, without a cross join.
 
-    ``places`` has lat, lon and radius_m as p_lat, p_lon, p_radius_m. Each place is spread over
-    the grid cells its circle can touch and every element has one cell, so it is an equi-join on
-    the cell. A crowded cell is split: elements take one of ``salts`` sub-cells and places are
-    copied to all of them.
+    ``places`` has lat, lon and radius_m as p_lat, p_lon, p_radius_m. Cells of a grid come in several widths. A place takes the smallest
+    that its circle is no wider than half of, so it touches at most nine cells whatever its radius; an element has one cell of each width
+    that some place takes (eleven at most, read from the places first). So it is an equi-join on the cell. Only a crowded cell is
+    split, by its count: its elements take one of its parts and its places are copied to all of them.
     """
     dlat = F.col("p_radius_m") / METRES_PER_DEGREE * 1.001
     widest = F.least(F.abs("p_lat") + dlat, F.lit(89.0))
     dlon = F.least(dlat / F.cos(F.radians(widest)), F.lit(180.0))
-    columns_round = math.ceil(360 / degrees)
-    spread = (places
-              .withColumn("_y", F.explode(F.sequence(_cell(F.col("p_lat") - dlat, degrees),
-                                                     _cell(F.col("p_lat") + dlat, degrees))))
+    across = 2 * F.greatest(dlat, dlon)
+    width = F.coalesce(*[F.when(across <= w, F.lit(w)) for w in CELLS], F.lit(CELLS[-1]))
+    placed = places.withColumns({"_dlat": dlat, "_dlon": dlon, "_w": width})
+    used = sorted(r["_w"] for r in placed.select("_w").distinct().collect())
+    w = F.col("_w")
+    spread = (placed
+              .withColumn("_y", F.explode(F.sequence(_cell(F.col("p_lat") - F.col("_dlat"), w), _cell(F.col("p_lat") + F.col("_dlat"), w))))
               .withColumn("_x", F.explode(F.array_distinct(F.transform(
-                  F.sequence(_cell(F.col("p_lon") - dlon, degrees),
-                             _cell(F.col("p_lon") + dlon, degrees)),
-                  lambda x: F.pmod(x, F.lit(columns_round))))))
-              .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    celled = (elements.withColumn("_y", _cell(F.col("lat"), degrees))
-              .withColumn("_x", F.pmod(_cell(F.col("lon"), degrees), F.lit(columns_round)))
-              .withColumn("_s", F.pmod(F.xxhash64("lat", "lon", "ord"), F.lit(salts)).cast("int")))
-    near = celled.join(spread, ["_y", "_x", "_s"]).drop("_y", "_x", "_s")
+                  F.sequence(_cell(F.col("p_lon") - F.col("_dlon"), w), _cell(F.col("p_lon") + F.col("_dlon"), w)),
+                  lambda x: F.pmod(x, (F.lit(360.0) / w).cast("int")))))).drop("_dlat", "_dlon"))
+    widths = F.array(*[F.lit(u) for u in used]) if used else F.array().cast("array<double>")
+    celled = (elements.withColumn("_w", F.explode(widths)).withColumn("_y", _cell(F.col("lat"), w))
+              .withColumn("_x", F.pmod(_cell(F.col("lon"), w), (F.lit(360.0) / w).cast("int"))))
+    cell = ["_w", "_y", "_x"]
+    full = celled.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / F.lit(crowded)).cast("int").alias("_parts")).filter("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    celled = celled.join(full, cell, "left").withColumn("_s", F.pmod(F.xxhash64("lat", "lon", "ord"), parts).cast("int")).drop("_parts")
+    spread = spread.join(full, cell, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    near = celled.join(spread, [*cell, "_s"]).drop(*cell, "_s")
     metres = haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))
     return near.withColumn("metres", metres).filter(F.col("metres") <= F.col("p_radius_m"))
 

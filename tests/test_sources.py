@@ -64,6 +64,10 @@ def test_near_places_equals_brute_force(spark):
     pl = spark.createDataFrame(places, "pid int, p_lat double, p_lon double, p_radius_m double")
     want = sorted((p[0], e[0]) for p in places for e in pts if metres(p[1], p[2], e[1], e[2]) <= p[3])
     assert len(want) > 300 and bag(osm.near_places(el, pl), "pid", "ord") == want
+    wide = [*places, (4, 0.0, -179.0, 1_000_000.0), (5, 85.0, 10.0, 3_000_000.0), (6, 0.0, 0.0, 30_000_000.0), (7, -89.9, 100.0, 500_000.0)]
+    want = sorted((p[0], e[0]) for p in wide for e in pts if metres(p[1], p[2], e[1], e[2]) <= p[3])
+    pl = spark.createDataFrame(wide, "pid int, p_lat double, p_lon double, p_radius_m double")
+    assert bag(osm.near_places(el, pl, crowded=20), "pid", "ord") == want and bag(osm.near_places(el, pl.filter("false")), "pid") == []
 
 
 def test_within_radius_equals_brute_force(spark, sf):
