@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, functions as F
 
 from ..fixed_values import (ABOUT_STEMS, ADDRESS_WORDS, BOILERPLATE_STARTS, CONTACT_STEMS,
@@ -24,14 +26,17 @@ def _element(tag: str) -> str:
     return rf"<{tag}\b[^<>]*>([^<]*+(?:<(?!/?{tag}\b)[^<]*+)*+)</{tag}"
 
 
-def enclosed(html: Column, opening: str) -> tuple[Column, Column]:
-    """(whether there is one, content) of the first element whose opening tag matches; elements of its name inside it belong to it.
+def opening_pattern(opening: str) -> str:
+    """Pattern of an opening tag, whose name is its first group, of an element that can have content."""
+    return f"(?is)<{_VOID}{opening[1:]}"
+
+
+def enclosed(html: Column, opening: Column) -> Column:
+    """Content of the first element whose opening tag matches, '' if there is none; elements of its name inside it belong to it.
 
     From that tag on the text is split at the tags of its name, once, and the element ends where as many have been closed as
     opened; a paragraph also where the next begins. Empty elements such as <img> are none, nor is one that is never closed.
     """
-    opening = f"(?is)<{_VOID}{opening[1:]}"
-
     def balanced(rest: Column) -> Column:
         name = F.lower(F.regexp_extract(rest, "^<([a-zA-Z0-9]+)", 1))
 
@@ -50,9 +55,8 @@ def enclosed(html: Column, opening: str) -> tuple[Column, Column]:
         split = lambda name: bind(F.split(rest, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"[\s/>])"))), lambda tags: walk(tags, name == "p"))
         return bind(name, split)
 
-    at = F.regexp_instr(html, F.lit(opening))
-    content = bind(at, lambda at: F.when(at > 0, bind(F.substring(html, at, F.length(html)), balanced)).otherwise(""))
-    return html.rlike(opening), content
+    at = F.regexp_instr(html, opening)
+    return bind(at, lambda at: F.when(at > 0, bind(F.substring(html, at, F.length(html)), balanced)).otherwise(""))
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -133,14 +137,19 @@ _ADDRESS_NODES = [
 ]
 
 
+_ADDRESS_TABLE = json.dumps([{"word": w, "opening": opening_pattern(o)} for w, o in _ADDRESS_NODES])
+
+
 def address_node(html: Column) -> Column:
     """Text of the first address node, '' if there is none; what is hidden, comments and scripts, has no part."""
-    def node(seen: Column, word: str, opening: str) -> Column:
-        text = bind(element_text(enclosed(seen, opening)[1], " "), lambda t: F.when(F.length(t).between(1, 299), t))
-        return F.when(F.contains(F.lower(seen), F.lit(word)), text)
+    table = F.from_json(F.lit(_ADDRESS_TABLE), "array<struct<word:string,opening:string>>")
+
+    def found(seen: Column) -> Column:
+        present = F.filter(table, lambda n: F.contains(F.lower(seen), n["word"]))
+        texts = F.transform(present, lambda n: element_text(enclosed(seen, n["opening"]), " "))
+        return F.coalesce(F.get(F.filter(texts, lambda t: F.length(t).between(1, 299)), F.lit(0)), F.lit(""))
 
-    found = bind(visible_markup(html), lambda seen: F.coalesce(*[node(seen, *n) for n in _ADDRESS_NODES], F.lit("")))
-    return F.when(html.rlike("(?i)address|localbusiness"), found).otherwise("")
+    return F.when(html.rlike("(?i)address|localbusiness"), bind(visible_markup(html), found)).otherwise("")
 
 
 def address_line(text: Column) -> Column:

@@ -13,7 +13,7 @@ from ..functions.urls import domain, with_canonical_url
 from ..operators import enrich, mining as M, query as Q, resolve as R, scoring as S
 from ..operators.topk import top_per_group
 from ..schema import EXPORT_COLUMNS, LEAD_COLUMNS
-from ..session import materialize, scratch_dir
+from ..session import materialize, scratch_dir, spread
 from ..sources import directories, osm, sinks, web
 from ..sources.pagestore import write_page_store
 from ..sources.registry import union_sources
@@ -569,12 +569,13 @@ def extract_social_links(spark, sf):
 
 @query
 def classify_industry(spark, sf):
-    return X.table(spark, sf, "documents").select("doc_id", guess_industry(F.col("text")).alias("industry"))
+    docs = spread(X.table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", guess_industry(F.col("text")).alias("industry"))
 
 
 @query
 def pages_to_text(spark, sf):
-    return X.site_pages(spark, sf).select("page_id", html_to_text(F.col("html")).alias("text"))
+    return spread(X.site_pages(spark, sf)).select("page_id", html_to_text(F.col("html")).alias("text"))
 
 
 @query

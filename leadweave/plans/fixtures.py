@@ -8,6 +8,7 @@ from ..functions.urls import domain, with_canonical_url
 from ..operators.resolve import empty_store, upsert_leads
 from ..operators.scoring import grade_leads, key_leads
 from ..schema import EXPORT_COLUMNS, conform
+from ..session import spread
 from ..sources.searches import default_searches, with_defaults
 
 AS_OF = "2024-02-10 00:00:00"
@@ -220,9 +221,9 @@ def scan_history(spark: SparkSession, sf: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """Everything that may hold e-mails and phones: documents, page HTML, lead contacts."""
-    docs = table(spark, sf, "documents").select(
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select(
         F.lit("document").alias("src"), F.col("doc_id").alias("id"), "text")
-    pages = site_pages(spark, sf).select(F.lit("page").alias("src"), F.col("page_id").alias("id"),
+    pages = spread(site_pages(spark, sf)).select(F.lit("page").alias("src"), F.col("page_id").alias("id"),
                                          F.col("html").alias("text"))
     contacts = raw_leads(spark, sf).select(F.lit("lead").alias("src"), F.col("ord").alias("id"),
                                            F.concat_ws(" ", "email", "phone").alias("text"))

@@ -55,3 +55,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table scan, dealt out over idle cores where it has fewer splits than there are cores.
+
+    For costly row-local work on a small table: a file of one row group is one task, whatever its size. A scan of many splits, as every
+    large table is, stays as it is and moves nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..fixed_values import (CARD_CLASSES, CARD_NAME_CLASSES, CARD_SITE_CLASSES,
                             DIRECTORY_OFFSITE_FRAGMENTS)
 from ..functions.industry import guess_industry
-from ..functions.pages import anchors, attribute, element_text, enclosed
+from ..functions.pages import anchors, attribute, element_text, enclosed, opening_pattern
 from ..functions.text import any_of, clean_text, first_filled
 from ..functions.urls import with_canonical_url
 from ..operators.scoring import grade_leads
@@ -24,7 +24,8 @@ def directory_cards(pages: DataFrame) -> DataFrame:
     opening = rf"(?i)(?=<[a-z0-9]+\b[^<>]*{_classed(CARD_CLASSES)})"
     cards = F.filter(F.split(F.col("html"), opening), lambda s: F.regexp_like(
         s, F.lit("^" + opening)))
-    named, name = enclosed(F.col("_card"), rf"<([a-z0-9]+)\b[^<>]*{_classed(CARD_NAME_CLASSES)}[^<>]*>")
+    name_tag = opening_pattern(rf"<([a-z0-9]+)\b[^<>]*{_classed(CARD_NAME_CLASSES)}[^<>]*>")
+    named, name = F.col("_card").rlike(name_tag), enclosed(F.col("_card"), F.lit(name_tag))
     # if the first has no anchor or end behind it, no later one has; anchors don't nest
     headed = r"(?is)<h3\b[^<>]*>(?:.*?<a\b[^<>]*>(?:(.*?)</a\s*>|.*+)|.*+)"
     site = rf"(?is)<a\b[^<>]*{_classed(CARD_SITE_CLASSES)}[^<>]*>"
