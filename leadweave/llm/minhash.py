@@ -10,7 +10,7 @@
 
 Pairs inside one component can't change the result and are never made, so a group of n copies costs
 about n rows. A pair of similarity 0.85 shares no band with probability (1 - 0.85 ** 5) ** 24 < 1e-6,
-one of 0.80 none of 35 with (1 - 0.80 ** 5) ** 35 < 1e-6; lower thresholds take more bands, and the signature test leaves out pairs only at over six standard deviations below the threshold.
+one of 0.80 none of 35 with (1 - 0.80 ** 5) ** 35 < 1e-6; lower thresholds take more bands, and the signature test leaves out pairs only at over five standard deviations below the threshold, one in thirty million.
 """
 
 from __future__ import annotations
@@ -67,8 +67,8 @@ def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
 
 
 def signature(sets: list[np.ndarray], bands: int = BANDS) -> np.ndarray:
-    """Upper halves of the minima of bands * ROWS hash functions, for each of some non-empty sets."""
-    out = np.empty((len(sets), bands * ROWS), np.uint32)
+    """Upper quarters of the minima of bands * ROWS hash functions, for each of some non-empty sets."""
+    out = np.empty((len(sets), bands * ROWS), np.uint16)
     begin = 0
     while begin < len(sets):  # blocks that stay in the processor's cache
         end, size = begin + 1, len(sets[begin])
@@ -78,7 +78,7 @@ def signature(sets: list[np.ndarray], bands: int = BANDS) -> np.ndarray:
         x = np.concatenate(sets[begin:end])
         at = np.concatenate([[0], np.cumsum([len(s) for s in sets[begin:end]])])[:-1]
         for k in range(bands * ROWS):
-            out[begin:end, k] = np.minimum.reduceat(x * _A[k] + _B[k], at) >> U(32)
+            out[begin:end, k] = np.minimum.reduceat(x * _A[k] + _B[k], at) >> U(48)
         begin = end
     return out
 
@@ -103,7 +103,7 @@ def _signatures(id_column: str, text_column: str, bands: int):
 
 def _bands(classes: DataFrame, bands: int) -> DataFrame:
     """(band, key, rep, sign): one row for each class and band."""
-    width = 4 * ROWS
+    width = 2 * ROWS
     return classes.select("rep", "sign", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda k: F.xxhash64(F.substring(F.col("sign"), k * width + 1, F.lit(width))))).alias("band", "key"))
@@ -114,8 +114,8 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def least_agreement(threshold: float) -> float:
-    """Share of equal minima below which a pair can't be a link, but for more than six deviations."""
-    return threshold - 6.5 * (threshold * (1 - threshold) / (bands_for(round(100 * threshold)) * ROWS)) ** 0.5
+    """Share of equal minima below which a pair can't be a link, but for more than five deviations."""
+    return threshold - 5.5 * (threshold * (1 - threshold) / (bands_for(round(100 * threshold)) * ROWS)) ** 0.5
 
 
 def _likely(threshold: float):
@@ -125,7 +125,7 @@ def _likely(threshold: float):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for k in (2, 3))
+                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in (2, 3))
                 ok = pa.array(_agree(a, b) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
     return run
@@ -150,7 +150,7 @@ def _likely_partners(rep, size, comp, sign, percent: int, band: int, x: int, amo
 def _block_rows(rows: pa.Table, i: int, j: int):
     rep, block, size = (rows.column(c).to_numpy() for c in ("rep", "block", "n_shingles"))
     _, comp = np.unique(rows.column("comp").to_numpy(), return_inverse=True)
-    sign = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint32).reshape(len(rep), -1)
+    sign = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint16).reshape(len(rep), -1)
     return rep, size, comp, sign, np.flatnonzero(block == i), np.flatnonzero(block == j)
 
 
@@ -271,7 +271,9 @@ def _class_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     banded = table(_bands(classes, bands_for(percent)).select("band", "key", "rep"), "bands")
     # buckets of one class hold no pair
     leaders = table(banded.groupBy("band", "key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    star = (banded.join(leaders, ["band", "key"]).where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
+    shared = table(banded.join(leaders.select("band", "key", "a"), ["band", "key"]), "shared")
+    delete_tables(banded, leaders)
+    star = shared.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     sign = lambda x: classes.select(F.col("rep").alias(x), F.col("sign").alias(f"sign_{x}"))
     star = star.join(sign("b"), "b").join(sign("a"), "a").select("a", "b", "sign_a", "sign_b")
     likely = table(star.mapInArrow(_likely(threshold), "a long, b long"), "pairs")
@@ -279,11 +281,10 @@ def _class_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     part = table(connected_components(links, "a", "b"), "parts")
     delete_tables(likely)
     # buckets that hold several components
-    of = (banded.join(leaders.select("band", "key"), ["band", "key"])
-          .join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    of = (shared.join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
           .join(classes.select("rep", "n_shingles"), "rep"))
     of = table(of.select("band", "key", "rep", "comp", "n_shingles"), "members")
-    delete_tables(banded, leaders)
+    delete_tables(shared)
     with_sign = lambda df: df.join(classes.select("rep", "sign"), "rep")
     members = _mixed(of, F.ceil(F.count("*") / BLOCK_SIGNS))
     schema = "band int, key long, rep long"
