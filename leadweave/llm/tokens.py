@@ -8,12 +8,16 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from leadweave.llm.words import U, Words, mix
+from leadweave.llm.words import LOWER, U, Words
 
 #: words that one Python worker remembers
 KNOWN = 400_000
 #: words handed to the tokenizer at once
 AT_ONCE = 8_000
+#: ASCII letters are kind 1; marks that this tokenizer never joins with a letter, and that are in none of its special tokens, kind 2
+KINDS = np.zeros(256, np.uint8)
+KINDS[[*range(65, 91), *range(97, 123)]] = 1
+KINDS[list(b'.,;:!?()"')] = 2
 
 
 class _Known:
@@ -80,12 +84,15 @@ def _encode_words(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def encode(texts: pa.Array, path: str) -> list[np.ndarray]:
     """Token ids of each text, as the tokenizer's ``encode(text, add_special_tokens=False)`` gives them.
 
-    This tokenizer splits at white space first, so a text's ids are its words' ids: distinct words of a batch are encoded
-    once, and each worker remembers up to KNOWN of them. Words count as equal if two independent 64-bit hashes
+    This tokenizer lower-cases, then splits at white space and between letters and marks, so a text's ids are its words' ids: distinct
+    words of a batch, without the marks around them, are encoded once, and each worker remembers up to KNOWN of them. Words count as equal if two independent 64-bit hashes
     of their bytes are; a batch with two words that share one of the two is encoded text by text.
     """
     tokenizer, known = _tokenizer(path)
     w = Words(texts)
+    if b"<|" not in w.data.tobytes():  # special tokens keep their case
+        w.data = LOWER[w.data]
+    w.split_between(KINDS)
     hashes, second = w.hashes(), w.hashes(again=True)
     u, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     if (second[first[inverse]] != second).any():

@@ -95,6 +95,18 @@ class Words:
         np.cumsum((_VALUES[self.data] if again else self.data.astype(U) + U(1)) * up[:n], out=total[1:])
         return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(U))
 
+    def split_between(self, kinds: np.ndarray) -> None:
+        """Cut words wherever a byte of kind 1 stands beside one of kind 2."""
+        kind = kinds[self.data]
+        cut = np.flatnonzero(kind[:-1] * kind[1:] == 2) + 1
+        edges = []
+        for own in (self.start, self.end):
+            mark = np.zeros(len(self.data) + 1, bool)
+            mark[own] = mark[cut] = True
+            edges.append(np.flatnonzero(mark))
+        self.start, self.end = edges
+        self.at = np.searchsorted(self.start, self.bounds)
+
     def text(self, k: int) -> bytes:
         return self.data[self.start[k]:self.end[k]].tobytes()
 
