@@ -57,3 +57,18 @@ def test_names_at_the_start_of_sentences_and_copies_in_another_case(spark):
     texts = [filler + other + " " + filler, filler + named.lower() + " " + filler, filler + named.upper(), named.replace(" ", "\n"),
              " ".join(named.lower().split()[:16]) + " " + filler, filler * 5]
     assert matches(spark, texts, [item, named]) == {(0, 0), (1, 1), (2, 1), (3, 1), (4, 1)}
+
+
+def test_query_finds_what_holds_an_item_and_nothing_that_shares_no_words(spark, sf):
+    import re
+
+    from leadweave.llm.queries import QUERIES
+
+    words = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    items = {r["item_id"]: words(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    docs = {r["doc_id"]: words(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    found = {r["doc_id"] for r in QUERIES["op10_decontamination"](spark, sf).collect()}
+    whole = {d for d, w in docs.items() if any(f" {' '.join(i)} " in f" {' '.join(w)} " for i in items.values())}
+    parts = {tuple(i[k:k + 5]) for i in items.values() for k in range(len(i) - 4)}
+    none = {d for d, w in docs.items() if not any(tuple(w[k:k + 5]) in parts for k in range(len(w) - 4))}
+    assert len(whole) > 5 and whole <= found and not found & none and len(none) > 500

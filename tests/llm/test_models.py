@@ -100,3 +100,51 @@ def test_quality(spark, tables, odd):
     assert len(rows) == len(ODD) and all(r["tail_probability"] == 0 for r in rows if r["doc_id"] in (1, 2, 3))
     assert quality.grade_texts(odd, quality.fit(docs, labels.where("false"))).count() == len(ODD)
     assert quality.grade_texts(odd.where("false"), model).collect() == []
+
+
+def test_kernel_equals_plain_gapped_subsequences():
+    import itertools
+    import math
+
+    def plain(word):
+        letters, out = f" {word} ", {}
+        for i, j, k in itertools.combinations(range(len(letters)), 3):
+            if k - i < toxicity.SPAN:
+                key = letters[i] + letters[j] + letters[k]
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (k - i + 1)
+        return out
+
+    def norm(word):  # of the places, as if no three letters occurred twice
+        letters = f" {word} "
+        return math.sqrt(sum(toxicity.DECAY ** (2 * (k - i + 1)) for i, _, k in itertools.combinations(range(len(letters)), 3) if k - i < toxicity.SPAN))
+
+    words, marks = ["moron", "moxron", "m", "ab", "banana", "idiot", "completely"], ["moron", "idiot", "ban"]
+    got = toxicity.kernel(words, marks)
+    for (a, u), (b, v) in itertools.product(enumerate(words), enumerate(marks)):
+        x, y = plain(u), plain(v)
+        want = sum(w * y.get(key, 0) for key, w in x.items()) / (norm(u) * norm(v)) if x else 0
+        assert abs(got[a, b] - want) < 1e-5, (u, v)
+
+
+def test_grades_equal_the_plain_cumulative_link():
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["A first text of some words", "", None, "SHOUTING!!! 123 123 123", "one", "the same the same the same"] * 3
+    slots = quality.features(pa.array(texts))
+    assert all((a == quality.features(pa.array([t]))[0]).all() for a, t in zip(slots, texts))
+    model = quality.QualityModel(np.random.default_rng(1).normal(size=quality.SLOTS), np.array([-0.4, 0.7]))
+    score, tails = model.scores(slots), model.tails(model.scores(slots))
+    for s, z, t in zip(slots, score, tails):
+        want = sum(model.weights[k] for k in s) / math.sqrt(len(s)) if len(s) else 0.0
+        assert abs(z - want) < 1e-9 and all(abs(t[g] - 1 / (1 + math.exp(model.thresholds[g] - want))) < 1e-9 for g in range(2))
+    full = [s for s in slots if len(s)]
+    grades = np.array([k % 3 for k in range(4)] * 3)[:len(full)]
+    fitted = quality.train(full, grades, 3)
+
+    def likelihood(m):
+        above = np.column_stack([np.ones(len(full)), m.tails(m.scores(full)), np.zeros(len(full))])
+        return sum(math.log(max(above[k, g] - above[k, g + 1], 1e-12)) for k, g in enumerate(grades))
+    assert likelihood(fitted) > likelihood(quality.train([], grades[:0], 3)) and list(fitted.thresholds) == sorted(fitted.thresholds)
