@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import emails as E, pages as P, phones as N
@@ -13,22 +15,28 @@ from ..sources.pagestore import needed_pages, stored
 from .scoring import grade_leads
 
 
-def extract_facts(pages: DataFrame) -> DataFrame:
-    """What the extractors find on pages (page_url, page_id, html): one small row each, with the contact pages it links to."""
-    p = pages.withColumn("_text", html_to_text(F.col("html"))).withColumn("_social", P.social_links(F.col("html")))
-    html, text = F.col("html"), F.col("_text")
+@functools.lru_cache(4)
+def _fact_columns(application: str) -> tuple[Column, ...]:
+    """The extractors as columns over page_url, html, _text and _social; building them takes seconds, so once for an application."""
+    html, text, social = F.col("html"), F.col("_text"), F.col("_social")
     number = F.get(N.best_phones(N.phone_candidates(F.when(text != "", text).otherwise(html)), most=1), F.lit(0))
     links = F.transform(P.contact_hrefs(html), lambda h: canonical_url(h, base_column="page_url"))
     facts = {
         "email": E.best_ranked_email(E.extract_emails(html)), "phone": number, "whatsapp": P.whatsapp(html),
-        **{f"{x}_url": P.first_social(F.col("_social"), x) for x in ("linkedin", "facebook", "instagram")},
+        **{f"{x}_url": P.first_social(social, x) for x in ("linkedin", "facebook", "instagram")},
         "company_name": P.company_name(html, F.col("page_url")), "meta": P.meta_description(html),
         "sentence": P.first_sentence(text), "node": P.address_node(html), "line": P.address_line(text),
         "employees": P.employees(text), "contact_person": P.ranked_contact_person(text),
         "html_chars": F.length(html), "text_md5": F.md5(text),
         "links": F.array_distinct(F.filter(links, lambda u: (u != "") & (u != F.col("page_url")))),
     }
-    return p.select("page_url", "page_id", *[c.alias(n) for n, c in facts.items()])
+    return html_to_text(html), P.social_links(html), *[c.alias(n) for n, c in facts.items()]
+
+
+def extract_facts(pages: DataFrame) -> DataFrame:
+    """What the extractors find on pages (page_url, page_id, html): one small row each, with the contact pages it links to."""
+    text, social, *facts = _fact_columns(pages.sparkSession.sparkContext.applicationId)
+    return pages.withColumns({"_text": text, "_social": social}).select("page_url", "page_id", *facts)
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
