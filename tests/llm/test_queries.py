@@ -90,3 +90,19 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
         assert stage(spark, docs.where("false"), root).collect() == [], name
     assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), root).collect() == []
     assert langid.UNKNOWN == "und"
+
+
+def test_stages_take_null_ids_and_repeated_rows(spark):
+    root, rows, item = small_corpus(spark)
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    again = docs.where("doc_id in (5, 7, 81, 82, 80)")
+    unnamed = docs.where("doc_id in (6, 80, 81)").withColumn("doc_id", F.lit(None).cast("long")).withColumn("source", F.lit(None).cast("string"))
+    odd = docs.unionByName(again).unionByName(unnamed)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, root).groupBy("doc_id").count().collect()
+        n = {r["doc_id"]: r["count"] for r in out}
+        assert all(n.get(d, 2) == 2 for d in (5, 7, 80, 81, 82)) and n.get(None, 0) <= 3, name
+        if name in ("near_duplicates", "benchmark"):
+            assert n[None] == 3, name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, odd, root).where("start = 0").groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in pieces if r["doc_id"] in (None, 5, 9)} == {None: 3, 5: 2, 9: 1}
