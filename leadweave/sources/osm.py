@@ -17,6 +17,7 @@ from ..functions.urls import canonical_url
 from ..operators.scoring import grade_leads
 from ..operators.topk import capped
 from ..schema import ELEMENTS_DOCUMENT_SCHEMA, conform
+from ..session import materialize
 from .documents import read_json
 
 EARTH_RADIUS_M = 6371000.0
@@ -241,6 +242,7 @@ def osm_candidates(searches: DataFrame, elements: DataFrame, gazetteer: DataFram
         F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"),
         F.coalesce(F.nullif(F.col("radius_km") * 1000, F.lit(0)),
                    F.lit(OSM_DEFAULT_RADIUS_M)).cast("double").alias("p_radius_m"))
+    asked = materialize(asked, "map-requests")  # read by the selection, by the choice of cells and when results are dealt out
     most = asked.groupBy(*request).agg(F.when(F.count("limit") == F.count(F.lit(1)), F.max("limit")).alias("limit"))
     most = most.withColumn("request", F.xxhash64(*request))
     near = near_places(located(elements), most.select("request", *request))
