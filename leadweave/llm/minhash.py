@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from leadweave.llm.components import connected_components
 from leadweave.llm.tables import bit_filter, delete_tables, passes, table
-from leadweave.llm.words import U, Words, mix, slices, window_starts, windows
+from leadweave.llm.words import U, Words, mix, release, slices, window_starts, windows
 
 BANDS, ROWS = 24, 5
 #: bands for thresholds below 85 %
@@ -85,6 +85,7 @@ def signature(sets: list[np.ndarray], bands: int = BANDS) -> np.ndarray:
 
 def _signatures(id_column: str, text_column: str, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, text_column):
             ids, sets = batch.column(batch.schema.get_field_index(id_column)), shingle_sets(batch.column(batch.schema.get_field_index(text_column)))
             full = [k for k, s in enumerate(sets) if len(s)]
@@ -187,15 +188,11 @@ def _block_links(percent: int):
     return run
 
 
-def _sets(batches):
-    for batch in slices(batches, "text"):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], names=["rep", "set"])
-
-
 def _confirm(percent: int):
     """Links from rows (leader, part, role, member, text) sorted by the first three: a leader's own text comes first."""
     def run(batches):
         now, own = None, np.zeros(0, U)
+        release()
         for batch in slices(batches, "text"):
             a, b = [], []
             for leader, part, role, member, s in zip(*(batch.column(k).to_pylist() for k in range(4)), shingle_sets(batch.column(4))):
@@ -208,16 +205,25 @@ def _confirm(percent: int):
     return run
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the texts whose id is in ids. A bitmap of bounded size keeps most others from the shuffle; the join is exact."""
+def _texts_of(docs: DataFrame, ids: DataFrame, as_sets: bool = False) -> DataFrame:
+    """(id, text), or (id, set), of the texts whose id is in ids. A bitmap of bounded size keeps most others from the shuffle; the join is exact.
+
+    Sets are made in the step that reads the texts: a second Python step behind a broadcast join would be in the same stage, which
+    then takes two workers for each core, and an executor keeps them all.
+    """
     ids = table(ids, "ids")
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(ids, "id"))
 
     def run(batches):
+        release()
         for batch in slices(batches, "text"):
-            yield batch.filter(pa.array(passes(bits.value, batch.column(0).to_numpy(False))))
+            batch = batch.filter(pa.array(passes(bits.value, batch.column(0).to_numpy(False))))
+            if as_sets:
+                sets = [s.tobytes() for s in shingle_sets(batch.column(1))]
+                batch = pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+            yield batch
 
-    return docs.mapInArrow(run, "id long, text string").join(ids, "id", "left_semi")
+    return docs.mapInArrow(run, "id long, set binary" if as_sets else "id long, text string").join(ids, "id", "left_semi")
 
 
 def _links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -291,8 +297,8 @@ def _class_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     partners = table(with_sign(_grid(members)).groupBy("band", "key", "i", "j").applyInArrow(_block_partners(percent), schema).distinct(), "partners")
     near = _mixed(of.join(partners, ["band", "key", "rep"], "left_semi"),
                   F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)))
-    sets = _texts_of(docs, near.select(F.col("rep").alias("id")).distinct()).mapInArrow(_sets, "rep long, set binary")
-    sets = table(sets.groupBy("rep").agg(F.min("set").alias("set")), "sets")
+    sets = _texts_of(docs, near.select(F.col("rep").alias("id")).distinct(), as_sets=True)
+    sets = table(sets.groupBy(F.col("id").alias("rep")).agg(F.min("set").alias("set")), "sets")
     found = with_sign(_grid(near)).join(sets, "rep").groupBy("band", "key", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
     found = table(links.unionByName(found), "links")
     delete_tables(of, members, near, partners, sets, links, part)

@@ -52,3 +52,23 @@ def test_pipeline_stage_drops_what_shares_between_80_and_85_percent(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()] == [1]
     assert all(r["kept"] for r in near_duplicates(docs).collect())
+
+
+def test_no_stage_takes_two_python_steps(spark, monkeypatch):
+    from leadweave.llm import minhash
+
+    most = []
+
+    def steps(node, above=0):
+        now = 0 if "Exchange" in node.nodeName() else above + ("InArrow" in node.nodeName())
+        return max([now] + [steps(node.children().apply(k), now) for k in range(node.children().size())])
+
+    def table(df, label, write=minhash.table):
+        most.append(steps(df._jdf.queryExecution().sparkPlan()))
+        return write(df, label)
+
+    monkeypatch.setattr(minhash, "table", table)
+    r = random.Random(6)
+    rows = list(enumerate((t for k in range(3) for t in drift(r, [f"g{k}x{r.randrange(900)}" for _ in range(90)], 9)), 1))
+    assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute.near_duplicates(rows)
+    assert max(most) == 1
