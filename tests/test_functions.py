@@ -252,3 +252,13 @@ def test_hostile_text_ends_in_seconds(spark):
                                                     P.address_node(c), F.size(P.anchors(c)).cast("string")), [page])
         assert len(got) == 1
     assert time.time() - start < 300
+
+
+def test_addresses_and_blanks_as_the_plain_patterns_find_them(spark):
+    from leadweave.fixed_values import ADDRESS_PATTERN
+    texts = ["a@b.com_x@y.org", "x@y", "a.b+c@d-e.co.uk,z@z.zz", "..@..@a.bc", "a@b.c0m@d.org", "é@b.com a@b.comé1@q.rs", "@a.bc", "a@@b.cd", "q" * 300 + " q@r.st"]
+    every = lambda pattern: lambda c: F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    assert evaluate(spark, every(E._ADDRESS), texts) == evaluate(spark, every(ADDRESS_PATTERN), texts)
+    blanks = ["a b", " a  b ", "a\tb", "a \tb\n", "a\n b c", " a　　b", "a‏b ‎ c  d", "a \x01 b", "", "   ", "\u0085 x   "]
+    old = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.translate(c, "\u00a0\u200f\u200e", " "), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), r"(?U)\s+", " "))
+    assert evaluate(spark, clean_text, blanks) == evaluate(spark, old, blanks)
