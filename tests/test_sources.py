@@ -213,6 +213,15 @@ def test_a_site_is_its_own_page_and_those_it_links_to(spark):
     assert bag(enrich.needed_facts(store, sites, 1), "page_id") == [(5,), (10,)]
 
 
+def test_needed_pages_are_mined_for_the_facts_that_are_read_alone(spark):
+    rows = [(5, "https://a.com/", '<a href="/contact-us">c</a>'), (10, "https://a.com/contact-us", "d")]
+    store = pagestore.write_page_store(spark.createDataFrame(rows, PAGES), scratch_dir(spark, "store"), 2)
+    sites = spark.createDataFrame([("https://a.com",)], "site string")
+    some = enrich.needed_facts(store, sites, facts=["text_md5"])
+    assert some.columns == ["page_url", "page_id", "text_md5", "links"]
+    assert bag(some, *some.columns[:3]) == bag(enrich.needed_facts(store, sites), *some.columns[:3])
+
+
 def test_a_page_store_opens_in_another_session(spark):
     root = scratch_dir(spark, "store")
     pages = spark.createDataFrame([(1, "https://www.a.com/", "x"), (2, "a.com", "y"), (3, "b.com/c", "z"), (4, "", "w"), (5, None, "v")], PAGES)
